@@ -38,7 +38,7 @@ from tidemark.llm.hashing import IntMap, mix, ragged, span_hashes
 #: Bytes from which on a word is merged by the heap.
 LONG = 48
 #: Distinct words that a worker keeps, at most.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 NONE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text that one slice of a batch holds at most, unless a single document is larger.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _serial = itertools.count()
 
