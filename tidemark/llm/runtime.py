@@ -97,3 +97,18 @@ def strings(offsets: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
     data = data if isinstance(data, bytes) else data.tobytes()
     small = offsets.astype(np.int32)
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(small.tobytes()), pa.py_buffer(data))
+
+
+_made: dict = {}
+
+
+def once(token: str, make):
+    """The worker's object for a token; the latest one is kept, so that tasks of one job share it."""
+    if token not in _made:
+        _made.clear()
+        _made[token] = make()
+    return _made[token]
+
+
+def token() -> str:
+    return uuid.uuid4().hex
