@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, license_scan, line_dedup, packing, quality
+from tidemark.llm import bpe, license_scan, line_dedup, ngram_join, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
@@ -61,6 +65,7 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op3_license_scan": op3_license_scan,
+        "op5_ngram_join": op5_ngram_join,
         "op6_line_dedup": op6_line_dedup,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
