@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, license_scan, line_dedup, ngram_join, packing, quality
+from tidemark.llm import bpe, ctw, license_scan, line_dedup, mtree, ngram_join, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -61,14 +65,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op3_license_scan": op3_license_scan,
         "op5_ngram_join": op5_ngram_join,
         "op6_line_dedup": op6_line_dedup,
+        "op7_ctw": op7_ctw,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
+        "op10_mtree": op10_mtree,
     }
 
 
