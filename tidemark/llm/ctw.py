@@ -37,7 +37,7 @@ from tidemark.llm import runtime
 from tidemark.llm.hashing import IntMap, span_hashes
 from tidemark.llm.ngram_join import _LOWER, _VALUE, word_spans
 
-DEPTH = 3
+DEPTH = 4
 HOT_SHARE = 1e-6
 END = 255
 SLICE = 4 << 20
@@ -52,17 +52,17 @@ def held_out(id_col: Column, folds: int = 7, fold: int = 2) -> Column:
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(the 4-gram ending at each byte and end of each text, offsets of the texts in it)."""
+    """(the (DEPTH+1)-gram ending at each byte and end of each text, offsets of the texts in it)."""
     offsets, data = runtime.utf8(column)
     n = np.diff(offsets)
     wide = n + DEPTH + 1
     first = np.cumsum(wide) - wide
-    buffer = np.full(int(wide.sum()), END, np.uint32)
+    buffer = np.full(int(wide.sum()), END, np.uint64)
     place = np.arange(len(data)) + np.repeat(first + DEPTH - offsets[:-1], n)
     buffer[place] = data
-    code = np.zeros(len(buffer), np.uint32)
+    code = np.zeros(len(buffer), np.uint64)
     for k in range(DEPTH + 1):
-        code[DEPTH:] |= buffer[DEPTH - k : len(buffer) - k] << np.uint32(8 * k)
+        code[DEPTH:] |= buffer[DEPTH - k : len(buffer) - k] << U(8 * k)
     keep = np.ones(len(buffer), bool)
     for k in range(DEPTH):
         keep[first + k] = False
