@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ctw, license_scan, line_dedup, mtree, ngram_join, packing, quality
+from tidemark.llm import bpe, ctw, license_scan, line_dedup, mtree, ngram_join, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op3_license_scan": op3_license_scan,
+        "op4_toxicity": op4_toxicity,
         "op5_ngram_join": op5_ngram_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_ctw": op7_ctw,
