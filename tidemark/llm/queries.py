@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ctw, license_scan, line_dedup, mtree, ngram_join, packing, quality, toxicity
+from tidemark.llm import bpe, ctw, license_scan, line_dedup, mtree, ngram_join, packing, quality, runtime, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = runtime.new_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.checksums(spark, path)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     starts = F.transform("base", lambda b: b["word"])
@@ -77,6 +83,7 @@ def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_token_store": op2_token_store,
         "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
         "op5_ngram_join": op5_ngram_join,
