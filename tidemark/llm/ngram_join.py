@@ -45,6 +45,8 @@ WORDS = 5
 SHARE = 80
 #: Sets that one task joins at a time.
 BAG = 400
+#: Rows (bag, part, document) up to which they are broadcast, at about 30 bytes each.
+BROADCAST_ROWS = 2_000_000
 U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -351,7 +353,9 @@ def link_components(texts: DataFrame, rows_of: DataFrame, share: int = SHARE, ba
     lead = dealt.where("doc = bag").select("bag", "doc", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = dealt.where("doc <> bag").select("bag", "doc", "parts", "part").union(lead)
     dealt = runtime.store(dealt, "parts")
-    rows = dealt.join(rows_of, "doc").select("bag", "part", "doc", F.col("doc").alias("label"), F.lit(0).cast("bigint").alias("side"), "text")
+    # Few documents are in a bag: while their ids are few enough to broadcast, no other text is shuffled.
+    named = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    rows = rows_of.join(named, "doc").select("bag", "part", "doc", F.col("doc").alias("label"), F.lit(0).cast("bigint").alias("side"), "text")
     links = runtime.store(_joined(rows, share, False), "links")
     found = runtime.store(components(links), "components")
 
