@@ -116,54 +116,73 @@ class Tree:
         route = np.array(route)
         return self._page(route, np.array(radius), self._far(route, parent), np.array(child))
 
-    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int]], int]:
-        """([(score, -id)] of the k best, distances worked out)."""
-        q = np.append(query, 0).astype(np.float64)
-        far = float((q**2).sum())
-        norm2 = float((self.points[0] ** 2).sum()) if len(self.points) else 0.0
-        heap = best or []  # smallest first
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[list[list[tuple[int, int]]], int]:
+        """([(score, -id)] of the k best of each query, distances worked out).
+
+        A block of queries shares one best-first queue: a page's place is the least distance that it
+        may hold for any of them, and a query takes part in a page only while its own bound allows.
+        """
+        m = len(queries)
+        heaps: list[list[tuple[int, int]]] = [[] for _ in range(m)]
         worked = 0
-        limit = np.inf
-
-        def bound() -> float:
-            return np.inf if len(heap) < k else float(np.sqrt(max(0.0, far + norm2 - 2.0 * heap[0][0]))) * (1 + SLACK) + SLACK
-
-        limit = bound()
-        queue: list[tuple[float, int, float]] = [(0.0, self.root, np.nan)] if self.count else []
+        if not self.count or not m:
+            return heaps, worked
+        q = np.column_stack([queries, np.zeros(m)]).astype(np.float64)
+        q_sq = (q**2).sum(1)
+        norm2 = float((self.points[0] ** 2).sum())
+        limit = np.full(m, np.inf)
+        least = np.full(m, -np.inf)  # the k-th best score so far
+        serial = 0
+        queue: list = [(0.0, 0, self.root, np.zeros(m), None)]
         while queue:
-            low, node, to_parent = heapq.heappop(queue)
-            if low > limit:
+            low, _, node, lows, to_parent = heapq.heappop(queue)
+            if low > limit.max():
                 break
+            on = np.flatnonzero(lows <= limit)
+            if not len(on):
+                continue
             first, n = self.nodes[node]
             e = np.arange(first, first + n)
-            if to_parent == to_parent:
-                e = e[np.abs(to_parent - self.up[e]) - self.radius[e] <= limit]
+            if to_parent is not None:
+                near = np.abs(to_parent[on][:, None] - self.up[e][None, :]) - self.radius[e][None, :] <= limit[on][:, None]
+                e = e[near.any(0)]
+                on = on[near.any(1)]
                 if not len(e):
                     continue
             r = self.route[e]
-            worked += len(e)
+            worked += len(e) * len(on)
             child = self.child[e]
             if child[0] < 0:
-                scores = self.rows[r] @ query
+                scores = q[on] @ self.points[r].T  # whole numbers: exact below 2**53
                 ids = self.ids[r]
-                if len(heap) >= k:
-                    top = np.flatnonzero(scores >= heap[0][0])
-                    scores, ids = scores[top], ids[top]
-                for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                    if i == own:
-                        continue
-                    if len(heap) < k:
-                        heapq.heappush(heap, (s, -i))
-                    elif (s, -i) > heap[0]:
-                        heapq.heapreplace(heap, (s, -i))
-                limit = bound()
+                hits = scores >= least[on][:, None]
+                for i in np.flatnonzero(hits.any(1)).tolist():
+                    j = int(on[i])
+                    heap, mine = heaps[j], int(own[j])
+                    cols = np.flatnonzero(hits[i])
+                    for s, d in zip(scores[i, cols].tolist(), ids[cols].tolist(), strict=True):
+                        if d == mine:
+                            continue
+                        entry = (int(s), -d)
+                        if len(heap) < k:
+                            heapq.heappush(heap, entry)
+                        elif entry > heap[0]:
+                            heapq.heapreplace(heap, entry)
+                    if len(heap) == k:
+                        least[j] = heap[0][0]
+                        limit[j] = np.sqrt(max(0.0, q_sq[j] + norm2 - 2.0 * heap[0][0])) * (1 + SLACK) + SLACK
             else:
-                d = np.sqrt(((self.points[r] - q) ** 2).sum(1))
-                lows = np.maximum(d - self.radius[e], 0)
-                for low_, c, d_ in zip(lows.tolist(), child.tolist(), d.tolist(), strict=True):
-                    if low_ <= limit:
-                        heapq.heappush(queue, (low_, c, d_))
-        return heap, worked
+                d2 = q_sq[on][:, None] + norm2 - 2.0 * (q[on] @ self.points[r].T)
+                d = np.sqrt(np.maximum(d2, 0))
+                near = np.maximum(d - self.radius[e][None, :] - SLACK * (1 + d), 0)
+                for c in range(len(e)):
+                    least_of = float(near[:, c].min())
+                    if least_of <= limit.max():
+                        lows_c, far_c = np.full(m, np.inf), np.zeros(m)
+                        lows_c[on], far_c[on] = near[:, c], d[:, c]
+                        serial += 1
+                        heapq.heappush(queue, (least_of, serial, int(child[c]), lows_c, far_c))
+        return heaps, worked
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -215,10 +234,8 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, id_col: str = "vec_i
                 tree = Tree.read(b.column(2)[i].as_py())
                 asked = b.column(1)[i].values
                 ids, rows = asked.field(0).to_numpy(), matrix(asked.field(1), width)
-                out = []
-                for own, row in zip(ids.tolist(), rows, strict=True):
-                    found, _ = tree.search(row, own, k)
-                    out += [(own, -i_, s) for s, i_ in found]
+                found, _ = tree.search(rows, ids, k)
+                out = [(own, -i_, s) for own, heap in zip(ids.tolist(), found, strict=True) for s, i_ in heap]
                 if out:
                     a = np.array(out, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(3)], ["query_id", "vec_id", "score"])
