@@ -14,7 +14,8 @@ A text is DEPTH starts, its bytes, and one end (byte 255, which UTF-8 doesn't us
 
 Unigrams. Words are counted as 64-bit hashes. Words that make up over HOT_SHARE of all training
 tokens (at most 1 / HOT_SHARE of them, whatever the corpus) are broadcast; the rest meet their
-counts in hash buckets, where each document's sum is made, so no bucket holds a frequent word.
+counts in hash buckets, where each document's sum is made, so no bucket holds a frequent word. The
+sums travel packed, one row for each bucket and group of documents.
 
 Defined results: a null or empty text is one end and scores as such; rows that repeat a doc_id are
 scored each; an empty table gives an empty table; without training text every bit has probability
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
-from tidemark.llm.hashing import IntMap, span_hashes
+from tidemark.llm.hashing import IntMap, mix, span_hashes
 from tidemark.llm.ngram_join import _LOWER, _VALUE, word_spans
 
 DEPTH = 4
@@ -299,29 +300,40 @@ def _rare(docs: DataFrame, vocabulary: DataFrame, hot, buckets: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "docs", "prints", "at", "words"])
 
     def look(key, left, right):
-        schema = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("known", pa.int64()), ("total", pa.float64())])
-        if not left.num_rows:
-            return schema.empty_table()
+        schema = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in ("docs", "prints", "known", "total")]])
         vocabulary = _map(np.ascontiguousarray(right["word"].to_numpy()).view(np.uint64))
         logs = np.log10(right["c"].to_numpy() + 1.0)
-        out = []
+        got: list[tuple] = []
         for docs_, prints_, at, words in zip(*[left[c].to_pylist() for c in ("docs", "prints", "at", "words")], strict=True):
-            ids = np.frombuffer(docs_, np.int64)
+            ids, seal = np.frombuffer(docs_, np.int64), np.frombuffer(prints_, np.int64)
             at = np.frombuffer(at, "<u4")
             found = vocabulary.get(np.frombuffer(words, np.uint64))
             hit = found >= 0
-            if not hit.any():
-                continue
             known = np.bincount(at[hit], minlength=len(ids))
             total = np.bincount(at[hit], logs[found[hit]], len(ids))
             on = known > 0
-            out.append(pa.table([pa.array(ids[on]), pa.array(np.frombuffer(prints_, np.int64)[on]), pa.array(known[on].astype(np.int64)), pa.array(total[on])], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+            got.append((ids[on], seal[on], known[on].astype(np.int64), total[on]))
+        if not got:
+            return schema.empty_table()
+        parts = [np.concatenate(x) for x in zip(*got, strict=True)]
+        group = (mix(parts[0].view(np.uint64) ^ parts[1].view(np.uint64)) % U(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(buckets + 1))
+        rows = [(g, *[x[order[cut[g] : cut[g + 1]]].tobytes() for x in parts]) for g in np.flatnonzero(np.diff(cut)).tolist()]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def add(table):
+        doc, seal, known = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("docs", "prints", "known"))
+        total = np.frombuffer(b"".join(table["total"].to_pylist()), np.float64)
+        order = np.lexsort((total, seal, doc))
+        doc, seal, known, total = doc[order], seal[order], known[order], total[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (seal[1:] != seal[:-1])])[: len(doc)])
+        return pa.table({"doc": pa.array(doc[new]), "print": pa.array(seal[new]), "known": pa.array(np.add.reduceat(known, new)), "total": pa.array(np.add.reduceat(total, new))})
 
     asked = docs.mapInArrow(pack, "bucket int, docs binary, prints binary, at binary, words binary")
     told = vocabulary.withColumn("bucket", F.expr(f"cast(pmod(pmod(word, {buckets}) + if(word < 0, {2**64 % buckets}, 0), {buckets}) as int)"))
-    sums = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(look, "doc bigint, print bigint, known bigint, total double")
-    return sums.groupBy("doc", "print").agg(F.sum("known").alias("known"), F.sum("total").alias("total"))
+    sums = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(look, "grp int, docs binary, prints binary, known binary, total binary")
+    return sums.groupBy("grp").applyInArrow(add, "doc bigint, print bigint, known bigint, total double")
 
 
 def _map(keys: np.ndarray) -> IntMap:
