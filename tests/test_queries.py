@@ -95,3 +95,67 @@ def test_influx(spark):
     got = {r["class"]: (r["raw"], r["type"], r["tick"], r["labels"]["host"]) for r in ingest.parse_influx(lines).collect()}
     assert got["cpu.load"] == ("0.5", "DOUBLE", 1700000000000000, "a")
     assert got["cpu.n"][:2] == ("3", "LONG") and got["cpu.ok"][1] == "BOOLEAN" and got["cpu.msg"][:2] == ("x y", "STRING")
+
+
+def test_udfs(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import udfs
+
+    df = spark.createDataFrame([("hello world", "12345678901234567890123", "7", [[2.0, 1.0], [1.0, 3.0]], [1, 300, -1])], "s string, a string, b string, m array<array<double>>, v array<bigint>")
+    c = udfs.call
+    row = df.select(
+        c("->B58", F.col("s")).alias("b58"),
+        c("B58->", c("->B58", F.col("s"))).alias("back"),
+        c("B58C->", c("->B58C", F.col("s"))).alias("check"),
+        c("OPB64->", c("->OPB64", F.col("s"))).alias("op"),
+        c("UNGZIP", c("GZIP", F.col("s"))).alias("gz"),
+        c("BDMUL", F.col("a"), F.col("b")).alias("mul"),
+        c("BDNEXTPROBABLEPRIME", F.col("b")).alias("prime"),
+        c("DET", F.col("m")).alias("det"),
+        c("VARINT->", c("->VARINT", F.col("v"))).alias("v"),
+        c("SHA256HMAC", F.col("s"), F.lit("key")).alias("hmac"),
+    ).first()
+    assert row["b58"] == "StV1DL6CwTryKyV" and bytes(row["back"]) == bytes(row["check"]) == bytes(row["op"]) == bytes(row["gz"]) == b"hello world"
+    assert row["mul"] == str(12345678901234567890123 * 7) and row["prime"] == "11" and abs(row["det"] - 5) < 1e-12 and list(row["v"]) == [1, 300, -1]
+    assert len(row["hmac"]) == 32
+    assert udfs.morton_back(udfs.morton([5, 9], 4), 2, 4) == [5, 9]
+    assert udfs.rlp([b"cat", b"dog"]) == b"\xc8\x83cat\x83dog"
+
+
+def test_hooks(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.model import Series
+    from tidemark.operators import hooks
+
+    s = Series(spark.range(6).select(F.lit("a").alias("class"), F.col("id").alias("tick"), (F.col("id") * F.col("id")).cast("double").alias("value")), ("class",))
+    got = {r["tick"]: r["value"] for r in hooks.mapper(s, lambda t, v, i: float(v.sum()), 1, 1).df.collect()}
+    assert got == {0: 1.0, 1: 5.0, 2: 14.0, 3: 29.0, 4: 50.0, 5: 41.0}
+    two = hooks.bucketizer(s, lambda t, v: {"low": float(v.min()), "high": float(v.max())}, 3, 5)
+    assert {(r["tick"], r["output"]): r["value"] for r in two.df.collect()} == {(2, "low"): 0.0, (2, "high"): 4.0, (5, "low"): 9.0, (5, "high"): 25.0}
+    assert hooks.series_filter(s, lambda t, v: v[-1] > 30).df.count() == 0
+    gap = s.with_df(s.df.where("tick <> 3"))
+    for f in (hooks.spline, hooks.newton):
+        filled = hooks.filler(gap, s.df, hooks.by_curve(f), 3, 3)
+        assert abs({r["tick"]: r["value"] for r in filled.df.collect()}[3] - 9) < 0.6
+    assert abs(hooks.akima(2.5, np.arange(6), np.arange(6) * 2.0) - 5) < 1e-12
+    assert hooks.reducer(s, ["class"], lambda v: float(v.sum())).df.count() == 6
+
+
+def test_splits_and_pivot(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.model import Grid, Series
+    from tidemark.operators import frameworks as fw
+    from tidemark.operators import series as ops
+
+    rows = [("a", t, float(t % 3)) for t in (1, 2, 3, 10, 11, 30)]
+    s = Series(spark.createDataFrame(rows, "class string, tick bigint, value double"), ("class",))
+    assert sorted({r["split"] for r in ops.time_split(s, 7, 2).df.collect()}) == [1, 2]
+    label = Series(spark.createDataFrame([(1, "x"), (2, "y")], "tick bigint, value string"), ())
+    assert fw.pivot(s, {"kind": label}, []).df.where("kind is null").count() == 4
+    assert fw.pivot(s, {"kind": label}, [], all_needed=True).df.count() == 2
+    assert fw.latencies(s, Series(spark.createDataFrame([("a", 4)], "class string, tick bigint").withColumn("value", F.lit(0.0)), ("class",)), ["class"], 1, 5).count() == 3
+    assert ops.only_buckets(s.with_df(s.df, grid=Grid(10, 30))).df.count() == 2
+    assert ops.chunk(s, 10, 30, overlap=1).df.count() == 9

@@ -191,7 +191,7 @@ def time_split(s: Series, quiet: int, least: int = 1, label: str = "split") -> S
 
 
 def chunk(s: Series, width: int, last: int, overlap: int = 0, label: str = "chunk") -> Series:
-    """Right-closed chunks (end - width, end], labelled by their end; each takes ``overlap`` more ticks on either side."""
+    """Right-closed chunks (end - width, end], labelled by their end; each takes ``overlap`` more ticks on either side. None ends after ``last``."""
     end = F.col(s.tick) + F.pmod(F.lit(last) - F.col(s.tick), F.lit(width))
     if not overlap:
         rows = s.df.withColumn(label, end)
@@ -199,7 +199,7 @@ def chunk(s: Series, width: int, last: int, overlap: int = 0, label: str = "chun
         n = -(-overlap // width)
         ends = F.filter(F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda i: end + i * width), lambda e: (F.col(s.tick) > e - width - overlap) & (F.col(s.tick) <= e + overlap))
         rows = s.df.withColumn(label, F.explode(ends))
-    return Series(rows, (*s.keys, label), s.tick, s.value)
+    return Series(rows.where(F.col(label) <= last), (*s.keys, label), s.tick, s.value)
 
 
 def value_split(s: Series, label: str = "split") -> Series:
