@@ -159,3 +159,25 @@ def test_splits_and_pivot(spark):
     assert fw.latencies(s, Series(spark.createDataFrame([("a", 4)], "class string, tick bigint").withColumn("value", F.lit(0.0)), ("class",)), ["class"], 1, 5).count() == 3
     assert ops.only_buckets(s.with_df(s.df, grid=Grid(10, 30))).df.count() == 2
     assert ops.chunk(s, 10, 30, overlap=1).df.count() == 9
+
+
+def test_mappers_and_registry(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark import registry
+    from tidemark.model import Series
+    from tidemark.operators import mappers
+
+    assert len(registry.OPERATORS) > 500 and all(callable(f) for f in registry.OPERATORS.values())
+    rows = [("a", 86_400_000_000 * i, 10.0 * i, 5.0 * i, 7, float(i)) for i in range(4)]
+    s = Series(spark.createDataFrame(rows, "class string, tick bigint, lat double, lon double, elev bigint, value double"), ("class",))
+    got = lambda name, **p: [r["value"] for r in mappers.map_points(s, name, **p).df.orderBy("tick").collect()]
+    assert got("mapper.gt", threshold=1) == [2.0, 3.0]
+    assert got("mapper.le.lat", threshold=10.0) == [0.0, 1.0]
+    assert got("mapper.weekday") == [4, 5, 6, 7]
+    assert got("mapper.pow", power=2) == [0.0, 1.0, 4.0, 9.0]
+    assert got("mapper.geo.within", shape=lambda la, lo: la > 15) == [2.0, 3.0]
+    assert mappers.map_points(s.with_df(s.df.withColumn("value", F.lit("x1"))), "mapper.parsedouble").df.count() == 0
+    assert registry.find("reducer.sum.forbid-nulls")(s, by=["class"]).df.count() == 4
+    near = mappers.geo_approximate(s, 20).df.where("tick > 0").first()
+    assert abs(near["lat"] - 10) < 0.001 or abs(near["lat"] - 20) < 0.001 or abs(near["lat"] - 30) < 0.001

@@ -213,7 +213,7 @@ def kernel(s: Series, name: str, bandwidth: int, width: int) -> Series:
     parts = F.transform("_near", lambda r: F.struct(weight(r).alias("k"), r["v"].alias("v")))
     top = F.aggregate(parts, F.lit(0.0), lambda a, r: a + r["k"] * r["v"])
     low = F.aggregate(parts, F.lit(0.0), lambda a, r: a + r["k"])
-    return s.with_df(rows.withColumn(s.value, F.when(low != 0, top / F.when(low != 0, low)))).with_df(rows.withColumn(s.value, top / F.when(low != 0, low)).drop("_near").where(F.col(s.value).isNotNull()))
+    return s.with_df(rows.withColumn(s.value, top / F.when(low != 0, low)).drop("_near").where(F.col(s.value).isNotNull()))
 
 
 # --- reduce, apply --------------------------------------------------------------------------------
@@ -332,7 +332,7 @@ def filter_series(s: Series, name: str, *args, **params) -> Series:
     if kind == "last":
         last = build("last", point_of(s))
         if isinstance(threshold, int) and dict(s.df.dtypes)[s.value] in ("double", "float"):
-            last = F.trunc_long(last) if hasattr(F, "trunc_long") else last.cast("bigint")
+            last = last.cast("bigint")  # a whole threshold compares whole values
         kept = s.df.groupBy(*s.keys).agg(last.alias("_last")).where(_COMPARE[op](F.col("_last"), F.lit(threshold)))
         return keep_series(s, kept)
     test = _COMPARE[op](v, F.lit(threshold))

@@ -168,7 +168,8 @@ def zscore(s: Series, mad: bool = False) -> Series:
         return _valued(s, (v - F.avg(v).over(w)) / F.when(sd != 0, sd))
     rows = s.df.withColumn("_m", F.percentile(v, F.lit(0.5)).over(w))
     rows = rows.withColumn("_d", F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).over(w))
-    return _valued(s.with_df(rows), 0.6745 * (v - F.col("_m")) / F.when(F.col("_d") != 0, F.col("_d"))).with_df(_valued(s.with_df(rows), 0.6745 * (v - F.col("_m")) / F.when(F.col("_d") != 0, F.col("_d"))).df.drop("_m", "_d"))
+    out = _valued(s.with_df(rows), 0.6745 * (v - F.col("_m")) / F.when(F.col("_d") != 0, F.col("_d")))
+    return s.with_df(out.df.drop("_m", "_d"))
 
 
 def quantize(s: Series, bounds: list[float], values: list | None = None) -> Series:
