@@ -181,3 +181,20 @@ def test_mappers_and_registry(spark):
     assert registry.find("reducer.sum.forbid-nulls")(s, by=["class"]).df.count() == 4
     near = mappers.geo_approximate(s, 20).df.where("tick > 0").first()
     assert abs(near["lat"] - 10) < 0.001 or abs(near["lat"] - 20) < 0.001 or abs(near["lat"] - 30) < 0.001
+
+
+def test_motion(spark):
+    from tidemark.model import Series
+    from tidemark.operators import motion
+
+    rows = [("a", i * 60_000_000, 48.0 + 0.001 * min(i, 4) + (0.01 if i > 8 else 0), 2.0, float(i)) for i in range(12)]
+    s = Series(spark.createDataFrame(rows, "class string, tick bigint, lat double, lon double, value double"), ("class",))
+    assert [r["value"] for r in motion.location_offset(s, 200).df.orderBy("tick").collect()] == [0, 2, 4, 9, 11]
+    assert [r["split"] for r in motion.motion_split(s, 200, 50).df.orderBy("tick").collect()] == [1] * 9 + [2] * 3
+    v = np.random.default_rng(2).normal(size=32)
+    half, daub = np.array([1, 1]) / math.sqrt(2), np.array([1 + math.sqrt(3), 3 + math.sqrt(3), 3 - math.sqrt(3), 1 - math.sqrt(3)]) / (4 * math.sqrt(2))
+    for low in (half, daub):
+        assert np.allclose(motion.wavelet(motion.wavelet(v, low), low, inverse=True), v)
+        assert np.isclose((motion.wavelet(v, low) ** 2).sum(), (v**2).sum())
+    assert motion.best_dtw(np.array([1.0, 2.0]), np.array([0.0, 1.0, 2.0, 0.0])) == [(1, 0.0)]
+    assert np.isclose(motion.fft_window("hann", 9)[4], 1)

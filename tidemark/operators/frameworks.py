@@ -195,20 +195,19 @@ KERNELS: dict[str, Callable[[Column], Column]] = {
     "cosine": lambda u: 0.7853981633974483 * F.cos(u * 1.5707963267948966),
     "gaussian": lambda u: F.exp(-u * u / 2) / 2.5066282746310002,
     "logistic": lambda u: 1 / (F.exp(u) + 2 + F.exp(-u)),
-    "silverman": lambda u: 0.5 * F.exp(-F.abs(u) / 1.4142135623730951) * F.sin(F.abs(u) / 1.4142135623730951 + 0.7853981633974483),
+    "silverman": lambda u: 0.5 * F.exp(-u / 1.4142135623730951) * F.sin(0.7853981633974483 * u / 1.4142135623730951),
 }
 
 
-def kernel(s: Series, name: str, bandwidth: int, width: int) -> Series:
-    """Kernel smoothing over ``width`` points on each side, ``bandwidth`` ticks wide; bounded kernels are 0 beyond it."""
-    w = s.over().rowsBetween(-width, width)
-    rows = s.df.withColumn("_near", F.collect_list(F.struct(F.col(s.tick).alias("t"), F.col(s.value).cast("double").alias("v"))).over(w))
-    bounded = name not in ("gaussian", "logistic", "silverman")
+def kernel(s: Series, name: str, step: int, width: int, pre: int, post: int) -> Series:
+    """Weighted mean of the window's values. A point floor(|distance| / step) steps away has the kernel's weight at
+    that number over half the (odd) width, and none beyond half the width."""
+    half = width >> 1
+    rows = s.df.withColumn("_near", F.collect_list(F.struct(F.col(s.tick).alias("t"), F.col(s.value).cast("double").alias("v"))).over(frame(s, pre, post)))
 
     def weight(r: Column) -> Column:
-        u = (r["t"] - F.col(s.tick)) / F.lit(float(bandwidth))
-        k = KERNELS[name](u)
-        return F.when(F.abs(u) <= 1, k).otherwise(0.0) if bounded else k
+        steps = F.floor(F.abs(r["t"] - F.col(s.tick)) / F.lit(step))
+        return F.when(steps <= half, KERNELS[name](steps / F.lit(float(half)))).otherwise(0.0)
 
     parts = F.transform("_near", lambda r: F.struct(weight(r).alias("k"), r["v"].alias("v")))
     top = F.aggregate(parts, F.lit(0.0), lambda a, r: a + r["k"] * r["v"])

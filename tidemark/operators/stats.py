@@ -232,16 +232,16 @@ def single_exponential(s: Series, alpha: float) -> Series:
 
 
 def double_exponential(s: Series, alpha: float, beta: float) -> DataFrame:
-    """Level (value) and trend of Holt's method."""
+    """Level (value) and trend of Holt's method, from the second point on, where they are its value and its rise."""
 
     def f(t, v):
         level, trend = np.zeros(len(v)), np.zeros(len(v))
-        if len(v):
-            level[0], trend[0] = v[0], (v[1] - v[0]) if len(v) > 1 else 0.0
-        for i in range(1, len(v)):
+        if len(v) > 1:
+            level[1], trend[1] = v[1], v[1] - v[0]
+        for i in range(2, len(v)):
             level[i] = alpha * v[i] + (1 - alpha) * (level[i - 1] + trend[i - 1])
             trend[i] = beta * (level[i] - level[i - 1]) + (1 - beta) * trend[i - 1]
-        return {"tick": t, "value": level, "trend": trend}
+        return {"tick": t[1:], "value": level[1:], "trend": trend[1:]}
 
     return _kernel(s, f, more=", trend double")
 
@@ -313,18 +313,23 @@ def stl_esd_test(s: Series, period: int, most: int, alpha: float = 0.05, mad: bo
 
 
 def lttb_indices(t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Largest triangle of three buckets: first, last, and one point of each of n - 2 buckets."""
+    """First and last, and of each of n - 2 buckets of size len / (n - 1) the point of the largest triangle.
+
+    A triangle's corners are the first point of all, the candidate, and the centre of the next bucket,
+    whose sums are divided by its size plus one. (The published method moves the first corner along.)
+    """
     size = len(t)
-    if n >= size or n < 3:
+    if size <= n - 2 or size < 3:
         return np.arange(size)
-    edges = np.linspace(1, size - 1, n - 1).astype(int)
+    cut = 1 + np.floor(np.arange(n + 1) * (size / (n - 1))).astype(int)
     out = [0]
     for i in range(n - 2):
-        a, b = edges[i], max(edges[i + 1], edges[i] + 1)
-        nxt = slice(b, edges[i + 2]) if i + 2 < len(edges) else slice(size - 1, size)
-        tx, vx = t[nxt].mean(), v[nxt].mean()
-        area = np.abs((t[out[-1]] - tx) * (v[a:b] - v[out[-1]]) - (t[out[-1]] - t[a:b]) * (vx - v[out[-1]]))
-        out.append(a + int(area.argmax()))
+        a, b = min(cut[i + 1], size - 1), min(cut[i + 2], size - 1)
+        t_mean, v_mean = t[a:b].sum() / (b - a + 1), v[a:b].sum() / (b - a + 1)
+        a, b = cut[i] if cut[i] < size - 1 else size - 2, min(cut[i + 1], size - 1)
+        if b > a:
+            area = np.abs((t[0] - t_mean) * (v[a:b] - v[0]) - (t[0] - t[a:b]) * (v_mean - v[0]))
+            out.append(a + int(area.argmax()))
     return np.array([*out, size - 1])
 
 

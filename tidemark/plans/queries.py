@@ -333,8 +333,8 @@ for _name, _f in (
     ("upper_hull", lambda s: stats.hull(s, upper=True).df),
     ("fft", lambda s: stats.fft(s)),
     ("polyfit", lambda s: stats.polyfit(ops.tick_index(s), 2)),
-    ("kernel_gaussian", lambda s: fw.kernel(s, "gaussian", DAY, 3).df),
-    ("kernel_epanechnikov", lambda s: fw.kernel(s, "epanechnikov", 3 * DAY, 3).df),
+    ("kernel_gaussian", lambda s: fw.kernel(s, "gaussian", DAY, 7, 3, 3).df),
+    ("kernel_epanechnikov", lambda s: fw.kernel(s, "epanechnikov", DAY, 7, 3, 3).df),
 ):
     query(_name)((lambda f: lambda spark, d: f(_daily(spark, d)))(_f))
 

@@ -11,7 +11,7 @@ from functools import partial
 from tidemark.functions import geo, udfs
 from tidemark.functions.scalars import SCALARS
 from tidemark.operators import frameworks as fw
-from tidemark.operators import hooks, mappers, stats
+from tidemark.operators import hooks, mappers, motion, stats
 from tidemark.operators import series as ops
 from tidemark.operators.aggregates import BUILDERS
 from tidemark.sources import ingest, selector
@@ -154,6 +154,10 @@ OPERATORS |= {
     "IDWT": partial(stats.haar, inverse=True),
     "DTW": stats.dtw_distance,
     "ZDTW": partial(stats.dtw_distance, z=True),
+    "OPTDTW": motion.best_dtw,
+    "FFTWINDOW": motion.fft_window,
+    "LOCATIONOFFSET": motion.location_offset,
+    "MOTIONSPLIT": motion.motion_split,
     "POLYFIT": stats.polyfit,
     "RANDPDF": stats.random_from,
     "HAVERSINE": geo.haversine,
