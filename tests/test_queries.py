@@ -198,3 +198,29 @@ def test_motion(spark):
         assert np.isclose((motion.wavelet(v, low) ** 2).sum(), (v**2).sum())
     assert motion.best_dtw(np.array([1.0, 2.0]), np.array([0.0, 1.0, 2.0, 0.0])) == [(1, 0.0)]
     assert np.isclose(motion.fft_window("hann", 9)[4], 1)
+
+
+def test_shapes(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import shapes
+
+    square = shapes.from_wkt("POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))")
+    assert square.contains(2, 2) and not square.contains(5, 5) and not square.contains(11, 2)
+    for there, back in ((shapes.to_wkt, shapes.from_wkt), (shapes.to_geojson, shapes.from_geojson), (shapes.to_wkb, shapes.from_wkb), (shapes.to_gml, shapes.from_gml), (shapes.to_kml, shapes.from_kml)):
+        assert back(there(square)).polygons == square.polygons
+    two = shapes.from_wkt("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))")
+    assert len(two.polygons) == 2 and shapes.from_wkt(shapes.to_wkt(two)).polygons == two.polygons
+    cells, core = shapes.cover(square, 400), shapes.cover(square, 400, inside=True)
+    rng = np.random.default_rng(0)
+    for lat, lon in rng.uniform(-1, 11, (300, 2)):
+        c = f"{shapes.code(lat, lon):016x}"
+        covered, sure = (any(c[:i] in x for i in range(1, 17)) for x in (cells, core))
+        assert (not square.contains(lat, lon) or covered) and (not sure or square.contains(lat, lon))
+    assert shapes.difference(shapes.union(cells, {"0"}), {"0"}) == {c for c in shapes.normal(cells) if c[0] != "0"}
+    assert shapes.intersection(cells, core) == shapes.normal(core)
+    s, w, n, e = shapes.cell_box("c00")
+    assert shapes.neighbour("c00", 0, 1) != "c00" and shapes.cell_box(shapes.neighbour("c00", 1, 0))[0] == n
+    df = spark.createDataFrame([(2.0, 2.0), (5.0, 5.0), (20.0, 2.0)], "lat double, lon double")
+    got = df.select(square.column(F.col("lat"), F.col("lon")).alias("a"), shapes.in_cells(F.col("lat"), F.col("lon"), cells).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False)]

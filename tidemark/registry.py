@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from tidemark.functions import geo, udfs
+from tidemark.functions import geo, shapes, udfs
 from tidemark.functions.scalars import SCALARS
 from tidemark.operators import frameworks as fw
 from tidemark.operators import hooks, mappers, motion, stats
@@ -166,6 +166,25 @@ OPERATORS |= {
     "BBOX": geo.bbox,
     "GEO.WITHIN": geo.all_within,
     "GEO.INTERSECTS": geo.all_within,
+    "GEO.WKT": shapes.from_wkt,
+    "GEO.WKB": shapes.from_wkb,
+    "GEO.JSON": shapes.from_geojson,
+    "GEO.GML": shapes.from_gml,
+    "GEO.KML": shapes.from_kml,
+    "->WKT": shapes.to_wkt,
+    "->WKB": shapes.to_wkb,
+    "->GEOJSON": shapes.to_geojson,
+    "->GML": shapes.to_gml,
+    "->KML": shapes.to_kml,
+    "->GEOSHAPE": shapes.cover,
+    "GEO.NORMALIZE": shapes.normal,
+    "GEO.OPTIMIZE": shapes.normal,
+    "GEO.UNION": shapes.union,
+    "GEO.INTERSECTION": shapes.intersection,
+    "GEO.DIFFERENCE": shapes.difference,
+    "GEO.REGEXP": shapes.regexp,
+    "HHCODE.BBOX": shapes.cell_box,
+    **{f"HHCODE.{n}": partial(shapes.neighbour, north=a, east=b) for n, a, b in (("NORTH", 1, 0), ("SOUTH", -1, 0), ("EAST", 0, 1), ("WEST", 0, -1), ("NORTH.EAST", 1, 1), ("NORTH.WEST", 1, -1), ("SOUTH.EAST", -1, 1), ("SOUTH.WEST", -1, -1))},
     "PARSESELECTOR": selector.parse,
     "TOSELECTOR": selector.render,
     "FETCH": selector.fetch,
