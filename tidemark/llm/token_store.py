@@ -3,16 +3,17 @@
 File format. A store is a table of segments, written by Spark's Parquet writer (so that a lost
 executor's tasks are simply run again): ``part`` and ``seg`` give the order, ``docs`` and ``lens``
 the documents (little-endian int64, uint32), ``data`` the coded ids. data is
-``TKC1``, uint32 number of distinct ids D, of blocks B and of ids a block, D ids (uint32, ascending),
+``TKC2``, uint32 number of distinct ids D, of blocks B and of ids a block, D ids (uint32, ascending) and their D frequencies,
 then for each block: uint32 ids, crc32 of its ids as little-endian uint32, uint32 words; then each
 block's words (uint16). Any block can be decoded alone; its checksum is tested when it is.
 
-Method. An id's probability is a mixture of three predictions, made from the block's own past:
-order 2 (the id that last followed this pair), order 1 (the id that last followed this id), both
-hashed, with a confidence count each; and order 0 (counts so far, renewed at doubling distances,
-over a floor for every id of the segment). The mixture's weights are adaptive hit rates of the
-confidence at hand. The mixture drives a range coder of 48 bits. All models start anew in each block, and the blocks of a segment run in
-lockstep, one array element each, which is what makes this fast enough in numpy.
+Method. An id's probability is a mixture. Orders 2, 1 and 0 each predict one id from the block's own
+past: the one that last followed this pair of ids, this id (both hashed), and the block's running
+favourite; each guess has a confidence from 0 to 3. Below them lie the segment's frequencies from
+the header, with a floor for every id. The mixture's weights are the hit rates of order and
+confidence so far, adapted as the block goes on. The mixture drives a range coder of 48 bits. All
+of this starts anew in each block, and the blocks of a segment run in lockstep, one array element
+each, which is what makes this fast enough in numpy.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a doc_id are stored as
 often, in order of their text; an empty table gives an empty store; other columns are left out.
@@ -32,87 +33,72 @@ from pyspark.sql import functions as F
 from tidemark.llm import runtime
 from tidemark.llm.bpe import coder
 
-MAGIC = b"TKC1"
-LANES = 2048
+MAGIC = b"TKC2"
+LANES = 8192
 #: Ids of a block at most and at least, and of a segment.
-BLOCK = 4_096
-LEAST = 256
+BLOCK = 1024
+LEAST = 128
 SEGMENT = LANES * BLOCK
-#: Places at which order-0 counts are renewed.
-RENEW = (64, 256, 1024)
-SLOTS1, SLOTS2 = 1 << 10, 1 << 11
+SLOTS = 512
 TOP = np.uint64(1 << 32)
 U = np.uint64
 W16, W32, LOW32 = np.uint64(16), np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
+def frequencies(counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """(bits, frequencies of at least 1 whose sum is at most 2**bits), in proportion to the counts."""
+    bits = max(18, int(len(counts)).bit_length() + 2)
+    spare = (1 << bits) - len(counts)
+    return bits, 1 + (counts.astype(np.float64) * (spare / max(1, int(counts.sum())))).astype(np.int64)
+
+
 class Models:
-    """The adaptive state of all blocks of a segment."""
-
-    def __init__(self, lanes: int, distinct: int, length: int) -> None:
-        self.d = distinct
-        self.bits = max(18, int(distinct).bit_length() + 2)
-        self.scale = self.bits - 16
-        self.total_bits = self.bits + 8
-        self.mass = min(65535, ((1 << self.bits) - distinct) >> self.scale)
-        self.cum = np.zeros((lanes, distinct + 1), np.uint16)
-        flat = np.arange(distinct + 1, dtype=np.int64) * self.mass // max(distinct, 1)
-        self.cum[:] = flat.astype(np.uint16)
-        self.row = np.arange(lanes, dtype=np.int64) * (distinct + 1)
-        self.base1 = np.arange(lanes, dtype=np.int64) * SLOTS1
-        self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS2
-        self.guess1 = np.zeros(lanes * SLOTS1, np.uint16 if distinct < 65536 else np.int32)
-        self.sure1 = np.zeros(lanes * SLOTS1, np.int8)
-        self.guess2 = np.zeros(lanes * SLOTS2, self.guess1.dtype)
-        self.sure2 = np.zeros(lanes * SLOTS2, np.int8)
-        self.rate1 = np.tile(np.array([8, 40, 90, 150], np.int32), lanes)
-        self.rate2 = np.tile(np.array([8, 70, 130, 190], np.int32), lanes)
+    """The adaptive state of all blocks of a segment: what order k last saw (id * 4 + confidence), and how often it is right."""
+
+    def __init__(self, lanes: int, freq: np.ndarray, bits: int) -> None:
+        kind = np.int32 if bits + 8 <= 30 else np.int64
+        self.bits, self.total_bits = bits, bits + 8
+        self.cum = np.concatenate([[0], np.cumsum(freq)]).astype(kind)
+        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
         self.four = np.arange(lanes, dtype=np.int64) * 4
-        self.past1 = np.zeros(lanes, np.int64)
-        self.past2 = np.zeros(lanes, np.int64)
-
-    def renew(self, seen: np.ndarray) -> None:
-        """Order-0 counts from the ids so far, [time, lane]."""
-        lanes, t, d = seen.shape[1], seen.shape[0], self.d
-        keys = np.sort((seen.T + np.arange(lanes)[:, None] * d).ravel())
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        upto = np.append(at[1:], len(keys))
-        key = keys[at]
-        lane, own = key // d, key % d
-        value = ((upto - lane * t) * self.mass // t).astype(np.uint16)
-        # cum[lane, i] is the mass of ids below i: it steps after each seen id.
-        start = lane * (d + 1) + own + 1
-        first = np.searchsorted(lane, np.arange(lanes))
-        start = np.insert(start, first, np.arange(lanes) * (d + 1))
-        value = np.insert(value, first, np.uint16(0))
-        size = np.diff(np.append(start, lanes * (d + 1)))
-        self.cum[:lanes] = np.repeat(value, size).reshape(lanes, d + 1)
+        self.seen = [np.zeros(lanes, kind), np.zeros(lanes * SLOTS, kind), np.zeros(lanes * SLOTS, kind)]
+        self.rate = [np.tile(np.array(x, kind), lanes) for x in ((8, 12, 16, 20), (8, 40, 90, 150), (8, 70, 130, 190))]
+        self.past1, self.past2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> None:
         """Guesses and weights of the first m blocks for their next id."""
-        self.at1 = self.base1[:m] + (self.past1[:m] * 40503 >> 3 & SLOTS1 - 1)
-        self.at2 = self.base2[:m] + ((self.past1[:m] * 2654435761 + self.past2[:m] * 40503) >> 7 & SLOTS2 - 1)
-        self.c1, self.c2 = self.guess1[self.at1].astype(np.int64), self.guess2[self.at2].astype(np.int64)
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.r1, self.r2 = self.four[:m] + self.s1, self.four[:m] + self.s2
-        w2 = self.rate2[self.r2]
-        w1 = (256 - w2) * self.rate1[self.r1] >> 8
-        self.w0 = (256 - w2 - w1).astype(np.int64)
-        self.w1, self.w2 = w1.astype(np.int64) << self.bits, w2.astype(np.int64) << self.bits
-
-    def below(self, ids: np.ndarray, m: int) -> np.ndarray:
-        """Order-0 mass of the ids below."""
-        return ids + (self.cum.ravel()[self.row[:m] + ids].astype(np.int64) << self.scale)
-
-    def learn(self, ids: np.ndarray, m: int) -> None:
-        for guess, sure, rate, at, c, s, r in ((self.guess1, self.sure1, self.rate1, self.at1, self.c1, self.s1, self.r1), (self.guess2, self.sure2, self.rate2, self.at2, self.c2, self.s2, self.r2)):
-            hit = c == ids
-            old = rate[r]
-            rate[r] = old + ((hit * 240 - old) >> 4) + (old < 8)
-            guess[at] = np.where(hit | (s > 1), c, ids)
-            sure[at] = np.where(hit, np.minimum(s + 1, 3), np.where(s > 1, s - 1, 1))
+        one = self.base[:m] + (self.past1[:m] * 40503 >> 3 & SLOTS - 1)
+        two = self.base[:m] + ((self.past1[:m] * 2654435761 + self.past2[:m] * 40503) >> 7 & SLOTS - 1)
+        self.at = (slice(0, m), one, two)
+        self.packed = [self.seen[0][:m].copy(), self.seen[1].take(one), self.seen[2].take(two)]
+        self.guess = [p >> 2 for p in self.packed]
+        self.sure = [p & 3 for p in self.packed]
+        self.slot = [self.four[:m] + s for s in self.sure]
+        left, self.weight = 256, [None, None, None]
+        for k in (2, 1, 0):
+            w = left * self.rate[k].take(self.slot[k]) >> 8
+            left = left - w
+            self.weight[k] = w << self.bits
+        self.rest = left
+
+    def below(self, x: np.ndarray) -> np.ndarray:
+        """Mass of the mixture on ids below x, of 2**total_bits."""
+        out = self.cum.take(x) * self.rest
+        for g, w in zip(self.guess, self.weight, strict=True):
+            out += (g < x) * w
+        return out
+
+    def learn(self, x: np.ndarray, m: int, t: int) -> None:
+        fresh = x << 2 | 1
+        for k in (0, 1, 2):
+            p, s = self.packed[k], self.sure[k]
+            hit = self.guess[k] == x
+            self.seen[k][self.at[k]] = np.where(hit, p + (s < 3), np.where(s > 1, p - 1, fresh))
+            if not t & 3:
+                old = self.rate[k].take(self.slot[k])
+                self.rate[k][self.slot[k]] = old + ((hit * 240 - old) >> 4) + (old < 8)
         self.past2[:m] = self.past1[:m]
-        self.past1[:m] = ids
+        self.past1[:m] = x
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -135,36 +121,43 @@ def compress(ids: np.ndarray) -> bytes:
     """The coded form of a run of ids (below 2**32)."""
     ids = np.asarray(ids, np.uint32)
     n = len(ids)
-    kinds, dense = np.unique(ids, return_inverse=True)
+    if n and ids.max() < 1 << 22:
+        every = np.bincount(ids)
+        kinds = np.flatnonzero(every)
+        counts, place = every[kinds], np.zeros(len(every), np.int32)
+        place[kinds] = np.arange(len(kinds))
+        dense = place[ids]
+    else:
+        kinds, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    bits, freq = frequencies(counts)
     size, blocks = _shape(n)
-    padded = np.zeros(blocks * size, np.int64)
+    models = Models(blocks, freq, bits)
+    padded = np.zeros(blocks * size, models.cum.dtype)
     padded[:n] = dense
     grid = np.ascontiguousarray(padded.reshape(blocks, size).T)
-    models = Models(blocks, len(kinds), size)
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 48) - 1, np.uint64)
-    out = np.zeros((2 * size + 8, blocks), np.uint32)
+    out = np.zeros((size * models.total_bits // 16 + size // 8 + 8, blocks), np.uint32)
     used = np.zeros(blocks, np.int64)
     lane = np.arange(blocks)
     shift = U(models.total_bits)
     for t, m in _steps(n, size, blocks):
-        if t in RENEW:
-            models.renew(grid[:t, :m])
         x = grid[t, :m]
         models.predict(m)
-        a, b = models.below(x, m), models.below(x + 1, m)
-        first = (models.c1 < x) * models.w1 + (models.c2 < x) * models.w2 + models.w0 * a
-        size_ = (models.c1 == x) * models.w1 + (models.c2 == x) * models.w2 + models.w0 * (b - a)
+        first = models.below(x)
+        wide = models.below(x + 1) - first
         unit = span[:m] >> shift
         low[:m] += unit * first.astype(np.uint64)
-        span[:m] = unit * size_.astype(np.uint64)
+        span[:m] = unit * wide.astype(np.uint64)
         short = np.flatnonzero(span[:m] < TOP)
         while len(short):
-            out[used[short], short] = (low[short] >> W32).astype(np.uint32)
+            rest = low[short]
+            out[used[short], short] = rest >> W32
             used[short] += 1
-            low[short] = (low[short] & LOW32) << W16
-            span[short] <<= W16
-            short = short[span[short] < TOP]
-        models.learn(x, m)
+            low[short] = (rest & LOW32) << W16
+            narrow = span[short] << W16
+            span[short] = narrow
+            short = short[narrow < TOP]
+        models.learn(x, m, t)
     for _ in range(3):
         out[used, lane] = (low >> W32).astype(np.uint32)
         used += 1
@@ -174,11 +167,12 @@ def compress(ids: np.ndarray) -> bytes:
         out[j] &= 0xFFFF
     out[0] &= 0xFFFF
     heads, bodies = [], []
+    columns = np.ascontiguousarray(out[: used.max()].T.astype("<u2"))
     for k in range(blocks):
         own = ids[k * size : (k + 1) * size]
         heads.append(struct.pack("<III", len(own), zlib.crc32(own.astype("<u4").tobytes()), int(used[k])))
-        bodies.append(out[: used[k], k].astype("<u2").tobytes())
-    return b"".join([MAGIC, struct.pack("<III", len(kinds), blocks, size), kinds.astype("<u4").tobytes(), *heads, *bodies])
+        bodies.append(columns[k, : used[k]].tobytes())
+    return b"".join([MAGIC, struct.pack("<III", len(kinds), blocks, size), kinds.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), *heads, *bodies])
 
 
 def decompress(data: bytes) -> np.ndarray:
@@ -186,68 +180,50 @@ def decompress(data: bytes) -> np.ndarray:
     if data[:4] != MAGIC:
         raise ValueError("not a token block file")
     distinct, blocks, size = struct.unpack_from("<III", data, 4)
-    kinds = np.frombuffer(data, "<u4", distinct, 16)
-    head = np.frombuffer(data, "<u4", 3 * blocks, 16 + 4 * distinct).reshape(blocks, 3)
+    kinds, freq = np.frombuffer(data, "<u4", 2 * distinct, 16).reshape(2, distinct)
+    head = np.frombuffer(data, "<u4", 3 * blocks, 16 + 8 * distinct).reshape(blocks, 3)
     n, words = int(head[:, 0].sum()), head[:, 2].astype(np.int64)
-    body = np.frombuffer(data, "<u2", int(words.sum()), 16 + 4 * distinct + 12 * blocks)
-    text = np.concatenate([body, np.zeros(4, np.uint16)]).astype(np.uint64)
+    body = np.frombuffer(data, "<u2", int(words.sum()), 16 + 8 * distinct + 12 * blocks)
+    text = np.concatenate([body, np.zeros(4, np.uint16)])
     at = np.cumsum(words) - words
     end = at + words
-    grid = np.zeros((size, blocks), np.int64)
     if distinct and n:
-        models = Models(blocks, distinct, size)
-        code = (text[at] << W32) | (text[at + 1] << W16) | text[at + 2]
+        models = Models(blocks, freq.astype(np.int64), max(18, int(distinct).bit_length() + 2))
+        grid = np.zeros((size, blocks), models.cum.dtype)
+        word = lambda i: text.take(i).astype(np.uint64)
+        code = (word(at) << W32) | (word(at + 1) << W16) | word(at + 2)
         at = at + 3
         span = np.full(blocks, (1 << 48) - 1, np.uint64)
         shift = U(models.total_bits)
-        most = np.int64((1 << models.total_bits) - 1)
-        steps = int(distinct).bit_length()
+        most = np.uint64((1 << models.total_bits) - 1)
+        top = 1 << (int(distinct).bit_length() - 1)
         for t, m in _steps(n, size, blocks):
-            if t in RENEW:
-                models.renew(grid[:t, :m])
             models.predict(m)
             unit = span[:m] >> shift
-            goal = np.minimum((code[:m] // unit).astype(np.int64), most)
-            c1, c2, w0 = models.c1, models.c2, models.w0
-            turn = c1 > c2
-            a, b = np.where(turn, c2, c1), np.where(turn, c1, c2)
-            wa, wb = np.where(turn, models.w2, models.w1), np.where(turn, models.w1, models.w2)
-            same = a == b
-            wa = np.where(same, wa + wb, wa)
-            wb = np.where(same, 0, wb)
-            a0, b0 = w0 * models.below(a, m), w0 * models.below(b, m)
-            a1, b1 = w0 * models.below(a + 1, m) + wa, w0 * models.below(b + 1, m) + wa + wb
-            b0 = np.where(same, a0, b0 + wa)
-            is_a = (goal >= a0) & (goal < a1)
-            is_b = (goal >= b0) & (goal < b1) & ~same
-            x = np.where(is_a, a, b)
-            rest = np.flatnonzero(~(is_a | is_b))
-            if len(rest):
-                g = goal[rest]
-                g = (g - np.where(g >= a1[rest], wa[rest], 0) - np.where(g >= b1[rest], wb[rest], 0)) // w0[rest]
-                lo, row = np.zeros(len(rest), np.int64), models.row[rest]
-                flat, scale = models.cum.ravel(), models.scale
-                for k in range(steps, -1, -1):
-                    probe = lo + (1 << k)
-                    ok = probe < distinct
-                    probe_in = np.minimum(probe, distinct - 1)
-                    ok &= probe_in + (flat[row + probe_in].astype(np.int64) << scale) <= g
-                    lo = np.where(ok, probe, lo)
-                x[rest] = lo
-            p, q = models.below(x, m), models.below(x + 1, m)
-            first = (c1 < x) * models.w1 + (c2 < x) * models.w2 + w0 * p
-            size_ = (c1 == x) * models.w1 + (c2 == x) * models.w2 + w0 * (q - p)
+            goal = np.minimum(code[:m] // unit, most).astype(models.cum.dtype)
+            x = np.zeros(m, models.cum.dtype)
+            step = top
+            while step:  # the largest id whose mass below is at most the goal
+                probe = np.minimum(x + step, distinct)
+                x = np.where((models.below(probe) <= goal) & (probe < distinct), probe, x)
+                step >>= 1
+            first = models.below(x)
+            wide = models.below(x + 1) - first
             code[:m] -= unit * first.astype(np.uint64)
-            span[:m] = unit * size_.astype(np.uint64)
+            span[:m] = unit * wide.astype(np.uint64)
             short = np.flatnonzero(span[:m] < TOP)
             while len(short):
-                code[short] = (code[short] << W16) | text[np.minimum(at[short], end[short])] * (at[short] < end[short])
-                at[short] += 1
-                span[short] <<= W16
-                short = short[span[short] < TOP]
+                i = at[short]
+                code[short] = (code[short] << W16) | word(np.minimum(i, end[short])) * (i < end[short])
+                at[short] = i + 1
+                narrow = span[short] << W16
+                span[short] = narrow
+                short = short[narrow < TOP]
             grid[t, :m] = x
-            models.learn(x, m)
-    ids = kinds[grid.T.ravel()[:n]] if distinct else np.zeros(0, "<u4")
+            models.learn(x, m, t)
+        ids = kinds[grid.T.ravel()[:n]]
+    else:
+        ids = np.zeros(0, "<u4")
     raw = ids.astype("<u4").tobytes()
     for k in range(blocks):
         if zlib.crc32(raw[4 * k * size : 4 * (k * size + int(head[k, 0]))]) != int(head[k, 1]):
