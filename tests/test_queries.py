@@ -224,3 +224,18 @@ def test_shapes(spark):
     df = spark.createDataFrame([(2.0, 2.0), (5.0, 5.0), (20.0, 2.0)], "lat double, lon double")
     got = df.select(square.column(F.col("lat"), F.col("lon")).alias("a"), shapes.in_cells(F.col("lat"), F.col("lon"), cells).alias("b")).collect()
     assert [tuple(r) for r in got] == [(True, True), (False, False), (False, False)]
+
+
+def test_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.model import Series
+    from tidemark.operators import patterns
+
+    v = [0.0, 0, 5, 5, 0, 0, 0, 0, 5, 5, 0, 0, -9, 3]
+    got = patterns.words(np.array(v), 4, 3, 6, standardise=True)
+    assert got[0] == got[6] and len(got) == 9 and len(set(got)) > 2
+    assert patterns.words(np.array([-1.0, 0.1, 1.0, 2.0]), 4, 2, 2) == [patterns.opb64(bytes([b])) for b in (0b01_00_0000, 0b11_01_0000, 0b11_11_0000)]
+    s = Series(spark.createDataFrame(list(enumerate(v)), "tick bigint, value double").withColumn("class", F.lit("a")), ("class",))
+    assert {r["tick"] for r in patterns.detect(s, {got[0]}, 4, 3, 6, True).df.collect()} == set(range(12))
+    assert [r["tick"] for r in patterns.discords(s, 2, 1).df.collect()] == [12] or [r["tick"] for r in patterns.discords(s, 2, 1).df.collect()] == [11]

@@ -16,7 +16,7 @@ from tidemark.functions.scalars import SCALARS
 from tidemark.model import Series, from_table, micros
 from tidemark.operators import frameworks as fw
 from tidemark.operators import series as ops
-from tidemark.operators import stats
+from tidemark.operators import patterns, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -332,6 +332,8 @@ for _name, _f in (
     ("lower_hull", lambda s: stats.hull(s).df),
     ("upper_hull", lambda s: stats.hull(s, upper=True).df),
     ("fft", lambda s: stats.fft(s)),
+    ("patterns", lambda s: patterns.patterns(s, 8, 3, 6, standardise=True).df),
+    ("discords", lambda s: patterns.discords(s, 4, 2).df),
     ("polyfit", lambda s: stats.polyfit(ops.tick_index(s), 2)),
     ("kernel_gaussian", lambda s: fw.kernel(s, "gaussian", DAY, 7, 3, 3).df),
     ("kernel_epanechnikov", lambda s: fw.kernel(s, "epanechnikov", DAY, 7, 3, 3).df),

@@ -11,7 +11,7 @@ from functools import partial
 from tidemark.functions import geo, shapes, udfs
 from tidemark.functions.scalars import SCALARS
 from tidemark.operators import frameworks as fw
-from tidemark.operators import hooks, mappers, motion, stats
+from tidemark.operators import hooks, mappers, motion, patterns, stats
 from tidemark.operators import series as ops
 from tidemark.operators.aggregates import BUILDERS
 from tidemark.sources import ingest, selector
@@ -154,6 +154,12 @@ OPERATORS |= {
     "IDWT": partial(stats.haar, inverse=True),
     "DTW": stats.dtw_distance,
     "ZDTW": partial(stats.dtw_distance, z=True),
+    "PATTERNS": patterns.patterns,
+    "ZPATTERNS": partial(patterns.patterns, standardise=True),
+    "PATTERNDETECTION": patterns.detect,
+    "ZPATTERNDETECTION": partial(patterns.detect, standardise=True),
+    "DISCORDS": patterns.discords,
+    "ZDISCORDS": partial(patterns.discords, z=True),
     "OPTDTW": motion.best_dtw,
     "FFTWINDOW": motion.fft_window,
     "LOCATIONOFFSET": motion.location_offset,
