@@ -236,6 +236,6 @@ def test_patterns(spark):
     got = patterns.words(np.array(v), 4, 3, 6, standardise=True)
     assert got[0] == got[6] and len(got) == 9 and len(set(got)) > 2
     assert patterns.words(np.array([-1.0, 0.1, 1.0, 2.0]), 4, 2, 2) == [patterns.opb64(bytes([b])) for b in (0b01_00_0000, 0b11_01_0000, 0b11_11_0000)]
-    s = Series(spark.createDataFrame(list(enumerate(v)), "tick bigint, value double").withColumn("class", F.lit("a")), ("class",))
+    s = Series(spark.createDataFrame(list(enumerate(map(float, v))), "tick bigint, value double").withColumn("class", F.lit("a")), ("class",))
     assert {r["tick"] for r in patterns.detect(s, {got[0]}, 4, 3, 6, True).df.collect()} == set(range(12))
     assert [r["tick"] for r in patterns.discords(s, 2, 1).df.collect()] == [12] or [r["tick"] for r in patterns.discords(s, 2, 1).df.collect()] == [11]
