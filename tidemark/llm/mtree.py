@@ -31,7 +31,9 @@ from tidemark.llm import runtime
 
 PAGE = 64
 TREE_ROWS = 16_384
+#: Queries that share one search, and that travel together to a tree, at most.
 BLOCK = 256
+SENT = 16_384
 SLACK = 1e-6
 
 
@@ -223,7 +225,9 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, id_col: str = "vec_i
     trees = max(1, -(-n // tree_rows))
     index = runtime.store(build(vectors, trees, norm, width), "trees")
     queries = vectors.where(F.col("id") % query_step == 0)
-    blocks = max(1, -(-n // (query_step * BLOCK)))
+    # Enough blocks to keep all tasks busy, and few copies of each tree.
+    about_queries = -(-n // query_step)
+    blocks = max(1, -(-about_queries // SENT), min(-(-about_queries // BLOCK), -(-2 * runtime.partitions(spark) // trees)))
     asked = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
     asked = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     pairs = asked.join(index, "tree").select("tree", "asked", "data").repartition(max(runtime.partitions(spark), min(trees * blocks, 4 * runtime.partitions(spark))), F.xxhash64("tree", F.col("asked")[0]["id"]))
@@ -234,7 +238,7 @@ def top_k(df: DataFrame, k: int = 20, query_step: int = 20, id_col: str = "vec_i
                 tree = Tree.read(b.column(2)[i].as_py())
                 asked = b.column(1)[i].values
                 ids, rows = asked.field(0).to_numpy(), matrix(asked.field(1), width)
-                found, _ = tree.search(rows, ids, k)
+                found = [heap for j in range(0, len(ids), BLOCK) for heap in tree.search(rows[j : j + BLOCK], ids[j : j + BLOCK], k)[0]]
                 out = [(own, -i_, s) for own, heap in zip(ids.tolist(), found, strict=True) for s, i_ in heap]
                 if out:
                     a = np.array(out, np.int64)

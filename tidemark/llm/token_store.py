@@ -238,7 +238,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     """Encodes the documents, in ascending order of their ids, into a store at ``path``."""
     n = runtime.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "doc", "text").sortWithinPartitions("doc", "text")
+    rows = rows.repartitionByRange(n, "doc").sortWithinPartitions("doc", "text")
     rows = rows.select("doc", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
