@@ -27,7 +27,7 @@ FENCE = 12.0
 MIN_GROUP = 50
 K = 400
 #: Smallest spread of a measure, so that a group of equal documents rejects nothing by rounding.
-FLOOR = {"symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.05, "mean_word": 0.5, "log_words": 0.5}
+FLOOR = {"symbol_share": 0.005, "dup_line_share": 0.05, "repeat_share": 0.05, "mean_word": 0.5, "log_words": 0.5}
 #: Measures for which only large values are bad.
 UPPER = ("symbol_share", "dup_line_share", "repeat_share")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
