@@ -340,6 +340,11 @@ def _joined(bags: DataFrame, share: int, across: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _with_text(named: DataFrame, rows_of: DataFrame) -> DataFrame:
+    """A stored table's rows with their documents' texts. Few documents are in a bag: while their ids can be broadcast, no other text is shuffled."""
+    return rows_of.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "doc")
+
+
 def link_components(texts: DataFrame, rows_of: DataFrame, share: int = SHARE, bag: int = BAG) -> DataFrame:
     """(id, component) of the ids in ``texts`` (doc, text; distinct sets) that have a link. rows_of has the same texts, perhaps among others."""
     spark = texts.sparkSession
@@ -353,9 +358,7 @@ def link_components(texts: DataFrame, rows_of: DataFrame, share: int = SHARE, ba
     lead = dealt.where("doc = bag").select("bag", "doc", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = dealt.where("doc <> bag").select("bag", "doc", "parts", "part").union(lead)
     dealt = runtime.store(dealt, "parts")
-    # Few documents are in a bag: while their ids are few enough to broadcast, no other text is shuffled.
-    named = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
-    rows = rows_of.join(named, "doc").select("bag", "part", "doc", F.col("doc").alias("label"), F.lit(0).cast("bigint").alias("side"), "text")
+    rows = _with_text(dealt, rows_of).select("bag", "part", "doc", F.col("doc").alias("label"), F.lit(0).cast("bigint").alias("side"), "text")
     links = runtime.store(_joined(rows, share, False), "links")
     found = runtime.store(components(links), "components")
 
@@ -369,7 +372,7 @@ def link_components(texts: DataFrame, rows_of: DataFrame, share: int = SHARE, ba
         pairs = wide.select("bag", "doc", "label", "part", "parts", other).where("part <> other")
         low, high = F.least("part", "other"), F.greatest("part", "other")
         pairs = pairs.select("bag", (low * F.col("parts") + high).alias("pair"), "doc", "label", F.col("part").cast("bigint").alias("side"))
-        rows = pairs.withColumnRenamed("pair", "part").join(rows_of, "doc")
+        rows = _with_text(runtime.store(pairs.withColumnRenamed("pair", "part"), "pairs"), rows_of)
         more = runtime.store(_joined(rows, share, True), "links")
         found = runtime.store(components(links.union(more)), "components")
     return found
