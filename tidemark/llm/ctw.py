@@ -41,7 +41,7 @@ from tidemark.llm.ngram_join import _LOWER, _VALUE, word_spans
 DEPTH = 4
 HOT_SHARE = 1e-6
 END = 255
-SLICE = 4 << 20
+SLICE = 2 << 20
 U = np.uint64
 
 
