@@ -349,6 +349,33 @@ def test_quality_fence(spark):
     assert not got[99]["base_failed"] and not got[99]["kept"] and all(got[i]["kept"] for i in range(60))
 
 
+def test_quality_fences_decide(spark):
+    """Each of the seven fences rejects a document that the fixed rules pass."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k:03}" for k in range(900)]
+    text = lambda n: " ".join(rng.permutation(words)[:n])
+    clean = {i: text(int(rng.integers(190, 211))) for i in range(200)}
+    odd = {
+        1000: " ".join(f"{w}#" if k % 2 else w for k, w in enumerate(text(200).split())),  # symbols
+        1001: "\n".join([*text(196).split(" "), *["x y"] * 40]),  # equal lines
+        1002: text(150) + " again and again and again and again and again and again and again and again and again and again and again and again and again",
+        1003: " ".join(w + "long" for w in text(200).split()),
+        1004: " ".join(w[1:3] for w in text(200).split()),
+        1005: text(900),
+        1006: text(70),
+    }
+    rows = [(i, t, "en", "a", 0, "", 0.0, "") for i, t in (clean | odd).items()]
+    measured = quality.measures(spark.createDataFrame(rows, SCHEMA))
+    got = table(quality.verdicts(measured))
+    assert all(got[i]["kept"] for i in clean)
+    assert not any(got[i]["base_failed"] for i in odd) and not any(got[i]["kept"] for i in odd)
+    fence, seen = quality.thresholds(measured).collect()[0].asDict(), table(measured)
+    for i, m in zip(odd, ("symbol_share", "dup_line_share", "repeat_share", "mean_word", None, "log_words", None), strict=True):
+        assert m is None or seen[i][m] > fence[f"{m}_most"]
+    assert seen[1004]["mean_word"] < fence["mean_word_least"] and seen[1006]["log_words"] < fence["log_words_least"]
+    assert 0 < fence["repeat_share_most"] < 0.5 and fence["log_words_least"] > np.log1p(50)
+
+
 # --- 10 ---
 
 

@@ -23,11 +23,13 @@ from tidemark.llm import runtime
 
 #: Characters between words.
 BLANK = "[\\x20\\x09-\\x0D]+"
-FENCE = 12.0
+#: Spreads beyond the quartile; six from quartile to median are Tukey's outer fence.
+FENCE = 6.0
 MIN_GROUP = 50
 K = 400
-#: Smallest spread of a measure, so that a group of equal documents rejects nothing by rounding.
-FLOOR = {"symbol_share": 0.005, "dup_line_share": 0.05, "repeat_share": 0.05, "mean_word": 0.5, "log_words": 0.5}
+#: Smallest spread of a measure, so that a group of equal documents rejects nothing by rounding. A group without
+#: symbols or repeats tolerates FENCE floors: 6 % of symbols, 12 % of equal lines or repeated words.
+FLOOR = {"symbol_share": 0.01, "dup_line_share": 0.02, "repeat_share": 0.02, "mean_word": 0.1, "log_words": 0.1}
 #: Measures for which only large values are bad.
 UPPER = ("symbol_share", "dup_line_share", "repeat_share")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
