@@ -376,6 +376,20 @@ def test_quality_fences_decide(spark):
     assert 0 < fence["repeat_share_most"] < 0.5 and fence["log_words_least"] > np.log1p(50)
 
 
+def test_quality_small_groups(spark):
+    """Groups and languages of under MIN_GROUP documents are judged, too, by the next larger group that is large enough."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k:03}" for k in range(900)]
+    noisy = lambda: " ".join(f"{w}###" for w in rng.choice(words, 100))
+    rows = [(i, " ".join(rng.choice(words, 100)), "en", f"s{i % 4}", 0, "", 0.0, "") for i in range(80)]
+    rows += [(100, noisy(), "en", "s0", 0, "", 0.0, ""), (101, noisy(), None, "rare", 0, "", 0.0, ""), (102, " ".join(rng.choice(words, 100)), None, None, 0, "", 0.0, "")]
+    got = table(quality.verdicts(quality.measures(spark.createDataFrame(rows, SCHEMA))))
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {100, 101}
+    few = table(quality.verdicts(quality.measures(spark.createDataFrame([r for r in rows if r[0] < 10 or r[0] == 100], SCHEMA))))
+    assert {i for i, r in few.items() if not r["kept"]} == {100}
+
+
 # --- 10 ---
 
 

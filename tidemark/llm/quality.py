@@ -7,7 +7,9 @@ after it, so a source with a third of all rows costs each task one sketch. The t
 from the merged sketches, FENCE spreads (quartile to median, with a floor) beyond the quartiles on
 the bad side, and joined back to the measures on (lang, source). Fixed rules (``base_failed``)
 still reject; the method's verdict rejects what lies beyond its group's fence. A group of under
-MIN_GROUP documents has no fence. The sketches hold K values a level and are exact below K rows.
+MIN_GROUP documents takes the fence of its language, and a language of under MIN_GROUP that of all
+documents, both from the groups' sketches merged once more. The sketches hold K values a level and
+are exact below K rows.
 
 Defined results: a null or empty text has no words and fails the fixed rules; null languages and
 sources are groups of their own; repeated rows count as often as they occur; an empty table gives
@@ -108,19 +110,31 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Per (lang, source): the fence of each measure, from merged sketches."""
+    """Per (lang, source): the fence of each measure, from the merged sketches of the least of group, language and whole that has MIN_GROUP documents, or else of the whole."""
     sketches = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"), *[F.kll_sketch_agg_double(F.col(m), F.lit(K)).alias(m) for m in FLOOR])
+    sketches = runtime.store(sketches, "quality-sketches")
+
+    def merged(of: str) -> list[Column]:
+        return [F.sum("_n").alias(f"_n_{of}"), *[F.kll_merge_agg_double(F.col(m), F.lit(K)).alias(f"{m}_{of}") for m in FLOOR]]
+
+    by_lang = sketches.groupBy(F.col("lang").alias("_of")).agg(*merged("lang"))
+    whole = sketches.agg(*merged("all"))
+    wide = sketches.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(whole))
+
+    def chosen(m: str) -> Column:
+        return F.when(F.col("_n") >= MIN_GROUP, F.col(m)).when(F.col("_n_lang") >= MIN_GROUP, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
+
+    sketches = wide.select("lang", "source", *[chosen(m).alias(m) for m in FLOOR])
 
     def q(m: str, p: float) -> Column:
         return F.kll_sketch_get_quantile_double(F.col(m), F.lit(p))
 
     out = [F.col("lang").alias("_lang"), F.col("source").alias("_source")]
     for m, floor in FLOOR.items():
-        large = F.col("_n") >= MIN_GROUP
         spread = lambda a, b, m=m, floor=floor: F.greatest(q(m, a) - q(m, b), F.lit(floor))
-        out.append(F.when(large, q(m, 0.75) + FENCE * spread(0.75, 0.5)).alias(f"{m}_most"))
+        out.append((q(m, 0.75) + FENCE * spread(0.75, 0.5)).alias(f"{m}_most"))
         if m not in UPPER:
-            out.append(F.when(large, q(m, 0.25) - FENCE * spread(0.5, 0.25)).alias(f"{m}_least"))
+            out.append((q(m, 0.25) - FENCE * spread(0.5, 0.25)).alias(f"{m}_least"))
     return sketches.select(*out)
 
 
@@ -132,9 +146,9 @@ def verdicts(measured: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     beyond = F.lit(False)
     for m in FLOOR:
-        beyond = beyond | F.coalesce(F.col(m) > F.col(f"{m}_most"), F.lit(False))
+        beyond = beyond | (F.col(m) > F.col(f"{m}_most"))
         if m not in UPPER:
-            beyond = beyond | F.coalesce(F.col(m) < F.col(f"{m}_least"), F.lit(False))
+            beyond = beyond | (F.col(m) < F.col(f"{m}_least"))
     return joined.select(*measured.columns, failed.alias("base_failed"), (~failed & ~beyond).alias("kept"))
 
 
