@@ -15,7 +15,7 @@ from tidemark.llm import line_dedup, ngram_join, packing, quality, runtime, toxi
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the classifier learns from sf_dir's labels of the documents at hand."""
+    """Documents that op4's own threshold leaves; the classifier learns from sf_dir's labels of the documents at hand."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep(docs, model)
 

@@ -156,6 +156,16 @@ def test_toxicity(spark, docs, none):
     assert table(toxicity.score(docs, empty))[11]["score"] > table(toxicity.score(docs, empty))[9]["score"]
 
 
+def test_toxicity_stage_rejects_what_the_operator_rejects(spark):
+    rows = [(i, " ".join(["plain"] * i), "en", "s", 0, "", 0.0, "") for i in range(1, 40)]
+    some = spark.createDataFrame(rows, SCHEMA)
+    weights = toxicity.fit(some.where("doc_id < 0"), spark.createDataFrame([], "doc_id bigint, toxic int"))
+    weights["bias"] = np.array(-0.4)  # a score of 0.4 for a text without votes
+    got = table(toxicity.score(some, weights))
+    assert any(toxicity.THRESHOLD <= r["score"] < 0.5 for r in got.values())
+    assert {r["doc_id"] for r in toxicity.keep(some, weights).collect()} == {i for i, r in got.items() if not r["predicted"]}
+
+
 # --- 5 ---
 
 

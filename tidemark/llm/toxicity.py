@@ -355,7 +355,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
     return found.select(id_col, held_out(F.col(id_col), FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
