@@ -251,6 +251,49 @@ def test_line_index_is_reversible(spark, docs):
     assert {tuple(r) for r in index.shared.collect()} == first
 
 
+def line_texts(first, n, lines):
+    return {first + i: "\n".join(f"line {k} of the documents from {first} on, which all of them share" for k in range(lines)) for i in range(n)}
+
+
+def test_line_index_grows(spark, monkeypatch):
+    """Filters that overflow are rebuilt, keys that outgrow the shards are dealt anew, and apply() uses the kept filters."""
+    frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id bigint, text string")
+    few, many = line_texts(0, 5, 1), line_texts(100, 6, 600)
+    index = line_dedup.LineIndex(spark, shards=1)
+    index.insert(frame(few))
+    index.insert(frame(many))
+    one = index.shards
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 200)
+    more = line_texts(200, 5, 3)
+    index.insert(frame(more))
+    assert one == 1 < index.shards
+    index.delete(frame(few))
+    monkeypatch.setattr(line_dedup, "refresh", None)
+    texts = many | more
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in index.apply(frame(texts)).collect()} == brute_lines(texts)
+
+
+def test_line_index_survives_a_failed_call(spark, docs, monkeypatch):
+    index = line_dedup.LineIndex(spark)
+    index.insert(docs.where("doc_id < 3"))
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "refresh", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.insert(docs.where("doc_id >= 3"))
+    index.insert(docs.where("doc_id >= 3"))
+    assert {tuple(r) for r in index.shared.collect()} == {tuple(r) for r in line_dedup.shared_keys(line_dedup.references(docs)).collect()}
+
+
+def test_line_query_goes_through_the_table(spark, tmp_path, monkeypatch):
+    from tidemark.llm import queries
+
+    made = []
+    monkeypatch.setattr(line_dedup.LineIndex, "insert", lambda self, docs, f=line_dedup.LineIndex.insert: (made.append(self), f(self, docs))[1])
+    spark.createDataFrame([(i, t) for i, t in TEXTS.items()], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op6_line_dedup(spark, str(tmp_path)).count() == len(TEXTS)
+    assert made[0].references().select("doc").distinct().count() > 5
+
+
 def test_cuckoo():
     rng = np.random.default_rng(1)
     hi, lo = (rng.integers(0, 2**63, 20_000).astype(np.uint64) for _ in range(2))

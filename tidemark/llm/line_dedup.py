@@ -9,7 +9,8 @@ appends -1, and the exact count of a key is the sum. Nothing is overwritten, so
 reversible. Counting adds up within each task before the shuffle, so a line of a third of all
 documents costs one row a task. Shared keys are dealt to shards by hash, and each shard keeps a
 cuckoo filter of them; refresh() inserts keys that became shared and deletes keys that no longer
-are. Documents are then read once: a line whose key the shard's filter doesn't hold stays without
+are, and rebuilds a filter at twice the size from the shard's shared keys when it overflows. An
+index that outgrows its shards deals all keys to more. Documents are then read once: a line whose key the shard's filter doesn't hold stays without
 further work; the rest are looked up in the exact table. Filters and table are broadcast while the
 table has at most BROADCAST_KEYS rows; beyond that the line keys meet the table in a shuffled join.
 
@@ -75,7 +76,6 @@ class Cuckoo:
         while len(mark):
             rounds += 1
             if rounds > 500:
-                self._grow()
                 raise OverflowError("the filter is too small")
             _, first = np.unique(at, return_index=True)
             turn = np.zeros(len(mark), bool)
@@ -92,9 +92,6 @@ class Cuckoo:
             mark = np.concatenate([mark[~turn], out])
             at = np.concatenate([at[~turn], self._other(out, a)])
 
-    def _grow(self) -> None:
-        return None
-
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         mark, at = self._places(hi, lo)
         other = self._other(mark, at)
@@ -188,17 +185,21 @@ def refresh(shared: DataFrame, filters: DataFrame | None, before: DataFrame | No
         keys = ["hi", "lo"]
         change = shared.join(before, keys, "left_anti").select(at.alias("shard"), "hi", "lo", F.lit(1).alias("change"))
         change = change.union(before.join(shared, keys, "left_anti").select(at.alias("shard"), "hi", "lo", F.lit(-1).alias("change")))
+        change = change.union(shared.join(before, keys, "left_semi").select(at.alias("shard"), "hi", "lo", F.lit(0).alias("change")))
 
     def run(key, old: pa.Table, new: pa.Table) -> pa.Table:
         hi, lo, sign = _u64(new["hi"]), _u64(new["lo"]), new["change"].to_numpy()
-        add, drop = sign > 0, sign < 0
+        add, drop, held = sign > 0, sign < 0, sign >= 0
         if old.num_rows:
             table = np.frombuffer(old["filter"][0].as_py(), np.uint16).reshape(-1, 4).copy()
             f = Cuckoo(0, table)
             f.delete(hi[drop], lo[drop])
-            f.insert(hi[add], lo[add])
+            try:
+                f.insert(hi[add], lo[add])
+            except OverflowError:  # which leaves keys out of the filter
+                f = filled(hi[held], lo[held], max(3 * len(table), int(held.sum()) + 16))
         else:
-            f = filled(hi[add], lo[add], int(add.sum()) + 16)
+            f = filled(hi[held], lo[held], int(held.sum()) + 16)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.table.tobytes()], pa.binary())})
 
     return filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(run, "shard int, filter binary")
@@ -269,8 +270,8 @@ def _dropped(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, min
     return hit.groupBy(F.col("doc").alias("_gone_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("_gone"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shared: DataFrame | None = None, broadcast_keys: int = BROADCAST_KEYS, whole_rows: bool = False) -> DataFrame:
-    """Per row: id, n_lines, n_dropped, kept_text; or, with whole_rows, the row with its text replaced."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shared: DataFrame | None = None, broadcast_keys: int = BROADCAST_KEYS, whole_rows: bool = False, filters: DataFrame | None = None, shards: int = 0) -> DataFrame:
+    """Per row: id, n_lines, n_dropped, kept_text; or, with whole_rows, the row with its text replaced. filters: those of shared, over so many shards."""
     if shared is None:
         shared = runtime.store(shared_keys(references(docs, id_col, text_col, min_chars), min_docs), "shared-lines")
     n = shared.count()
@@ -282,8 +283,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         gone = _dropped(docs, shared, id_col, text_col, min_chars)
         rows = rows.join(gone, F.coalesce(F.col(id_col), F.lit(NO_ID)) == F.col("_gone_id"), "left").drop("_gone_id")
     else:
-        shards = _shards(n)
-        screen = _broadcast_screen(shared, refresh(shared, None, None, shards), shards)
+        if filters is None:
+            shards = _shards(n)
+            filters = refresh(shared, None, None, shards)
+        screen = _broadcast_screen(shared, filters, shards)
     at_id, at_text, mark = names.index(id_col), names.index(text_col), runtime.token()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,13 +333,38 @@ class LineIndex:
         self.filters: DataFrame | None = None
 
     def _append(self, docs: DataFrame, delta: int, id_col: str, text_col: str) -> None:
-        references(docs, id_col, text_col, self.min_chars).withColumn("delta", F.lit(delta).cast("bigint")).write.mode("append").parquet(f"{self.path}/refs")
-        shared = runtime.store(shared_keys(self.references(), self.min_docs), "line-index-shared")
-        self.filters = runtime.store(refresh(shared, self.filters, self.shared, self.shards), "line-index-filters")
-        self.shared = shared
+        """The new references join the table once the filters hold them, so that a failed call leaves the index as it was."""
+        new = runtime.store(references(docs, id_col, text_col, self.min_chars).withColumn("delta", F.lit(delta).cast("bigint")), "line-index-new")
+        try:
+            refs = new if self.shared is None and not self._there() else self.references().union(new)
+            shared = runtime.store(shared_keys(refs, self.min_docs), "line-index-shared")
+            filters, before, shards = self.filters, self.shared, self.shards
+            if (least := _shards(shared.count())) > shards:
+                filters, before, shards = None, None, 2 * least
+            filters = runtime.store(refresh(shared, filters, before, shards), "line-index-filters")
+            self._take(new)
+        except Exception:
+            runtime.discard(new)
+            raise
+        self.shared, self.filters, self.shards = shared, filters, shards
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _there(self) -> bool:
+        fs, refs = self._at(f"{self.path}/refs")
+        return fs.exists(refs)
+
+    def _take(self, new: DataFrame) -> None:
+        """Moves the stored references into the table, in one step."""
+        fs, refs = self._at(f"{self.path}/refs")
+        fs.mkdirs(refs)
+        if not fs.rename(self._at(new.stored_at)[1], self._at(f"{self.path}/refs/{new.stored_at.rsplit('/', 1)[1]}")[1]):
+            raise OSError(f"cannot move {new.stored_at} to {self.path}/refs")
 
     def references(self) -> DataFrame:
-        return self.spark.read.schema("hi bigint, lo bigint, doc bigint, delta bigint").parquet(f"{self.path}/refs")
+        return self.spark.read.schema("hi bigint, lo bigint, doc bigint, delta bigint").option("recursiveFileLookup", "true").parquet(f"{self.path}/refs")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         self._append(docs, 1, id_col, text_col)
@@ -345,4 +373,4 @@ class LineIndex:
         self._append(docs, -1, id_col, text_col)
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        return dedup(docs, id_col, text_col, self.min_chars, self.min_docs, shared=self.shared)
+        return dedup(docs, id_col, text_col, self.min_chars, self.min_docs, shared=self.shared, filters=self.filters, shards=self.shards)

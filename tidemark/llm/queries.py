@@ -59,7 +59,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    index = line_dedup.LineIndex(spark)
+    index.insert(docs)
+    found = index.apply(docs)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
