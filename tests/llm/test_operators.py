@@ -137,6 +137,16 @@ def test_license_seeds_lose_nothing(text):
     assert bool(scanner.spans(text)) == license_scan.brute(text, notice, k)
 
 
+def test_license_windows_hold_all_matches():
+    scanner = license_scan.Scanner(license_scan.NOTICES, license_scan.EDIT_STEP)
+    labels = lambda text: [(scanner.notices[i][1], a, b) for i, a, b, _ in scanner.spans(text)]
+    assert ("apache-2.0", 0, 45) in labels("licenscd undcr tne apacne license version 2 0")  # a later seed begins earlier
+    worse, best = "creative comnons attribution", "creative commons attribution"
+    for text in (f"{worse} {best}", f"{best} {worse}", f"{worse} {best} {worse}"):
+        found = [x for x in labels(text) if x[0] == "cc-by"]
+        assert len(found) == text.count("creative") and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
 # --- 4 ---
 
 

@@ -5,7 +5,8 @@ pieces; by the pigeonhole principle every match within k edits holds one piece u
 occurrences of the pieces are the only candidates. They are found with one Aho-Corasick pass over
 the normal form of the text (its words, joined by single blanks). Around each candidate the regex
 library searches ``(?b)(?:notice){e<=k}`` in a window that a match cannot leave, which verifies the
-edits and gives the span. Windows of one notice that touch are searched as one.
+edits and gives the span. Windows of one notice that touch are searched as one, and again before
+and after each match, since the first one found is the best and not the leftmost.
 
 The base phrases are found exactly, on word borders, besides. Spans are in words.
 
@@ -70,23 +71,24 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) of the matches in a normal form."""
-        wide: dict[int, list[list[int]]] = {}
+        wide: dict[int, list[tuple[int, int]]] = {}
         for end, seeds in self.seeds.iter(text):
             for i, a, b in seeds:
                 start = end + 1 - (b - a)
                 k, m = self.edits[i], len(self.notices[i][0])
                 lo, hi = max(0, start - a - k), min(len(text), start - a + m + k)
                 runs = wide.setdefault(i, [])
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(hi, runs[-1][1])
-                    runs[-1][2].add(a)
-                else:
-                    runs.append([lo, hi, {a}])
+                while runs and lo <= runs[-1][1]:
+                    before = runs.pop()
+                    lo, hi = min(lo, before[0]), max(hi, before[1])
+                runs.append((lo, hi))
         out = []
         for i, runs in wide.items():
-            for lo, hi, _ in runs:
-                for m in self.patterns[i].finditer(text, lo, hi):
+            while runs:
+                lo, hi = runs.pop()
+                if m := self.patterns[i].search(text, lo, hi):
                     out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    runs += (lo, m.start()), (m.end(), hi)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
