@@ -9,7 +9,8 @@ without a scan for each merge. Each distinct word is merged once for each worker
 cache of words is bounded and rebuilt when full.
 
 Text never becomes one Python object a word: code points are classed by a table, word borders
-follow from the classes, and words are looked up by a 64-bit hash of their span.
+follow from the classes, and words are looked up by a 64-bit hash of their span. The hash is made
+from numbers that each worker draws for itself, so no two words can be made to share one.
 
 Results equal those of the tokenizers library for the file that ``path`` names, special-token
 strings within a text included. (Its lower-casing knows letters of newer Unicode versions than
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,37 +35,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
-from tidemark.llm.hashing import IntMap, mix, ragged, span_hashes
+from tidemark.llm.hashing import Hasher, IntMap, ragged
 
 #: Bytes from which on a word is merged by the heap.
 LONG = 48
-#: Distinct words that a worker keeps, at most.
-CACHE_WORDS = 400_000
+#: Distinct words that a worker keeps, at most; beyond it those go that were looked up once only.
+CACHE_WORDS = 800_000
+#: Longest word of each matrix that is merged at once; shorter words of it are padded.
+WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, LONG)
 NONE = np.int32(2**31 - 1)
+PAD = 2**31 - 2
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 _tables: dict = {}
 _coders: dict = {}
 
 
-def classes() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its class, and a random value for hashing."""
+def classes() -> np.ndarray:
+    """The class of each code point."""
     if "cls" not in _tables:
+        kinds = np.array(list(map(unicodedata.category, map(chr, range(0x110000)))))
+        first = kinds.astype("U1")
         cls = np.full(0x110000, OTHER, np.uint8)
-        unknown = np.zeros(0x110000, bool)
-        for c in range(0x110000):
-            kind = unicodedata.category(chr(c))
-            if kind[0] == "L":
-                cls[c] = LETTER
-            elif kind[0] == "N":
-                cls[c] = NUMBER
-            unknown[c] = kind == "Cn"
-        _tables["unknown"] = unknown
+        cls[first == "L"], cls[first == "N"] = LETTER, NUMBER
+        _tables["unknown"] = kinds == "Cn"
         white = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
         cls[white] = SPACE
         _tables["cls"] = cls
-        _tables["val"] = mix(np.arange(0x110000, dtype=np.uint64))
-    return _tables["cls"], _tables["val"]
+        _tables["hasher"] = Hasher(0x110000, int.from_bytes(os.urandom(8), "big"))
+    return _tables["cls"]
 
 
 def byte_letters() -> dict[int, str]:
@@ -117,39 +117,49 @@ class Coder:
     def _forget(self) -> None:
         self.words = IntMap(1 << 14)
         self.n_words = 0
+        self.w_key = np.zeros(1 << 14, np.uint64)
         self.w_off = np.zeros(1 << 14, np.int64)
         self.w_len = np.zeros(1 << 14, np.int32)
+        self.w_again = np.zeros(1 << 14, bool)
         self.ids = np.zeros(1 << 16, np.int32)
         self.n_ids = 0
 
+    def _thin(self) -> None:
+        """Keeps the words that were looked up again, unless they are most."""
+        at = np.flatnonzero(self.w_again[: self.n_words])
+        key, size = self.w_key[at], self.w_len[at]
+        ids = self.ids[ragged(self.w_off[at], size)]
+        self._forget()
+        if len(at) <= CACHE_WORDS // 2:
+            self._learn(key, size, ids)
+
     # --- merging -----------------------------------------------------------------------------
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         r = self.pairs.get(self._key(a.ravel(), b.ravel())).reshape(a.shape)
         return np.where(r < 0, NONE, r)
 
-    def _rows(self, parts: np.ndarray, out: list, index: np.ndarray) -> None:
-        """Merges the rows of ``parts``, words of one length each, and puts them into ``out``."""
+    def _rows(self, parts: np.ndarray, size: np.ndarray, index: np.ndarray, out: list) -> None:
+        """Merges the rows of ``parts``, words of ``size`` bytes each with pads behind; (index, sizes, ids) of finished words go to ``out``."""
         rank = self.ranks(parts[:, :-1], parts[:, 1:])
-        while True:
+        while len(parts):
             n, width = parts.shape
             if width == 1:
-                for i, row in zip(index.tolist(), parts, strict=True):
-                    out[i] = row
+                out.append((index, size, parts[:, 0]))
                 return
+            rows = np.arange(n)
             at = rank.argmin(1)
-            low = rank[np.arange(n), at]
+            low = rank[rows, at]
             over = low == NONE
             if over.any():
-                for i, row in zip(index[over].tolist(), parts[over], strict=True):
-                    out[i] = row
+                done = parts[over]
+                out.append((index[over], size[over], done[np.arange(width) < size[over][:, None]]))
                 live = ~over
-                parts, rank, index, at, low = parts[live], rank[live], index[live], at[live], low[live]
+                parts, rank, size, index, at, low = parts[live], rank[live], size[live], index[live], at[live], low[live]
                 n = len(parts)
-                if not n:
-                    return
-            rows = np.arange(n)
+                rows = np.arange(n)
             parts[rows, at] = self.made[low]
+            size = size - 1
             keep = np.ones((n, width), bool)
             keep[rows, at + 1] = False
             parts = parts[keep].reshape(n, width - 1)
@@ -157,13 +167,10 @@ class Coder:
             keep[rows, at] = False
             rank = rank[keep].reshape(n, width - 2)
             left = np.flatnonzero(at > 0)
-            if len(left):
-                c = at[left]
-                rank[left, c - 1] = self.ranks(parts[left, c - 1], parts[left, c])
-            right = np.flatnonzero(at < width - 2)
-            if len(right):
-                c = at[right]
-                rank[right, c] = self.ranks(parts[right, c], parts[right, c + 1])
+            right = np.flatnonzero(at < size - 1)
+            a, b = at[left] - 1, at[right]
+            fresh = self.ranks(np.concatenate([parts[left, a], parts[right, b]]), np.concatenate([parts[left, a + 1], parts[right, b + 1]]))
+            rank[left, a], rank[right, b] = fresh[: len(left)], fresh[len(left) :]
 
     def _heap(self, parts: list[int]) -> list[int]:
         """Merges one long word."""
@@ -188,23 +195,34 @@ class Coder:
                     heapq.heappush(heap, (s, p, parts[p], parts[q]))
         return [p for p in parts if p >= 0]
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
-        out: list = [np.zeros(0, np.int32)] * len(words)
-        lengths = np.array([len(w) for w in words], np.int64)
-        for size in np.unique(lengths).tolist():
-            index = np.flatnonzero(lengths == size)
-            if not size:
-                continue
-            raw = np.frombuffer(b"".join([words[i] for i in index.tolist()]), np.uint8).reshape(-1, size)
-            parts = self.first[raw]
-            parts[:, -1] = self.last[raw[:, -1]]
-            if size > LONG:
-                for i, row in zip(index.tolist(), parts.tolist(), strict=True):
-                    out[i] = np.array(self._heap(row), np.int32)
-            else:
-                self._rows(parts, out, index)
-        return out
+    def merge_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, all ids) of the words at these spans of bytes."""
+        lengths = end - start
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        least = 0
+        for width in WIDTHS:
+            index = np.flatnonzero((lengths > least) & (lengths <= width))
+            least = width
+            if len(index):
+                size = lengths[index]
+                parts = np.full((len(index), width), PAD, np.int32)
+                parts[np.arange(width) < size[:, None]] = self.first[data[ragged(start[index], size)]]
+                parts[np.arange(len(index)), size - 1] = self.last[data[end[index] - 1]]
+                self._rows(parts, size, index, done)
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            raw = data[start[i] : end[i]]
+            ids = self.first[raw]
+            ids[-1] = self.last[raw[-1]]
+            ids = np.array(self._heap(ids.tolist()), np.int32)
+            done.append((np.array([i]), np.array([len(ids)]), ids))
+        count = np.zeros(len(lengths), np.int64)
+        for index, size, _ in done:
+            count[index] = size
+        offset = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        for index, size, ids in done:
+            flat[ragged(offset[index], size)] = ids
+        return count, flat
 
     # --- words -------------------------------------------------------------------------------
 
@@ -285,7 +303,7 @@ class Coder:
         return np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(joined)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cls_of, val_of = classes()
+        cls_of = classes()
         whole = "".join(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         border = np.concatenate([[0], np.cumsum(lengths)])
@@ -301,32 +319,33 @@ class Coder:
         if self.words_end:
             keep = cls[start] != SPACE
             start, end = start[keep], end[keep]
-        keys = span_hashes(val_of[cp], start, end)
+        keys = _tables["hasher"].spans(cp, start, end)
         if self.n_words > CACHE_WORDS:
-            self._forget()
+            self._thin()
         at = self.words.get(keys)
         miss = np.flatnonzero(at < 0)
+        self.w_again[at[at >= 0]] = True
         if len(miss):
             fresh, first = np.unique(keys[miss], return_index=True)
             first = miss[first]
-            words = [whole[a:b].encode("utf-8", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            self._learn(fresh, self.merge_words(words))
+            data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+            place = np.arange(n + 1) if len(data) == n else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            self._learn(fresh, *self.merge_words(data, place[start[first]], place[end[first]]))
             at[miss] = self.words.get(keys[miss])
         size = self.w_len[at].astype(np.int64)
         ids = self.ids[ragged(self.w_off[at], size)]
         upto = np.concatenate([[0], np.cumsum(size)])
         return upto[np.searchsorted(start, border)], ids
 
-    def _learn(self, keys: np.ndarray, merged: list[np.ndarray]) -> None:
-        size = np.array([len(m) for m in merged], np.int32)
-        flat = np.concatenate(merged)
+    def _learn(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
         k, m = self.n_words, self.n_ids
-        for name, need in (("w_off", k + len(keys)), ("w_len", k + len(keys)), ("ids", m + len(flat))):
+        for name, need in (("w_key", k + len(keys)), ("w_off", k + len(keys)), ("w_len", k + len(keys)), ("w_again", k + len(keys)), ("ids", m + len(flat))):
             a = getattr(self, name)
             if need > len(a):
                 setattr(self, name, np.concatenate([a, np.zeros(max(len(a), need - len(a)), a.dtype)]))
-        self.w_len[k : k + len(keys)] = size
-        self.w_off[k : k + len(keys)] = m + np.cumsum(size) - size
+        new = slice(k, k + len(keys))
+        self.w_key[new], self.w_len[new], self.w_again[new] = keys, size, False
+        self.w_off[new] = m + np.cumsum(size) - size
         self.ids[m : m + len(flat)] = flat
         self.words.add(keys, np.arange(k, k + len(keys)))
         self.n_words, self.n_ids = k + len(keys), m + len(flat)

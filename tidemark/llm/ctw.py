@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
-from tidemark.llm.hashing import IntMap, mix, span_hashes
-from tidemark.llm.ngram_join import _LOWER, _VALUE, word_spans
+from tidemark.llm.hashing import IntMap, mix
+from tidemark.llm.ngram_join import _LOWER, HASHER, word_spans
 
 DEPTH = 4
 HOT_SHARE = 1e-6
@@ -85,7 +85,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, document of each) of lower-cased words."""
     offsets, data = runtime.utf8(column)
     start, end, doc = word_spans(offsets, data)
-    return span_hashes(_VALUE[_LOWER[data]], start, end), doc
+    return HASHER.spans(_LOWER[data], start, end), doc
 
 
 def word_counts(texts: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Vectorised hashing of spans inside one buffer, and a numpy hash map.
 
-Spans (words, shingles, lines) are hashed without making a Python object for each: a prefix
-sum of ``value[x_i] * BASE**i`` gives the 64-bit hash of any span by one subtraction and one
-multiplication.
+A span (word, stem) is hashed without making a Python object of it: the sum over its places of
+``value[code] * weight[place]``, both random 64-bit numbers, modulo 2**64. The weights are
+independent of each other, so no word and its rearrangement cancel out as they do for powers of
+one base (Thue-Morse words, modulo 2**64). Two different spans meet with a chance of about 2**-63.
+A Hasher made from a secret seed can't be attacked by words made to collide, either.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Elements that are hashed at a time, unless a single span is longer.
+CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,35 +28,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """BASE**i and BASE**-i for i below the largest buffer seen so far."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U(pow(_BASE_INV, k, 1 << 64))])
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, mixed: bool = True) -> np.ndarray:
-    """A 64-bit hash, never 0, of each span of ``values`` (uint64 per element)."""
-    n = len(values)
-    up, down = POWERS.upto(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    if mixed:
-        h = mix(h ^ ((ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)))
-    h[h == 0] = U(1)
-    return h
+def values(n: int, seed: int) -> np.ndarray:
+    """n random numbers that follow from a seed."""
+    return mix(mix(np.arange(n, dtype=np.uint64) + U(seed & 0xFFFFFFFF)) ^ U(seed & (1 << 64) - 1))
+
+
+class Hasher:
+    """Hashes of spans of codes; equal seeds give equal hashes."""
+
+    def __init__(self, codes: int, seed: int) -> None:
+        self.seed = seed
+        self.value = values(codes, seed)
+        self.weight = values(64, ~seed) | U(1)
+
+    def _weights(self, n: int) -> np.ndarray:
+        if len(self.weight) < n:
+            self.weight = values(max(n, 2 * len(self.weight)), ~self.seed) | U(1)
+        return self.weight
+
+    def spans(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash, never 0, of each span of ``codes``. Spans aren't empty."""
+        lengths = ends - starts
+        n = len(lengths)
+        out = np.empty(n, np.uint64)
+        if not n:
+            return out
+        weight = self._weights(int(lengths.max()))
+        upto = np.cumsum(lengths)
+        a = 0
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK, "right"))))
+            size = lengths[a:b]
+            first = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) - np.repeat(first, size)
+            at = place + np.repeat(starts[a:b], size)
+            out[a:b] = np.add.reduceat(self.value.take(codes.take(at)) * weight.take(place), first)
+            a = b
+        out = mix(out ^ (lengths.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+        out[out == 0] = U(1)
+        return out
 
 
 class IntMap:
@@ -73,9 +85,10 @@ class IntMap:
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, or -1 where a key is absent."""
         slot = self._slots(keys)
-        at = self.keys[slot]
-        out = np.where(at == keys, self.vals[slot], np.int32(-1))
-        rest = np.flatnonzero((at != keys) & (at != 0))
+        at = self.keys.take(slot)
+        same = at == keys
+        out = np.where(same, self.vals.take(slot), np.int32(-1))
+        rest = np.flatnonzero(~same & (at != 0))
         while len(rest):
             s = (slot[rest] + 1) & (self.size - 1)
             slot[rest] = s

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
 from tidemark.llm.components import components
-from tidemark.llm.hashing import mix, ragged, span_hashes
+from tidemark.llm.hashing import Hasher, mix
 
 WORDS = 5
 #: Per cent of the union that two sets must share.
@@ -53,7 +53,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(9, 14)]] = False
-_VALUE = mix(np.arange(256, dtype=np.uint64) + U(77))
+HASHER = Hasher(256, 77)
 
 
 def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     offsets, data = runtime.utf8(column)
     n = len(offsets) - 1
     start, end, _ = word_spans(offsets, data)
-    h = span_hashes(_VALUE[_LOWER[data]], start, end)
+    h = HASHER.spans(_LOWER[data], start, end)
     border = np.searchsorted(start, offsets).tolist()
     turn = [U(pow(0xD1342543DE82EF95, j + 1, 1 << 64)) for j in range(words)]
     m = max(0, len(h) - words + 1)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
 from tidemark.llm.ctw import held_out
-from tidemark.llm.hashing import IntMap, mix, span_hashes
+from tidemark.llm.hashing import Hasher, IntMap
 
 MAX_TRAIN = 12_000
 BINS = 1 << 14
@@ -61,7 +61,7 @@ for _b in range(0x41, 0x5B):
 _LEET = _WORD.copy()
 for _a, _b in zip("013457@$!", "oieastasi", strict=True):
     _LEET[ord(_a)] = ord(_b)
-_VALUE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1234))
+HASHER = Hasher(256, 1234)
 
 
 def _spans(chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +80,14 @@ def _spans(chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _words(chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of the runs of nonzero bytes."""
     start, end, doc = _spans(chars, offsets)
-    return span_hashes(_VALUE[chars], start, end), doc
+    return HASHER.spans(chars, start, end), doc
 
 
 def _stems(chars: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of the first bytes of the words that have so many."""
     start, end, doc = _spans(chars, offsets)
     on = end - start >= size
-    return span_hashes(_VALUE[chars], start[on], start[on] + size), doc[on]
+    return HASHER.spans(chars, start[on], start[on] + size), doc[on]
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
