@@ -13,16 +13,28 @@ from pyspark.sql import functions as F
 from tidemark.llm import runtime
 
 
+#: Links of a node from which on its rows aren't dealt by it; there are at most the number of links over HOT such nodes.
+HOT = 500_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (a, b) with the m of least (a, m, n): rows of nodes with many links get it by broadcast, the rest by a shuffled join."""
+    hot = least.where(F.col("n") > HOT).select("a", F.col("m").alias("_m"))
+    marked = rows.join(F.broadcast(hot), "a", "left")
+    cold = marked.where("_m is null").drop("_m").join(least.where(F.col("n") <= HOT).select("a", "m"), "a")
+    return cold.unionByName(marked.where("_m is not null").withColumnRenamed("_m", "m"))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

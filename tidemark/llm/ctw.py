@@ -1,47 +1,52 @@
 """Language-model scoring by context-tree weighting over bytes, beside a unigram score.
 
 Method. A byte is eight binary decisions, each with its own context tree over the DEPTH bytes
-before it. A node estimates its bit by Krichevsky-Trofimov from the zeros and ones seen there, and
-its weighted probability is half its own estimate, half the product of its children's. The counts
-of all trees follow from the corpus's byte (DEPTH+1)-grams, so training is one distributed count:
-packed and summed by slice, then by gram. The weighting runs apart for each most recent byte (at
-most 256 groups, in two passes over the counts, which saturate as the corpus grows); only the
-roots' 255 sums meet. The mixture along the path from leaf to root gives each seen gram's
-probability under all depths at once. A byte never seen after its context gets the share of
-probability that the seen ones leave, dealt by the tree one byte shorter, so every
-context's probabilities sum to one; contexts never seen use the shorter tree.
-A text is DEPTH starts, its bytes, and one end (byte 255, which UTF-8 doesn't use).
-
-Unigrams. Words are counted as 64-bit hashes. Words that make up over HOT_SHARE of all training
-tokens (at most 1 / HOT_SHARE of them, whatever the corpus) are broadcast; the rest meet their
-counts in hash buckets, where each document's sum is made, so no bucket holds a frequent word. The
-sums travel packed, one row for each bucket and group of documents.
-
-Defined results: a null or empty text is one end and scores as such; rows that repeat a doc_id are
-scored each; an empty table gives an empty table; without training text every bit has probability
-one half; other input columns are left out.
+before it. A node estimates its bit by Krichevsky-Trofimov (KT) from the zeros and ones seen there;
+its weighted probability is half its own estimate, half the product of its children's. A bit's
+probability is the mixture along the path from the root: at each node its own KT estimate, and for
+the rest the node one byte deeper. A context never seen has no counts, so its KT estimate is one
+half. A text is DEPTH starts, its bytes, and one end (byte 255, which UTF-8 doesn't use).
+
+Everything but the top of the trees stays in tables. Documents travel in slices of bounded size. A
+slice asks once for each distinct (DEPTH+1)-gram and word that it holds, and says how often its
+training rows hold it, packed by bucket: grams are dealt by the two bytes before the last, so a
+bucket has all subtrees below such a pair. The buckets' counts are the sums of what the slices
+say. The subtrees' products meet at depth 1 (at most 255 * 256 sums) and at the root, which are
+all that reaches the driver. Then each bucket answers its slices: the log probability of each gram
+asked, seen or not, and the count of each word. Answers meet their slice, and each row is scored
+there by itself. A pair of bytes holds at most 2**24 grams, whatever the corpus; buckets that are
+fewer than the tasks are copied, each copy for its part of the slices, so a frequent pair or word is
+one question a slice and spread over copies.
+
+Defined results: a null or empty text is one end and scores as such; rows that repeat a doc_id, and
+rows without one, are scored each (a null id's fold is that of the empty text); an empty table
+gives an empty table; without training text every bit has probability one half; other input
+columns are left out.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
-from tidemark.llm.hashing import IntMap, mix
-from tidemark.llm.ngram_join import _LOWER, HASHER, word_spans
+from tidemark.llm.hashing import Hasher, IntMap, mix
+from tidemark.llm.ngram_join import _LOWER, word_spans
 
 DEPTH = 4
-HOT_SHARE = 1e-6
 END = 255
+#: Text of a slice.
 SLICE = 2 << 20
+#: Buckets of grams and of words, at most (and at most one a task).
+GRAM_BUCKETS = 256
+WORD_BUCKETS = 2048
 U = np.uint64
 
 
@@ -49,7 +54,11 @@ def held_out(id_col: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "utf-8")), F.lit(folds)) == fold
 
 
-# --- counts -------------------------------------------------------------------------------------
+def is_held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
+
+
+# --- what a slice holds -------------------------------------------------------------------------
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,51 +79,91 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the single column of texts."""
+def word_hashes(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, document of each) of lower-cased words."""
+    offsets, data = runtime.utf8(column)
+    start, end, doc = word_spans(offsets, data)
+    return hasher.spans(_LOWER[data], start, end), doc
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runtime.slices(batches, "text", SLICE):
-            g, n = np.unique(grams(b.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+def _gram_bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix((g >> U(8)) & U(0xFFFF)) % U(buckets)).astype(np.int64)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, document of each) of lower-cased words."""
-    offsets, data = runtime.utf8(column)
-    start, end, doc = word_spans(offsets, data)
-    return HASHER.spans(_LOWER[data], start, end), doc
+def _word_bucket(w: np.ndarray, buckets: int) -> np.ndarray:
+    return (w % U(buckets)).astype(np.int64)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over the single column of texts."""
+_ASKED = "bucket int, copy int, slice bigint, keys binary, counts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runtime.slices(batches, "text", SLICE):
-            w, n = np.unique(word_hashes(b.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+def questions(rows: DataFrame, hasher: Hasher, gram_buckets: int, word_buckets: int) -> DataFrame:
+    """(bucket, copy, slice, keys, counts): the distinct grams and words of each slice and how often its training rows hold them.
 
+    rows: text, _train, _slice. Buckets of words come after those of grams.
+    """
+    tasks = runtime.partitions(rows.sparkSession)
+    copies = max(1, -(-tasks // gram_buckets)), max(1, -(-tasks // word_buckets))
 
-# --- weighting ----------------------------------------------------------------------------------
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            number = whole.column(2).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else np.zeros(1, int)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                column, train = whole.column(0).slice(a, b - a), whole.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
+                found: list[tuple] = []
+                g, offsets = grams(column)
+                w, doc = word_hashes(column, hasher)
+                for keys, on, bucket_of, buckets, base, many in (
+                    (g, np.repeat(train, np.diff(offsets)), _gram_bucket, gram_buckets, 0, copies[0]),
+                    (w, train[doc], _word_bucket, word_buckets, gram_buckets, copies[1]),
+                ):
+                    # Two sorts of plain numbers are cheaper than one with the places.
+                    own = np.unique(keys)
+                    seen, n = np.unique(keys[on], return_counts=True)
+                    count = np.zeros(len(own), np.int64)
+                    count[np.searchsorted(own, seen)] = n
+                    for k, at in runtime.dealt(own, bucket_of(own, buckets), buckets):
+                        found.append((base + k, int(number[a] % many), int(number[a]), own[at].tobytes(), count[at].tobytes()))
+                if found:
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "copy", "slice", "keys", "counts"])
+
+    return rows.select("text", "_train", runtime.SLICE).mapInArrow(run, _ASKED)
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums) of packed keys and counts, without those that sum to nothing."""
+    keys, counts = runtime.joined(table["keys"].to_pylist(), np.uint64), runtime.joined(table["counts"].to_pylist(), np.int64)
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def counts(asked: DataFrame) -> DataFrame:
+    """(bucket, distinct, total, keys, counts): the training counts of each bucket, summed by copy and then by bucket."""
+
+    def part(key, table):
+        keys, n = _summed(table)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+
+    def whole(key, table):
+        keys, n = _summed(table)
+        cells = [key[0].as_py()], [len(keys)], [int(n.sum())], [keys.tobytes()], [n.tobytes()]
+        kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
+        return pa.table([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["bucket", "distinct", "total", "keys", "counts"])
+
+    parts = asked.groupBy("bucket", "copy").applyInArrow(part, "bucket int, keys binary, counts binary")
+    return parts.groupBy("bucket").applyInArrow(whole, "bucket int, distinct bigint, total bigint, keys binary, counts binary")
 
 
-def _log_half_gamma(n: np.ndarray) -> np.ndarray:
-    """log Gamma(n + 1/2) by Stirling's series, shifted up by 8 for small n."""
-    x = n.astype(np.float64) + 0.5
-    shift = np.zeros_like(x)
-    for _ in range(8):
-        shift += np.log(x)
-        x = x + 1
-    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
+# --- weighting ----------------------------------------------------------------------------------
 
 
-def _log_gamma_int(n: np.ndarray) -> np.ndarray:
-    """log Gamma(n + 1)."""
-    x = n.astype(np.float64) + 1.0
+def _stirling(x: np.ndarray) -> np.ndarray:
+    """log Gamma(x) by Stirling's series, shifted up by 8."""
     shift = np.zeros_like(x)
     for _ in range(8):
         shift += np.log(x)
@@ -124,44 +173,12 @@ def _log_gamma_int(n: np.ndarray) -> np.ndarray:
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_half_gamma(zeros) + _log_half_gamma(ones) - math.log(math.pi) - _log_gamma_int(zeros + ones)
+    zeros, ones = np.asarray(zeros, np.float64), np.asarray(ones, np.float64)
+    return _stirling(zeros + 0.5) + _stirling(ones + 0.5) - math.log(math.pi) - _stirling(zeros + ones + 1)
 
 
-class Level:
-    """One bit position of all grams of a group: counts and weights of the nodes at depths 1 to DEPTH."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray, bit: int) -> None:
-        byte = gram & 0xFF
-        self.node = ((1 << bit) | (byte >> (8 - bit))).astype(np.int64)
-        self.one = (byte >> (7 - bit)) & 1
-        self.kt: dict[int, np.ndarray] = {}
-        self.beta: dict[int, np.ndarray] = {}
-        below = below_key = None
-        for depth in range(DEPTH, 0, -1):
-            key = ((gram >> 8) & ((1 << 8 * depth) - 1)) << 8 | self.node
-            keys, at = np.unique(key, return_inverse=True)
-            ones = np.bincount(at, n * self.one, len(keys))
-            zeros = np.bincount(at, n, len(keys)) - ones
-            own = log_kt(zeros, ones)
-            if below is None:
-                weighted, beta = own, np.zeros(len(keys))
-            else:
-                parent = np.searchsorted(keys, (below_key >> 8 & ((1 << 8 * depth) - 1)) << 8 | (below_key & 0xFF))
-                children = np.bincount(parent, below, len(keys))
-                beta = own - children
-                weighted = np.logaddexp(own, children) - math.log(2)
-            seen = np.where(self.one, ones[at], zeros[at])
-            self.kt[depth] = (seen + 0.5) / (zeros[at] + ones[at] + 1)
-            self.beta[depth] = beta[at]
-            below, below_key = weighted, keys
-            self.top = (keys & 0xFF, zeros, ones, weighted)
-
-    def probabilities(self, deepest: int, root_kt: np.ndarray, root_beta: np.ndarray) -> np.ndarray:
-        """Of each gram's bit, in the tree that ends at depth ``deepest``."""
-        p = None
-        for depth in range(deepest, 0, -1):
-            p = self.kt[depth] if p is None else _mixed(self.beta[depth], self.kt[depth], p)
-        return root_kt if p is None else _mixed(root_beta, root_kt, p)
+def _weighted(own: np.ndarray, children: np.ndarray) -> np.ndarray:
+    return np.logaddexp(own, children) - math.log(2)
 
 
 def _mixed(log_beta: np.ndarray, own: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -169,240 +186,191 @@ def _mixed(log_beta: np.ndarray, own: np.ndarray, below: np.ndarray) -> np.ndarr
     return share * own + (1 - share) * below
 
 
-def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    gram, n = table["gram"].to_numpy(), table["n"].to_numpy().astype(np.float64)
-    order = np.argsort(gram)
-    return gram[order], n[order]
-
-
-def _roots(counts: DataFrame) -> dict[str, np.ndarray]:
-    """By binary node of the last byte: log odds of the root's own estimate, and its zeros and ones."""
+def _nodes(gram: np.ndarray, bit: int, depth: int) -> np.ndarray:
+    """Keys of the nodes at a depth that decide a bit of each gram's last byte: the context, and the byte's bits before."""
+    node = (1 << bit) | ((gram & 0xFF) >> (8 - bit))
+    return ((gram >> 8) & ((1 << 8 * depth) - 1)) << 8 | node
 
-    def run(table):
-        gram, n = _group(table)
-        rows = [Level(gram, n, bit).top for bit in range(8)]
-        return pa.table({k: pa.array(np.concatenate([r[i] for r in rows]), t) for i, (k, t) in enumerate((("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())))})
 
-    tops = counts.groupBy("last").applyInArrow(run, "node bigint, zeros double, ones double, weighted double")
-    found = tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).collect()
-    zeros, ones, beta = np.zeros(256), np.zeros(256), np.zeros(256)
-    for r in found:
-        zeros[r["node"]], ones[r["node"]], beta[r["node"]] = r["zeros"], r["ones"], r["weighted"]
-    return {"zeros": zeros, "ones": ones, "beta": log_kt(zeros, ones) - beta}
+class Subtrees:
+    """The nodes of depths 2 to DEPTH over the grams of a bucket, for one bit position."""
 
-
-def _tables(counts: DataFrame, roots: dict[str, np.ndarray]) -> DataFrame:
-    """(depth, gram, logp): natural logs of each seen gram's probability in the tree of each depth from 1."""
-
-    def run(table):
-        gram, n = _group(table)
-        logp = {d: np.zeros(len(gram)) for d in range(1, DEPTH + 1)}
-        for bit in range(8):
-            level = Level(gram, n, bit)
-            z, o = roots["zeros"][level.node], roots["ones"][level.node]
-            root = (np.where(level.one, o, z) + 0.5) / (z + o + 1)
-            for d in logp:
-                logp[d] += np.log(level.probabilities(d, root, roots["beta"][level.node]))
-        out = []
-        for d, p in logp.items():
-            own, first = np.unique(gram & ((1 << 8 * (d + 1)) - 1), return_index=True)
-            out.append(pa.table({"depth": pa.array(np.full(len(own), d), pa.int32()), "gram": pa.array(own), "logp": pa.array(p[first])}))
-        return pa.concat_tables(out)
-
-    return counts.groupBy("last").applyInArrow(run, "depth int, gram bigint, logp double")
-
-
-class Model:
-    """Log probabilities of grams by depth, and the share left to unseen bytes of each context."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        byte = np.arange(256)
-        base = np.zeros(256)
+    def __init__(self, gram: np.ndarray, n: np.ndarray, bit: int) -> None:
+        one = (gram >> (7 - bit)) & 1
+        self.keys: dict[int, np.ndarray] = {}
+        self.zeros: dict[int, np.ndarray] = {}
+        self.ones: dict[int, np.ndarray] = {}
+        self.beta: dict[int, np.ndarray] = {}
+        keys, at = np.unique(_nodes(gram, bit, DEPTH), return_inverse=True)
+        ones = np.bincount(at, n * one, len(keys))
+        zeros = np.bincount(at, n, len(keys)) - ones
+        weighted = None
+        for depth in range(DEPTH, 1, -1):
+            own = log_kt(zeros, ones)
+            children = np.zeros(len(keys)) if weighted is None else below
+            self.keys[depth], self.zeros[depth], self.ones[depth], self.beta[depth] = keys, zeros, ones, own - children
+            weighted = own if weighted is None else _weighted(own, children)
+            if depth > 2:
+                up, at = np.unique((keys >> 8 & ((1 << 8 * (depth - 1)) - 1)) << 8 | (keys & 0xFF), return_inverse=True)
+                zeros, ones, below = (np.bincount(at, c, len(up)) for c in (zeros, ones, weighted))
+                keys = up
+        self.top = keys, zeros, ones, weighted
+
+    def bit_probability(self, gram: np.ndarray, bit: int) -> np.ndarray:
+        """Of a one, by the subtree below the two last bytes of each gram's context: whether it was seen, and the probability."""
+        p = np.full(len(gram), 0.5)
+        for depth in range(DEPTH, 1, -1):
+            keys = self.keys[depth]
+            wanted = _nodes(gram, bit, depth)
+            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+            on = np.flatnonzero(keys[at] == wanted) if len(keys) else np.zeros(0, np.int64)
+            at = at[on]
+            own = (self.ones[depth][at] + 0.5) / (self.zeros[depth][at] + self.ones[depth][at] + 1)
+            q = np.full(len(gram), 0.5)
+            q[on] = own if depth == DEPTH else _mixed(self.beta[depth][at], own, p[on])
+            p = q
+        return p
+
+
+def _of_bucket(cells: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return runtime.joined(cells["keys"].to_pylist(), np.uint64).astype(np.int64), runtime.joined(cells["counts"].to_pylist(), np.int64).astype(np.float64)
+
+
+def tops(model: DataFrame) -> dict[str, np.ndarray]:
+    """By last byte of the context and binary node, and at the root by node: zeros, ones and log odds of the node's own estimate."""
+
+    def run(key, table):
+        gram, n = _of_bucket(table)
+        rows = []
         for bit in range(8):
-            node = (1 << bit) | (byte >> (8 - bit))
-            one = (byte >> (7 - bit)) & 1
-            base += np.log((np.where(one, ones[node], zeros[node]) + 0.5) / (zeros[node] + ones[node] + 1))
-        self.base = base
-        self.maps: dict[int, tuple] = {}
-        for d in sorted(tables):
-            gram, logp = tables[d]
-            shorter = self.log_p(gram & ((1 << 8 * d) - 1), d - 1)
-            context, at = np.unique(gram >> 8, return_inverse=True)
-            seen = np.bincount(at, np.exp(logp), len(context))
-            seen_short = np.bincount(at, np.exp(shorter), len(context))
-            left = np.log(np.maximum(1 - seen, 1e-12)) - np.log(np.maximum(1 - seen_short, 1e-12))
-            grams_of, left_of = IntMap(max(16, len(gram))), IntMap(max(16, len(context)))
-            grams_of.add(gram.astype(np.uint64) + U(1), np.arange(len(gram)))
-            left_of.add(context.astype(np.uint64) + U(1), np.arange(len(context)))
-            self.maps[d] = (grams_of, logp, left_of, left)
-
-    def log_p(self, gram: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """Natural log probability of the last byte of each gram, given the bytes before it."""
-        if not depth or depth not in self.maps:
-            return self.base[(gram & 0xFF).astype(np.int64)]
-        grams_of, logp, left_of, left = self.maps[depth]
-        at = grams_of.get(gram.astype(np.uint64) + U(1))
-        out = logp[at] if len(logp) else np.zeros(len(gram))
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            rest = gram[miss]
-            value = self.log_p(rest & type(rest[0])((1 << 8 * depth) - 1), depth - 1)
-            context = left_of.get((rest >> type(rest[0])(8)).astype(np.uint64) + U(1))
-            if len(left):
-                value = value + np.where(context >= 0, left[context], 0.0)
-            out[miss] = value
-        return out
-
-
-def fit(texts: DataFrame) -> tuple:
-    """What Model needs, as arrays, from the column ``text``."""
-    counts = runtime.store(gram_counts(texts).withColumn("last", F.expr("(gram >> 8) & 255").cast("int")), "grams")
-    roots = _roots(counts)
-    table = _tables(counts, roots).toArrow()
-    depth, gram, logp = table["depth"].to_numpy(), table["gram"].to_numpy(), table["logp"].to_numpy()
-    tables = {}
-    for d in range(1, DEPTH + 1):
-        # The shorter grams come from one group each: a group is a last context byte, and all depths from 1 hold it.
-        on = np.flatnonzero(depth == d)
-        on = on[np.argsort(gram[on])]
-        tables[d] = (gram[on].copy(), logp[on].astype(np.float32))
-    runtime.discard(counts)
-    return roots["zeros"], roots["ones"], tables
-
+            keys, *values = Subtrees(gram, n, bit).top
+            up, at = np.unique((keys >> 8 & 0xFF) << 8 | (keys & 0xFF), return_inverse=True)
+            rows.append([up, *[np.bincount(at, v, len(up)) for v in values]])
+        merged = [np.concatenate(c) for c in zip(*rows, strict=True)]
+        return pa.table([pa.array(merged[0], pa.int64()), *[pa.array(c, pa.float64()) for c in merged[1:]]], names=["node", "zeros", "ones", "weighted"])
+
+    found = model.groupBy("bucket").applyInArrow(run, "node bigint, zeros double, ones double, weighted double")
+    got = found.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]).toArrow()  # at most 256 * 255 rows
+    node = got["node"].to_numpy()
+    order = np.argsort(node)
+    node, zeros, ones, below = node[order], *[got[c].to_numpy()[order] for c in ("zeros", "ones", "weighted")]
+    full = {k: np.zeros(1 << 16) for k in ("zeros", "ones", "beta")}
+    own = log_kt(zeros, ones)
+    full["zeros"][node], full["ones"][node], full["beta"][node] = zeros, ones, own - below
+    root = {k: np.bincount(node & 0xFF, v, 256) for k, v in (("zeros", zeros), ("ones", ones), ("below", _weighted(own, below)))}
+    beta = log_kt(root["zeros"], root["ones"]) - root["below"]
+    return {**full, "root_zeros": root["zeros"], "root_ones": root["ones"], "root_beta": beta}
+
+
+def log_probabilities(asked: np.ndarray, gram: np.ndarray, n: np.ndarray, top: dict[str, np.ndarray]) -> np.ndarray:
+    """Natural log probability of the last byte of each gram asked, given the bytes before it; gram, n: the bucket's counts."""
+    asked = asked.astype(np.int64)
+    out = np.zeros(len(asked))
+    for bit in range(8):
+        p = Subtrees(gram, n, bit).bit_probability(asked, bit)
+        node = (1 << bit) | ((asked & 0xFF) >> (8 - bit))
+        last = (asked >> 8 & 0xFF) << 8 | node
+        zeros, ones = top["zeros"][last], top["ones"][last]
+        p = np.where(zeros + ones > 0, _mixed(top["beta"][last], (ones + 0.5) / (zeros + ones + 1), p), 0.5)
+        zeros, ones = top["root_zeros"][node], top["root_ones"][node]
+        p = np.where(zeros + ones > 0, _mixed(top["root_beta"][node], (ones + 0.5) / (zeros + ones + 1), p), 0.5)
+        out += np.log(np.where((asked >> (7 - bit)) & 1, p, 1 - p))
+    return out
 
-# --- scores -------------------------------------------------------------------------------------
 
+def answers(asked: DataFrame, model: DataFrame, top: dict[str, np.ndarray], gram_buckets: int, word_buckets: int) -> DataFrame:
+    """(slice, kind, keys, values): log probabilities of grams (kind 0) and counts of words (kind 1), for each slice and bucket."""
+    shared = asked.sparkSession.sparkContext.broadcast(top)  # 3 * 2**16 numbers
+    tasks = runtime.partitions(asked.sparkSession)
+    copies = F.when(F.col("bucket") < gram_buckets, max(1, -(-tasks // gram_buckets))).otherwise(max(1, -(-tasks // word_buckets)))
+    schema = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 
-def _rare(docs: DataFrame, vocabulary: DataFrame, hot, buckets: int) -> DataFrame:
-    """(doc, print, known, total): over the words that aren't hot, each document's training-known words and sum of log10(c + 1)."""
-
-    mark = runtime.token()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, _ = hot.value
-        known = runtime.once(mark, lambda: _map(keys))
-        for b in runtime.slices(batches, "text", SLICE):
-            h, doc = word_hashes(b.column(1))
-            rare = known.get(h) < 0
-            h, doc = h[rare], doc[rare].astype(np.uint32)
-            bucket = (h % U(buckets)).astype(np.int32)
-            ids = b.column(0).fill_null(0).to_numpy()
-            seal = prints(b.column(1))
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                part = order[cut[k] : cut[k + 1]]
-                own, index = np.unique(doc[part], return_inverse=True)
-                rows.append((k, ids[own].tobytes(), seal[own].tobytes(), index.astype("<u4").tobytes(), h[part].tobytes()))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "docs", "prints", "at", "words"])
-
-    def look(key, left, right):
-        schema = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in ("docs", "prints", "known", "total")]])
-        vocabulary = _map(np.ascontiguousarray(right["word"].to_numpy()).view(np.uint64))
-        logs = np.log10(right["c"].to_numpy() + 1.0)
-        got: list[tuple] = []
-        for docs_, prints_, at, words in zip(*[left[c].to_pylist() for c in ("docs", "prints", "at", "words")], strict=True):
-            ids, seal = np.frombuffer(docs_, np.int64), np.frombuffer(prints_, np.int64)
-            at = np.frombuffer(at, "<u4")
-            found = vocabulary.get(np.frombuffer(words, np.uint64))
-            hit = found >= 0
-            known = np.bincount(at[hit], minlength=len(ids))
-            total = np.bincount(at[hit], logs[found[hit]], len(ids))
-            on = known > 0
-            got.append((ids[on], seal[on], known[on].astype(np.int64), total[on]))
-        if not got:
+    def run(key, questions, bucket):
+        if not questions.num_rows:
             return schema.empty_table()
-        parts = [np.concatenate(x) for x in zip(*got, strict=True)]
-        group = (mix(parts[0].view(np.uint64) ^ parts[1].view(np.uint64)) % U(buckets)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(buckets + 1))
-        rows = [(g, *[x[order[cut[g] : cut[g + 1]]].tobytes() for x in parts]) for g in np.flatnonzero(np.diff(cut)).tolist()]
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    def add(table):
-        doc, seal, known = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("docs", "prints", "known"))
-        total = np.frombuffer(b"".join(table["total"].to_pylist()), np.float64)
-        order = np.lexsort((total, seal, doc))
-        doc, seal, known, total = doc[order], seal[order], known[order], total[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (seal[1:] != seal[:-1])])[: len(doc)])
-        return pa.table({"doc": pa.array(doc[new]), "print": pa.array(seal[new]), "known": pa.array(np.add.reduceat(known, new)), "total": pa.array(np.add.reduceat(total, new))})
-
-    asked = docs.mapInArrow(pack, "bucket int, docs binary, prints binary, at binary, words binary")
-    told = vocabulary.withColumn("bucket", F.expr(f"cast(pmod(pmod(word, {buckets}) + if(word < 0, {2**64 % buckets}, 0), {buckets}) as int)"))
-    sums = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(look, "grp int, docs binary, prints binary, known binary, total binary")
-    return sums.groupBy("grp").applyInArrow(add, "doc bigint, print bigint, known bigint, total double")
-
-
-def _map(keys: np.ndarray) -> IntMap:
-    out = IntMap(max(16, len(keys)))
-    out.add(keys, np.arange(len(keys)))
-    return out
+        keys = [np.frombuffer(k, np.uint64) for k in questions["keys"].to_pylist()]
+        wanted, at = np.unique(np.concatenate(keys), return_inverse=True)
+        if key[0].as_py() < gram_buckets:
+            kind, found = 0, log_probabilities(wanted, *_of_bucket(bucket), shared.value)
+        else:
+            kind, found = 1, np.zeros(len(wanted))
+            words, n = runtime.joined(bucket["keys"].to_pylist(), np.uint64), runtime.joined(bucket["counts"].to_pylist(), np.int64)
+            where = np.minimum(np.searchsorted(words, wanted), max(0, len(words) - 1))
+            if len(words):
+                found = np.where(words[where] == wanted, n[where], 0).astype(np.float64)
+        parts = np.split(found[at], np.cumsum([len(k) for k in keys])[:-1])
+        cells = questions["slice"].combine_chunks(), pa.array([kind] * len(keys), pa.int32()), questions["keys"].combine_chunks(), pa.array([p.tobytes() for p in parts], pa.binary())
+        return pa.table(list(cells), schema=schema)
+
+    told = model.select("bucket", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "keys", "counts")
+    return asked.groupBy("bucket", "copy").cogroup(told.groupBy("bucket", "copy")).applyInArrow(run, "slice bigint, kind int, keys binary, values binary")
+
+
+class Told:
+    """The answers to a slice, by key."""
+
+    def __init__(self, table: pa.Table, kind: int) -> None:
+        on = table["kind"].to_numpy() == kind
+        cells = [np.array(table[c].to_pylist(), object)[on].tolist() for c in ("keys", "values")]
+        keys, first = np.unique(runtime.joined(cells[0], np.uint64), return_index=True)
+        self.values = runtime.joined(cells[1], np.float64)[first]
+        self.map = IntMap(max(16, 2 * len(keys)))
+        self.map.add(keys + U(1) if kind == 0 else keys, np.arange(len(keys)))  # a gram may be 0
+
+    def grams(self, keys: np.ndarray) -> np.ndarray:
+        return self.values.take(self.map.get(keys + U(1)))
+
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        return self.values.take(self.map.get(keys))
 
 
-def prints(column: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each text, which tells rows of one doc_id apart."""
-    return np.array([xxhash.xxh3_64_intdigest(t or "") for t in column.to_pylist()], np.uint64).view(np.int64)
+# --- scores -------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, hot_share: float = HOT_SHARE) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, slice_bytes: int = SLICE) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row; the rows of the held-out fold aren't learned from."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    train = docs.where(~held_out(F.col(id_col), folds, fold)).select(F.col(text_col).alias("text"))
-
-    vocabulary = runtime.store(word_counts(train), "words")
-    n_train = train.count()
-    sums = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n = (sums["n"] or 0) + n_train
-    v = sums["v"] + (1 if n_train else 0)
-    hot_table = vocabulary.where(F.col("c") >= max(1.0, n * hot_share)).toArrow()
-    hot = spark.sparkContext.broadcast((np.ascontiguousarray(hot_table["word"].to_numpy()).view(np.uint64), hot_table["c"].to_numpy()))
-    model = spark.sparkContext.broadcast(fit(train))
-    mark = runtime.token()
-    per = math.log10(n + v + 1)
-    end_log = math.log10(n_train + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, known = runtime.once(mark, lambda: (Model(*model.value), _map(hot.value[0])))
-        logs = np.log10(hot.value[1] + 1.0)
-        for b in runtime.slices(batches, "text", SLICE // 2):
-            column = b.column(1)
-            g, offsets = grams(column)
-            logp = np.concatenate([[0.0], np.cumsum(made.log_p(g))])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~held_out(F.col(id_col), folds, fold)).alias("_train"))
+    rows = runtime.sliced(rows, "text", slice_bytes, "ctw-slices")
+    tasks = runtime.partitions(spark)
+    gram_buckets, word_buckets = min(tasks, GRAM_BUCKETS), min(tasks, WORD_BUCKETS)
+    seed = int.from_bytes(os.urandom(8), "big")
+    asked = runtime.store(questions(rows, Hasher(256, seed), gram_buckets, word_buckets), "ctw-questions")
+    model = runtime.store(counts(asked), "ctw-counts")
+    n_train = rows.where("_train").count()
+    sums = model.where(F.col("bucket") >= gram_buckets).agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    n, v = (sums["n"] or 0) + n_train, (sums["v"] or 0) + (1 if n_train else 0)
+    top = tops(model.where(F.col("bucket") < gram_buckets))
+    told = answers(asked, model, top, gram_buckets, word_buckets)
+    per, end_log, known_end = math.log10(n + v + 1), math.log10(n_train + 1), int(n_train > 0)
+
+    def run(key, docs, told):
+        gram_of, word_of = Told(told, 0), Told(told, 1)
+        hasher = runtime.once(f"words {seed}", lambda: Hasher(256, seed))
+        out = []
+        for b in runtime.slices(docs.select([0, 1]).combine_chunks().to_batches(), "text", SLICE // 2):
+            g, offsets = grams(b.column(1))
+            logp = np.concatenate([[0.0], np.cumsum(gram_of.grams(g))])
             total = (logp[offsets[1:]] - logp[offsets[:-1]]) / math.log(10)
-            h, doc = word_hashes(column)
-            at = known.get(h)
-            hit = at >= 0
+            h, doc = word_hashes(b.column(1), hasher)
+            c = word_of.words(h) if len(h) else np.zeros(0)
             m = b.num_rows
             tokens = np.bincount(doc, minlength=m) + 1
-            n_known = np.bincount(doc[hit], minlength=m) + (1 if n_train else 0)
-            base = np.bincount(doc[hit], logs[at[hit]], m) + end_log - tokens * per
-            size = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints(column)), pa.array(tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total), pa.array(-total * math.log2(10) / size)], ["doc", "print", "n_tokens", "n_known", "base", "score", "bits_per_byte"])
-
-    scored = rows.mapInArrow(run, "doc bigint, print bigint, n_tokens bigint, n_known bigint, base double, score double, bits_per_byte double")
-    rare = _rare(rows, vocabulary, hot, runtime.partitions(spark))
-    keys = ["doc", "print", "n_tokens", "n_known", "base", "score", "bits_per_byte"]
-    scored = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
-    rare = rare.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "known", "total")
-    out = scored.join(rare, (F.coalesce("doc", F.lit(0)) == F.col("_doc")) & (F.col("print") == F.col("_print")), "left")
-    # Rows that are equal in id and text were summed together in the buckets.
-    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
-    return out.select(
-        F.col("doc").cast(kind).alias(id_col),
-        held_out(F.col("doc"), folds, fold).alias("held_out"),
+            n_known = np.bincount(doc, c > 0, m).astype(np.int64) + known_end
+            base = np.bincount(doc, np.log10(c + 1), m) + end_log - tokens * per
+            out.append(pa.table([b.column(0), pa.array(tokens.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(total), pa.array(-total * math.log2(10) / np.diff(offsets))], names=["id", "n_tokens", "n_known", "base", "score", "bits_per_byte"]))
+        return pa.concat_tables(out)
+
+    schema = f"id {kind.simpleString()}, n_tokens bigint, n_known bigint, base double, score double, bits_per_byte double"
+    scored = rows.groupBy(runtime.SLICE).cogroup(told.groupBy("slice")).applyInArrow(run, schema)
+    return scored.select(
+        F.col("id").alias(id_col),
+        held_out(F.col("id"), folds, fold).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce(F.floor(F.col("known") / F.col("times")), F.lit(0))).cast("bigint").alias("n_known"),
+        "n_known",
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("total") / F.col("times"), F.lit(0.0))).alias("base_score"),
+        F.col("base").alias("base_score"),
         "score",
         "bits_per_byte",
     )
-
-
-def is_held_out(doc_id: int, folds: int = 7, fold: int = 2) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % folds == fold

@@ -99,16 +99,24 @@ def words_of(text: str) -> tuple[int, str]:
     return len(words), b" ".join(words).decode("utf-8", "surrogatepass")
 
 
+def word_places(normal: str, at: list[int]) -> list[int]:
+    """The number of the word that stands at each place of a normal form."""
+    if not at:
+        return []
+    blanks = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32) == 0x20)
+    return np.searchsorted(blanks, at).tolist()
+
+
 def base_places(normal: str, phrases: dict[str, str]) -> list[tuple[int, int, str]]:
     """(word, words, label) for each place where a phrase's words stand."""
     padded = f" {normal} "
-    out = []
+    found = []
     for phrase, label in phrases.items():
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            out.append((padded.count(" ", 0, at), phrase.count(" ") + 1, label))
+            found.append((at, phrase.count(" ") + 1, label))
             at = padded.find(f" {phrase} ", at + 1)
-    return out
+    return [(word, k, label) for word, (_, k, label) in zip(word_places(normal, [at for at, _, _ in found]), found, strict=True)]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, notices: dict[str, str] | None = None, edit_step: int = EDIT_STEP) -> DataFrame:
@@ -129,24 +137,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: di
                 n_words.append(n)
                 bases.append([{"word": w, "words": k, "label": label} for w, k, label in base_places(normal, base)])
                 rows = []
-                for i, lo, hi, edits in scanner.spans(normal):
+                found = scanner.spans(normal)
+                for (i, lo, hi, edits), word in zip(found, word_places(normal, [x[1] for x in found]), strict=True):
                     notice, label = scanner.notices[i]
-                    word = normal.count(" ", 0, lo)
                     rows.append({"label": label, "word": word, "words": normal.count(" ", lo, hi) + 1, "edits": edits, "matched": normal[lo:hi], "similarity": 1 - edits / len(notice)})
                 spans.append(rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(bases, base_t), pa.array(spans, span_t)], [id_col, "n_words", "base", "spans"])
 
     schema = f"`{id_col}` {kind}, n_words bigint, base array<struct<word:bigint,words:bigint,label:string>>, spans array<struct<label:string,word:bigint,words:bigint,edits:bigint,matched:string,similarity:double>>"
     return docs.mapInArrow(run, schema)
-
-
-def brute(text: str, notice: str, k: int) -> bool:
-    """Whether a substring of text lies within k edits of the notice, by dynamic programming (for tests)."""
-    row = np.arange(len(notice) + 1)
-    best = row[-1]
-    for c in text:
-        prev, row = row, np.zeros_like(row)
-        for j, d in enumerate(notice, 1):
-            row[j] = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (c != d))
-        best = min(best, row[-1])
-    return bool(best <= k)

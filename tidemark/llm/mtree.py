@@ -2,18 +2,27 @@
 
 Method. A vector x of integers gets one more component, sqrt(M**2 - |x|**2), with M the largest
 norm; queries get 0 there. Euclidean distance then orders candidates exactly as the inner product
-does, so a metric tree applies. Rows are dealt by hash to trees of about TREE_ROWS vectors. A tree
-is paged: a node holds up to PAGE entries, each with its routing vector, covering radius and the
-distance to its parent's routing vector. A search takes pages best-first by the least distance
+does, so a metric tree applies. Pivots far from each other, from the SAMPLE rows of smallest hash,
+cut the space into at most REGIONS regions, one for each REGION_ROWS rows; every row goes to its
+nearest pivot's, and a region's rows go by hash to trees of about TREE_ROWS vectors, so equal or
+crowded vectors fill more trees and none grows. The regions' pivots and covering radii (at most
+REGIONS rows) are the top node. A query first asks one tree of its nearest region, which gives its
+k-th best score so far, and then the trees of only those regions that the triangle inequality
+admits under that bound.
+
+A tree is paged: a node holds up to PAGE entries, each with its routing vector, covering radius and
+the distance to its parent's routing vector. A search takes pages best-first by the least distance
 they may hold, and before working out a distance tests the stored ones: by the triangle
 inequality |d(q, parent) - d(entry, parent)| - radius bounds it from below. It ends when the next
-page can't beat the k-th best. Bounds are in floating point with SLACK; scores are exact integers,
-and ties go to the smaller id. Queries come in blocks against each tree, and the best k of all
-trees are merged per query.
+page can't beat the k-th best. Bounds are in floating point with SLACK. Scores are exact: in floats
+while sums stay below 2**53, in 64-bit integers below 2**62, else in Python's integers; ties go to
+the smaller id. A component beyond the range of a long is taken for the nearest long, and so is a
+score, after the ranks have been settled by the exact one.
 
 Defined results: vectors that are null, hold null or non-finite components take no part as query or
-candidate; shorter vectors count as filled with zeros; rows that repeat an id are candidates of
-their own, but no candidate has the query's id; an empty table gives an empty table.
+candidate, nor do rows without an id; shorter vectors count as filled with zeros; rows that repeat
+an id are candidates of their own, and each distinct vector of a repeated query id is a query with
+ranks of its own; no candidate has the query's id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,24 +33,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import runtime
 
 PAGE = 64
 TREE_ROWS = 16_384
+#: Rows that pivots are chosen from, rows that a region is planned for, and regions at most.
+SAMPLE = 2048
+REGION_ROWS = 65_536
+REGIONS = 256
 #: Queries that share one search, and that travel together to a tree, at most.
 BLOCK = 256
 SENT = 16_384
 SLACK = 1e-6
+LONG = 2**63 - 1
+#: The largest double that is a long.
+EDGE = 9223372036854774784.0
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(id, v array<bigint>): floor(scale * x) of each usable vector."""
     x = F.col(vector_col).cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return df.where(x.isNotNull() & ~bad).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return df.where(x.isNotNull() & ~bad).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(EDGE)), F.lit(-EDGE)))).alias("v"))
+
+
+def kind_of(largest: int) -> type:
+    """The numbers in which sums of products up to ``largest`` are exact."""
+    return np.float64 if largest < 1 << 53 else np.int64 if largest < 1 << 62 else object
+
+
+def lifted(rows: np.ndarray, norm: float) -> np.ndarray:
+    """The rows with the component that gives them all one norm."""
+    x = rows.astype(np.float64)
+    return np.column_stack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(1), 0))])
 
 
 def matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
@@ -66,8 +93,7 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, norm: float) -> None:
         self.ids, self.rows = ids, rows
-        sq = (rows.astype(np.float64) ** 2).sum(1)
-        self.points = np.column_stack([rows, np.sqrt(np.maximum(norm**2 - sq, 0))])
+        self.points = lifted(rows, norm)
         self.nodes: list[tuple[int, int]] = []
         self.route: list[np.ndarray] = []
         self.radius: list[np.ndarray] = []
@@ -118,22 +144,25 @@ class Tree:
         route = np.array(route)
         return self._page(route, np.array(radius), self._far(route, parent), np.array(child))
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[list[list[tuple[int, int]]], int]:
-        """([(score, -id)] of the k best of each query, distances worked out).
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray | None = None, kind: type = np.float64) -> tuple[list[list[tuple[int, int]]], np.ndarray]:
+        """([(score, -id)] of the k best of each query, distances worked out for each).
 
-        A block of queries shares one best-first queue: a page's place is the least distance that it
-        may hold for any of them, and a query takes part in a page only while its own bound allows.
+        least: scores that candidates must reach, per query (-infinity: any). A block of queries shares
+        one best-first queue: a page's place is the least distance that it may hold for any of them,
+        and a query takes part in a page only while its own bound allows.
         """
         m = len(queries)
         heaps: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-        worked = 0
+        worked = np.zeros(m, np.int64)
         if not self.count or not m:
             return heaps, worked
         q = np.column_stack([queries, np.zeros(m)]).astype(np.float64)
+        exact, held = queries.astype(kind), self.rows.astype(kind)
         q_sq = (q**2).sum(1)
         norm2 = float((self.points[0] ** 2).sum())
-        limit = np.full(m, np.inf)
-        least = np.full(m, -np.inf)  # the k-th best score so far
+        far = lambda s, j: np.sqrt(np.maximum(0.0, q_sq[j] + norm2 - 2.0 * s)) * (1 + SLACK) + SLACK
+        least = np.full(m, -np.inf) if least is None else least.astype(np.float64)  # the k-th best score so far
+        limit = np.where(np.isinf(least), np.inf, far(np.where(np.isinf(least), 0, least), np.arange(m)))
         serial = 0
         queue: list = [(0.0, 0, self.root, np.zeros(m), None)]
         while queue:
@@ -152,12 +181,13 @@ class Tree:
                 if not len(e):
                     continue
             r = self.route[e]
-            worked += len(e) * len(on)
+            worked[on] += len(e)
             child = self.child[e]
             if child[0] < 0:
-                scores = q[on] @ self.points[r].T  # whole numbers: exact below 2**53
+                scores = exact[on] @ held[r].T
                 ids = self.ids[r]
-                hits = scores >= least[on][:, None]
+                # Beyond 2**53 a float may round a score either way.
+                hits = scores >= least[on][:, None] if kind is np.float64 else scores.astype(np.float64) >= least[on][:, None] - np.abs(least[on][:, None]) * 1e-15
                 for i in np.flatnonzero(hits.any(1)).tolist():
                     j = int(on[i])
                     heap, mine = heaps[j], int(own[j])
@@ -170,13 +200,14 @@ class Tree:
                             heapq.heappush(heap, entry)
                         elif entry > heap[0]:
                             heapq.heapreplace(heap, entry)
-                    if len(heap) == k:
+                    if len(heap) == k and heap[0][0] >= least[j]:
                         least[j] = heap[0][0]
-                        limit[j] = np.sqrt(max(0.0, q_sq[j] + norm2 - 2.0 * heap[0][0])) * (1 + SLACK) + SLACK
+                        limit[j] = far(least[j], j)
             else:
                 d2 = q_sq[on][:, None] + norm2 - 2.0 * (q[on] @ self.points[r].T)
                 d = np.sqrt(np.maximum(d2, 0))
-                near = np.maximum(d - self.radius[e][None, :] - SLACK * (1 + d), 0)
+                # Near 0 the difference of squares is uncertain by its terms' rounding.
+                near = np.maximum(d - self.radius[e][None, :] - SLACK * (1 + d) - np.sqrt(1e-14 * (q_sq[on][:, None] + norm2)), 0)
                 for c in range(len(e)):
                     least_of = float(near[:, c].min())
                     if least_of <= limit.max():
@@ -188,7 +219,8 @@ class Tree:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, rows=self.rows.astype(np.int32) if np.abs(self.rows).max(initial=0) < 2**31 else self.rows, points=self.points, nodes=np.array(self.nodes).reshape(-1, 2), route=self.route, radius=self.radius, up=self.up, child=self.child, root=np.array(self.root))
+        small = bool(len(self.rows)) and -(2**31) <= self.rows.min(initial=0) and self.rows.max(initial=0) < 2**31
+        np.savez(out, ids=self.ids, rows=self.rows.astype(np.int32) if small else self.rows, points=self.points, nodes=np.array(self.nodes).reshape(-1, 2), route=self.route, radius=self.radius, up=self.up, child=self.child, root=np.array(self.root))
         return out.getvalue()
 
     @classmethod
@@ -203,47 +235,149 @@ class Tree:
         return tree
 
 
-def build(vectors: DataFrame, trees: int, norm: float, width: int) -> DataFrame:
-    """(tree, data): the serialised M-tree of each part of the vectors."""
+def pivots(vectors: DataFrame, count: int, norm: float, width: int) -> np.ndarray:
+    """Lifted vectors far from each other, out of the SAMPLE rows of smallest hash."""
+    sample = matrix(vectors.select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).toArrow()["v"].combine_chunks(), width)
+    points = lifted(sample, norm)
+    chosen = [int(((points - points.mean(0)) ** 2).sum(1).argmin())]
+    near = ((points - points[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < count and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
+def _far(points: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Distances, with an allowance for rounding taken off by the caller."""
+    a, b = (points**2).sum(1), (to**2).sum(1)
+    return np.sqrt(np.maximum(a[:, None] + b[None, :] - 2 * (points @ to.T), 0))
+
+
+def regions(vectors: DataFrame, at: np.ndarray, norm: float, width: int) -> DataFrame:
+    """The vectors with their region and the distance to its pivot."""
+    shared = vectors.sparkSession.sparkContext.broadcast(at)  # REGIONS rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                far = _far(lifted(matrix(b.column(1), width), norm), shared.value)
+                own = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(far[np.arange(len(own)), own])], ["id", "v", "region", "far"])
+
+    return vectors.select("id", "v").mapInArrow(run, "id bigint, v array<bigint>, region int, far double")
+
+
+def build(dealt: DataFrame, norm: float, width: int) -> DataFrame:
+    """(tree, data): the serialised M-tree of each part of the vectors (id, v, tree)."""
 
     def run(key, table):
         tree = Tree(table["id"].to_numpy(), matrix(table["v"], width), norm)
         return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([tree.dump()], pa.binary())})
 
-    dealt = vectors.withColumn("tree", F.pmod(F.xxhash64("id", "v"), F.lit(trees)).cast("int"))
     return dealt.groupBy("tree").applyInArrow(run, "tree int, data binary")
 
 
-def top_k(df: DataFrame, k: int = 20, query_step: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tree_rows: int = TREE_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by query_step, its k best among the other rows."""
+def _order(score: Column, kind: type) -> Column:
+    """What exact scores sort by; those beyond 64 bits are decimal text."""
+    if kind is not object:
+        return score
+    digits = F.lpad(F.regexp_replace(score, "^-", ""), 60, "0")
+    return F.when(score.startswith("-"), F.concat(F.lit("0"), F.translate(digits, "0123456789", "9876543210"))).otherwise(F.concat(F.lit("1"), digits))
+
+
+def _long(score: Column, kind: type) -> Column:
+    """The score, or the end of a long's range that it lies beyond."""
+    if kind is not object:
+        return score
+    digits = F.regexp_replace(score, "^-", "")
+    fits = (F.length(digits) < 19) | ((F.length(digits) == 19) & (digits <= str(LONG)))
+    return F.when(fits, score.try_cast("bigint")).when(score.startswith("-"), F.lit(-LONG - 1)).otherwise(F.lit(LONG))
+
+
+def _searched(asked: DataFrame, index: DataFrame, blocks: int, k: int, width: int, kind: type) -> DataFrame:
+    """The k best of each tree for the queries (query, id, v, least, tree) that ask it, in blocks of queries."""
+    text = kind is object
+
+    def run(key, queries, tree):
+        out: list[tuple] = []
+        if queries.num_rows and tree.num_rows:
+            t = Tree.read(tree["data"][0].as_py())
+            number, ids, rows = queries["query"].to_numpy(), queries["id"].to_numpy(), matrix(queries["v"], width)
+            least = queries["least"].combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            for j in range(0, len(ids), BLOCK):
+                part = slice(j, j + BLOCK)
+                found, worked = t.search(rows[part], ids[part], k, least[part], kind)
+                for q, own, heap, w in zip(number[part].tolist(), ids[part].tolist(), found, worked.tolist(), strict=True):
+                    out += [(q, own, -d, str(s) if text else s, 0) for s, d in heap]
+                    out.append((q, own, None, None, w))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if text else pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query", "query_id", "vec_id", "score", "compared"])
+
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    told = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return asked.groupBy("tree", "block").cogroup(told.groupBy("tree", "block")).applyInArrow(run, f"query bigint, query_id bigint, vec_id bigint, score {'string' if text else 'bigint'}, compared bigint")
+
+
+def top_k(df: DataFrame, k: int = 20, query_step: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tree_rows: int = TREE_ROWS, region_rows: int = REGION_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score, n_compared): for each row whose id is divisible by query_step, its k best among the
+    other rows, and how many distances its search worked out (of as many as there are rows)."""
     spark = df.sparkSession
-    vectors = runtime.store(quantised(df, id_col, vector_col), "vectors")
+    vectors = runtime.store(quantised(df, id_col, vector_col).where("id is not null"), "vectors")
     sq = F.aggregate("v", F.lit(0).cast("double"), lambda s, c: s + c.cast("double") * c.cast("double"))
     about = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(sq).alias("m"), F.max(F.size("v")).alias("w")).first()
     n, width = about["n"], about["w"] or 0
     norm = float(about["m"] or 0) ** 0.5
-    trees = max(1, -(-n // tree_rows))
-    index = runtime.store(build(vectors, trees, norm, width), "trees")
-    queries = vectors.where(F.col("id") % query_step == 0)
-    # Enough blocks to keep all tasks busy, and few copies of each tree.
-    about_queries = -(-n // query_step)
-    blocks = max(1, -(-about_queries // SENT), min(-(-about_queries // BLOCK), -(-2 * runtime.partitions(spark) // trees)))
-    asked = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    asked = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    pairs = asked.join(index, "tree").select("tree", "asked", "data").repartition(max(runtime.partitions(spark), min(trees * blocks, 4 * runtime.partitions(spark))), F.xxhash64("tree", F.col("asked")[0]["id"]))
+    kind = kind_of(int(2 * (about["m"] or 0)) + 1)
+    if not n:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint, n_compared bigint")
+    at = pivots(vectors, min(REGIONS, max(1, -(-n // region_rows))), norm, width)
+    placed = runtime.store(regions(vectors, at, norm, width), "regions")
+    runtime.discard(vectors)
+    sizes = {r["region"]: (r["n"], r["far"]) for r in placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # REGIONS rows
+    trees_of = np.array([-(-sizes[r][0] // tree_rows) if r in sizes else 0 for r in range(len(at))])
+    first = np.cumsum(trees_of) - trees_of
+    radius = np.array([sizes[r][1] if r in sizes else -np.inf for r in range(len(at))])
+    trees = int(trees_of.sum())
+    by_region = lambda a: F.get(F.array(*[F.lit(int(x)) for x in a]), F.col("region"))
+    number = F.pmod(F.xxhash64("id", "v"), F.greatest(by_region(trees_of), F.lit(1)))
+    index = runtime.store(build(placed.select("id", "v", (by_region(first) + number).cast("int").alias("tree")), norm, width), "trees")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                tree = Tree.read(b.column(2)[i].as_py())
-                asked = b.column(1)[i].values
-                ids, rows = asked.field(0).to_numpy(), matrix(asked.field(1), width)
-                found = [heap for j in range(0, len(ids), BLOCK) for heap in tree.search(rows[j : j + BLOCK], ids[j : j + BLOCK], k)[0]]
-                out = [(own, -i_, s) for own, heap in zip(ids.tolist(), found, strict=True) for s, i_ in heap]
-                if out:
-                    a = np.array(out, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[:, j].copy()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = max(1, -(-n // query_step // SENT), min(-(-n // query_step // BLOCK), -(-2 * runtime.partitions(spark) // trees)))
+    queries = placed.where(F.col("id") % query_step == 0).select(F.xxhash64("id", "v").alias("query"), "id", "v", "region").distinct()
+    home = queries.withColumn("tree", (by_region(first) + F.pmod(F.col("query"), F.greatest(by_region(trees_of), F.lit(1)))).cast("int")).withColumn("least", F.lit(None).cast("double"))
+    one = runtime.store(_searched(home, index, blocks, k, width, kind), "found-at-home")
+
+    bound = one.where("score is not null").groupBy("query").agg(F.count(F.lit(1)).alias("held"), F.min(F.col("score").cast("double")).alias("least"))
+    # A float may round the bound up: a little less is still a bound.
+    bound = bound.select("query", F.when(F.col("held") >= k, F.col("least") - F.abs("least") * 1e-15).alias("least"))
+    shared = spark.sparkContext.broadcast((at, radius, first, trees_of))
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, radius, first, trees_of = shared.value
+        norm2 = norm**2
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                q = np.column_stack([matrix(b.column(2), width), np.zeros(b.num_rows)]).astype(np.float64)
+                q_sq = (q**2).sum(1)
+                least = b.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                limit = np.where(np.isinf(least), np.inf, np.sqrt(np.maximum(0, q_sq + norm2 - 2 * np.where(np.isinf(least), 0, least))) * (1 + SLACK) + SLACK)
+                low = _far(q, at) - radius[None, :] - 2 * np.sqrt(1e-14 * (q_sq[:, None] + norm2)) - SLACK
+                row, region = np.nonzero((low <= limit[:, None]) & (trees_of > 0)[None, :])
+                many = trees_of[region]
+                row = np.repeat(row, many)
+                tree = np.repeat(first[region], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                keep = tree != b.column(3).to_numpy()[row]
+                for j in range(0, int(keep.sum()), 4096):
+                    r = pa.array(row[keep][j : j + 4096])
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(r) for c in (0, 1, 2)], pa.array(tree[keep][j : j + 4096].astype(np.int32)), b.column(4).take(r)], ["query", "id", "v", "tree", "least"])
+
+    rest = home.drop("least", "region").join(bound, "query", "left").select("query", "id", "v", "tree", "least")
+    rest = rest.mapInArrow(admit, "query bigint, id bigint, v array<bigint>, tree int, least double")
+    both = one.unionByName(_searched(rest, index, blocks, k, width, kind))
+    compared = both.groupBy("query").agg(F.sum("compared").alias("n_compared"))
+    order = Window.partitionBy("query").orderBy(_order(F.col("score"), kind).desc(), "vec_id")
+    best = both.where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(compared, "query").select("query_id", "rank", "vec_id", _long(F.col("score"), kind).alias("score"), "n_compared")

@@ -11,11 +11,13 @@ lengths that fills the sequence most (subset sums as bits of one integer), as of
 repeated.
 
 Pieces of one length are interchangeable, so a piece's place follows from its number among the
-pieces of its length. Numbers are given by salted windows (SALTS parts of each length, whose
-counts are summed first), so a length of a third of all pieces is spread over many tasks.
+pieces of its length. A length is dealt to one part for each PART of its pieces, whose counts are
+summed first; numbers are given by a window in each part, so a length of a third of all pieces is
+spread over as many tasks as it needs.
 
-Defined results: a null or empty text is one piece of one token; repeated rows are packed as often
-as they occur; an empty table gives an empty table; other input columns are left out.
+Defined results: a null or empty text is one piece of one token; repeated rows and rows without an
+id are packed as often as they occur; pieces of equal rows may change places; an empty table gives
+an empty table; other input columns are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from tidemark.llm.bpe import coder
 
 SIZE = 2048
 ROUNDS = 120
-SALTS = 64
+#: Pieces of one length that a task numbers.
+PART = 200_000
 ETA = 0.7
 
 
@@ -191,27 +194,38 @@ def places(fillings: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {k: table[:, i].copy() for i, k in enumerate(("length", "first", "sequence", "times", "offset"))}
 
 
-def pack(found: DataFrame, size: int = SIZE, rounds: int = ROUNDS, salts: int = SALTS) -> DataFrame:
+def lower_bound(histogram: dict[int, int], size: int = SIZE) -> int:
+    """Sequences that any packing needs."""
+    return max(-(-sum(w * n for w, n in histogram.items()) // size), sum(n for w, n in histogram.items() if 2 * w > size))
+
+
+def pack(found: DataFrame, size: int = SIZE, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
     """The rows of ``found`` (a stored table with a column length of 1 to size) with sequence_id and offset."""
     spark = found.sparkSession
     names = found.columns
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(salts)).cast("int")
-    salted = found.withColumn("_salt", salt)
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).toArrow().to_pandas()  # at most size * salts rows
-    histogram = counts.groupby("length")["_n"].sum().to_dict()
-    table = places(plan({int(k): int(v) for k, v in histogram.items()}, size, rounds))
-    counts = counts.sort_values(["length", "_salt"])
-    base = np.zeros((size + 1, salts), np.int64)
-    base[counts["length"], counts["_salt"]] = counts.groupby("length")["_n"].cumsum() - counts["_n"]
-    shared = spark.sparkContext.broadcast((base, table))
-    order = Window.partitionBy("length", "_salt").orderBy(*[F.col(f"`{c}`") for c in names])
-    numbered = salted.withColumn("_number", F.row_number().over(order))
+    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
+    table = places(plan(histogram, size, rounds))
+    parts = spark.createDataFrame([(w, -(-n // part)) for w, n in sorted(histogram.items())], "length bigint, _parts bigint")
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.col("_parts"))
+    dealt = found.join(F.broadcast(parts), "length").select(*names, own.alias("_part"))
+    counts = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")).orderBy("length", "_part").toArrow()  # a row for each part
+    length, at, n = (counts[c].to_numpy() for c in ("length", "_part", "_n"))
+    first = np.zeros(size + 2, np.int64)  # by length, the place of its parts in base
+    first[1:] = np.cumsum([-(-histogram.get(w, 0) // part) for w in range(size + 1)])
+    base = np.zeros(int(first[-1]), np.int64)
+    base[first[length] + at] = n
+    base = np.cumsum(base) - base
+    for w in range(size + 1):
+        base[first[w] : first[w + 1]] -= base[first[w]] if first[w] < first[w + 1] else 0
+    shared = spark.sparkContext.broadcast((first, base, table))  # numbers for each length and part of PART pieces
+    order = Window.partitionBy("length", "_part").orderBy(*[F.col(f"`{c}`") for c in names])
+    numbered = dealt.withColumn("_number", F.row_number().over(order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, t = shared.value
+        first, base, t = shared.value
         for b in batches:
             length = b.column(names.index("length")).to_numpy()
-            number = base[length, b.column(len(names)).to_numpy()] + b.column(len(names) + 1).to_numpy() - 1
+            number = base[first[length] + b.column(len(names)).to_numpy()] + b.column(len(names) + 1).to_numpy() - 1
             wide = np.int64(1) << 40
             row = np.searchsorted(t["length"] * wide + t["first"], length * wide + number, "right") - 1
             within = number - t["first"][row]

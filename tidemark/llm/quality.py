@@ -12,7 +12,7 @@ documents, both from the groups' sketches merged once more. The sketches hold K
 are exact below K rows.
 
 Defined results: a null or empty text has no words and fails the fixed rules; null languages and
-sources are groups of their own; repeated rows count as often as they occur; an empty table gives
+sources are groups of their own; repeated rows count as often as they occur, and get one verdict each; an empty table gives
 an empty table; other input columns are left out of measures() and kept by keep().
 """
 
@@ -45,12 +45,12 @@ def bind(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that occur at least twice.
 
-    The windows' hashes are sorted with their places; equal neighbours mark both places; the marked
-    places, in order, cover three words each.
+    Windows whose hashes all differ have none. Else the hashes are sorted with their places; equal
+    neighbours mark both places; the marked places, in order, cover three words each.
     """
     n = F.size(words)
-    at = F.sequence(F.lit(0), n - 3)
-    windows = F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    placed = lambda hs: F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def marked(s: Column) -> Column:
         twins = F.zip_with(
@@ -64,7 +64,9 @@ def repeated_words(words: Column) -> Column:
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("total"))
         return F.aggregate(places, start, lambda s, p: F.struct(p.alias("last"), (s["total"] + F.least(F.lit(3), p - s["last"])).alias("total")), lambda s: s["total"])
 
-    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(bind(windows, lambda s: covered(marked(s))))
+    none = F.lit(0).cast("bigint")
+    count = lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), none).otherwise(bind(placed(hs), lambda s: covered(marked(s))))
+    return F.when(n < 4, none).otherwise(bind(hashes, count))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: str | None = None) -> DataFrame:
@@ -73,11 +75,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)] if carry else []
     kept = [carry] if carry else []
     base = docs.select(*more, F.col(id_col), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("_t"))
-    words = F.filter(F.split(F.col("_t"), BLANK), lambda w: w != "")
+    edges = F.lit(" \t\n\x0b\x0c\r")
+    inner = F.btrim(F.col("_t"), edges)
+    words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK))
     symbols = F.length("_t") - F.length(F.translate(F.col("_t"), "#*$%&|<>", ""))
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.btrim(x, edges) != "")
     dup = bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    chars = F.length(F.regexp_replace(F.col("_t"), BLANK, ""))
+    chars = F.length(F.translate(F.col("_t"), " \t\n\x0b\x0c\r", ""))
 
     counts = base.select(
         *kept,

@@ -25,7 +25,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = runtime.new_path(spark, "tokens")
+    path = runtime.passing_path(spark, "tokens")
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.checksums(spark, path)
 
@@ -80,7 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(table(spark, sf_dir, "embeddings")).drop("n_compared")
 
 
 def queries() -> dict:
