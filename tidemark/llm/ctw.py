@@ -42,8 +42,9 @@ from tidemark.llm.ngram_join import _LOWER, word_spans
 
 DEPTH = 4
 END = 255
-#: Text of a slice.
-SLICE = 2 << 20
+#: Text of a slice, and text that is worked on at a time.
+SLICE = 8 << 20
+CHUNK = 1 << 20
 #: Buckets of grams and of words, at most (and at most one a task).
 GRAM_BUCKETS = 256
 WORD_BUCKETS = 2048
@@ -105,52 +106,68 @@ def questions(rows: DataFrame, hasher: Hasher, gram_buckets: int, word_buckets:
     tasks = runtime.partitions(rows.sparkSession)
     copies = max(1, -(-tasks // gram_buckets)), max(1, -(-tasks // word_buckets))
 
+    def counted(column: pa.Array, train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(distinct keys, how often training rows hold them) of grams and of words. Two sorts of plain numbers are cheaper than one with the places."""
+        g, offsets = grams(column)
+        w, doc = word_hashes(column, hasher)
+        out = []
+        for keys, on in ((g, np.repeat(train, np.diff(offsets))), (w, train[doc])):
+            own = np.unique(keys)
+            seen, n = np.unique(keys[on], return_counts=True)
+            count = np.zeros(len(own), np.int64)
+            count[np.searchsorted(own, seen)] = n
+            out.append((own, count))
+        return out
+
+    def asked(number: int, parts: list) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for (part, bucket_of, buckets, base, many) in zip(zip(*parts, strict=True), (_gram_bucket, _word_bucket), (gram_buckets, word_buckets), (0, gram_buckets), copies, strict=True):
+            keys, count = _merged(*(np.concatenate(c) for c in zip(*part, strict=True)))
+            for k, at in runtime.dealt(keys, bucket_of(keys, buckets), buckets):
+                found.append((base + k, number % many, number, keys[at].tobytes(), np.minimum(count[at], 2**32 - 1).astype("<u4").tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "copy", "slice", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            number = whole.column(2).to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else np.zeros(1, int)
+        now, parts = None, []
+        for chunk in runtime.slices(batches, "text", CHUNK):
+            number = chunk.column(2).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                column, train = whole.column(0).slice(a, b - a), whole.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
-                found: list[tuple] = []
-                g, offsets = grams(column)
-                w, doc = word_hashes(column, hasher)
-                for keys, on, bucket_of, buckets, base, many in (
-                    (g, np.repeat(train, np.diff(offsets)), _gram_bucket, gram_buckets, 0, copies[0]),
-                    (w, train[doc], _word_bucket, word_buckets, gram_buckets, copies[1]),
-                ):
-                    # Two sorts of plain numbers are cheaper than one with the places.
-                    own = np.unique(keys)
-                    seen, n = np.unique(keys[on], return_counts=True)
-                    count = np.zeros(len(own), np.int64)
-                    count[np.searchsorted(own, seen)] = n
-                    for k, at in runtime.dealt(own, bucket_of(own, buckets), buckets):
-                        found.append((base + k, int(number[a] % many), int(number[a]), own[at].tobytes(), count[at].tobytes()))
-                if found:
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "copy", "slice", "keys", "counts"])
+                if parts and now != int(number[a]):
+                    yield from asked(now, parts)
+                    parts = []
+                now = int(number[a])
+                parts.append(counted(chunk.column(0).slice(a, b - a), chunk.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)))
+        if parts:
+            yield from asked(now, parts)
 
     return rows.select("text", "_train", runtime.SLICE).mapInArrow(run, _ASKED)
 
 
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, sums) of packed keys and counts, without those that sum to nothing."""
-    keys, counts = runtime.joined(table["keys"].to_pylist(), np.uint64), runtime.joined(table["counts"].to_pylist(), np.int64)
-    keys, counts = keys[counts > 0], counts[counts > 0]
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their counts)."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _summed(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The same of packed keys and counts, without those that sum to nothing."""
+    keys, counts = runtime.joined(table["keys"].to_pylist(), np.uint64), runtime.joined(table["counts"].to_pylist(), kind).astype(np.int64)
+    return _merged(keys[counts > 0], counts[counts > 0])
+
+
 def counts(asked: DataFrame) -> DataFrame:
     """(bucket, distinct, total, keys, counts): the training counts of each bucket, summed by copy and then by bucket."""
 
     def part(key, table):
-        keys, n = _summed(table)
+        keys, n = _summed(table, "<u4")
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
     def whole(key, table):
-        keys, n = _summed(table)
+        keys, n = _summed(table, np.int64)
         cells = [key[0].as_py()], [len(keys)], [int(n.sum())], [keys.tobytes()], [n.tobytes()]
         kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
         return pa.table([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["bucket", "distinct", "total", "keys", "counts"])
@@ -279,7 +296,7 @@ def log_probabilities(asked: np.ndarray, gram: np.ndarray, n: np.ndarray, top: d
 
 
 def answers(asked: DataFrame, model: DataFrame, top: dict[str, np.ndarray], gram_buckets: int, word_buckets: int) -> DataFrame:
-    """(slice, kind, keys, values): log probabilities of grams (kind 0) and counts of words (kind 1), for each slice and bucket."""
+    """(slice, kind, keys, values): log probabilities of grams (kind 0) and counts of known words (kind 1), for each slice and bucket."""
     shared = asked.sparkSession.sparkContext.broadcast(top)  # 3 * 2**16 numbers
     tasks = runtime.partitions(asked.sparkSession)
     copies = F.when(F.col("bucket") < gram_buckets, max(1, -(-tasks // gram_buckets))).otherwise(max(1, -(-tasks // word_buckets)))
@@ -290,16 +307,18 @@ def answers(asked: DataFrame, model: DataFrame, top: dict[str, np.ndarray], gram
             return schema.empty_table()
         keys = [np.frombuffer(k, np.uint64) for k in questions["keys"].to_pylist()]
         wanted, at = np.unique(np.concatenate(keys), return_inverse=True)
+        parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
         if key[0].as_py() < gram_buckets:
-            kind, found = 0, log_probabilities(wanted, *_of_bucket(bucket), shared.value)
+            kind, found = 0, log_probabilities(wanted, *_of_bucket(bucket), shared.value).astype("<f4")
+            told = [(k.tobytes(), found[p].tobytes()) for k, p in zip(keys, parts, strict=True)]
         else:
-            kind, found = 1, np.zeros(len(wanted))
             words, n = runtime.joined(bucket["keys"].to_pylist(), np.uint64), runtime.joined(bucket["counts"].to_pylist(), np.int64)
-            where = np.minimum(np.searchsorted(words, wanted), max(0, len(words) - 1))
-            if len(words):
-                found = np.where(words[where] == wanted, n[where], 0).astype(np.float64)
-        parts = np.split(found[at], np.cumsum([len(k) for k in keys])[:-1])
-        cells = questions["slice"].combine_chunks(), pa.array([kind] * len(keys), pa.int32()), questions["keys"].combine_chunks(), pa.array([p.tobytes() for p in parts], pa.binary())
+            if not len(words):
+                return schema.empty_table()
+            where = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+            kind, found = 1, np.where(words[where] == wanted, n[where], 0)
+            told = [(k[found[p] > 0].tobytes(), found[p][found[p] > 0].astype("<i8").tobytes()) for k, p in zip(keys, parts, strict=True)]
+        cells = questions["slice"].combine_chunks(), pa.array([kind] * len(keys), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*told, strict=True)]
         return pa.table(list(cells), schema=schema)
 
     told = model.select("bucket", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "keys", "counts")
@@ -310,17 +329,18 @@ class Told:
     """The answers to a slice, by key."""
 
     def __init__(self, table: pa.Table, kind: int) -> None:
-        on = table["kind"].to_numpy() == kind
-        cells = [np.array(table[c].to_pylist(), object)[on].tolist() for c in ("keys", "values")]
-        keys, first = np.unique(runtime.joined(cells[0], np.uint64), return_index=True)
-        self.values = runtime.joined(cells[1], np.float64)[first]
+        on = (table["kind"].to_numpy() == kind).tolist()
+        keys, values = ([c for c, ok in zip(table[n].to_pylist(), on, strict=True) if ok] for n in ("keys", "values"))
+        keys, first = np.unique(runtime.joined(keys, np.uint64), return_index=True)
+        self.values = np.append(runtime.joined(values, "<i8" if kind else "<f4")[first].astype(np.float64), 0.0)
         self.map = IntMap(max(16, 2 * len(keys)))
-        self.map.add(keys + U(1) if kind == 0 else keys, np.arange(len(keys)))  # a gram may be 0
+        self.map.add(keys + U(kind == 0), np.arange(len(keys)))  # a gram may be 0
 
     def grams(self, keys: np.ndarray) -> np.ndarray:
         return self.values.take(self.map.get(keys + U(1)))
 
     def words(self, keys: np.ndarray) -> np.ndarray:
+        """Their counts, 0 for those that aren't known."""
         return self.values.take(self.map.get(keys))
 
 
@@ -349,12 +369,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         gram_of, word_of = Told(told, 0), Told(told, 1)
         hasher = runtime.once(f"words {seed}", lambda: Hasher(256, seed))
         out = []
-        for b in runtime.slices(docs.select([0, 1]).combine_chunks().to_batches(), "text", SLICE // 2):
+        for b in runtime.slices(docs.select([0, 1]).combine_chunks().to_batches(), "text", CHUNK):
             g, offsets = grams(b.column(1))
             logp = np.concatenate([[0.0], np.cumsum(gram_of.grams(g))])
             total = (logp[offsets[1:]] - logp[offsets[:-1]]) / math.log(10)
             h, doc = word_hashes(b.column(1), hasher)
-            c = word_of.words(h) if len(h) else np.zeros(0)
+            c = word_of.words(h)
             m = b.num_rows
             tokens = np.bincount(doc, minlength=m) + 1
             n_known = np.bincount(doc, c > 0, m).astype(np.int64) + known_end
