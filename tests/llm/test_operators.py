@@ -339,7 +339,7 @@ def test_ngram_join_of_repeated_ids(spark):
     assert got == [(1, 3, 1), (2, 100, 2), (3, 10, 2), (5, 10, 2), (5, 100, 2), (8, 9, 2), (9, 99, 2)]
 
 
-def test_ngram_join_of_one_passage_in_all(spark, monkeypatch):
+def test_ngram_join_of_one_passage_in_all(spark):
     """A passage in every document, most of each, joins nothing by itself; copies with one more word do. No part of a bag meets each other part."""
     rng = np.random.default_rng(12)
     passage = " ".join(f"p{k}" for k in range(60))
@@ -356,7 +356,8 @@ def test_components_of_hot_nodes(spark, monkeypatch):
     links = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(1, 60)] + [(300, 301), (301, 302), (302, 303)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
     want = {i: 0 for i in [*range(60), *range(101, 160)]} | {i: 300 for i in range(300, 304)}
-    for hot in (components.HOT, 5):
+    for one, hot in ((components.ONE_TASK, components.HOT), (0, components.HOT), (0, 5)):
+        monkeypatch.setattr(components, "ONE_TASK", one)
         monkeypatch.setattr(components, "HOT", hot)
         assert {r["id"]: r["component"] for r in components.components(df).collect()} == want
 

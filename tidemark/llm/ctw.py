@@ -124,7 +124,7 @@ def questions(rows: DataFrame, hasher: Hasher, gram_buckets: int, word_buckets:
         for (part, bucket_of, buckets, base, many) in zip(zip(*parts, strict=True), (_gram_bucket, _word_bucket), (gram_buckets, word_buckets), (0, gram_buckets), copies, strict=True):
             keys, count = _merged(*(np.concatenate(c) for c in zip(*part, strict=True)))
             for k, at in runtime.dealt(keys, bucket_of(keys, buckets), buckets):
-                found.append((base + k, number % many, number, keys[at].tobytes(), np.minimum(count[at], 2**32 - 1).astype("<u4").tobytes()))
+                found.append((base + k, number % many, number, runtime.planes(keys[at]), runtime.planes(count[at])))
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["bucket", "copy", "slice", "keys", "counts"])
 
@@ -153,9 +153,9 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _summed(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The same of packed keys and counts, without those that sum to nothing."""
-    keys, counts = runtime.joined(table["keys"].to_pylist(), np.uint64), runtime.joined(table["counts"].to_pylist(), kind).astype(np.int64)
+    keys, counts = runtime.all_numbers(table["keys"].to_pylist(), np.uint64), runtime.all_numbers(table["counts"].to_pylist(), np.int64)
     return _merged(keys[counts > 0], counts[counts > 0])
 
 
@@ -163,12 +163,12 @@ def counts(asked: DataFrame) -> DataFrame:
     """(bucket, distinct, total, keys, counts): the training counts of each bucket, summed by copy and then by bucket."""
 
     def part(key, table):
-        keys, n = _summed(table, "<u4")
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+        keys, n = _summed(table)
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([runtime.planes(keys)], pa.binary()), "counts": pa.array([runtime.planes(n)], pa.binary())})
 
     def whole(key, table):
-        keys, n = _summed(table, np.int64)
-        cells = [key[0].as_py()], [len(keys)], [int(n.sum())], [keys.tobytes()], [n.tobytes()]
+        keys, n = _summed(table)
+        cells = [key[0].as_py()], [len(keys)], [int(n.sum())], [runtime.planes(keys)], [runtime.planes(n)]
         kinds = pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()
         return pa.table([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["bucket", "distinct", "total", "keys", "counts"])
 
@@ -250,7 +250,7 @@ class Subtrees:
 
 
 def _of_bucket(cells: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return runtime.joined(cells["keys"].to_pylist(), np.uint64).astype(np.int64), runtime.joined(cells["counts"].to_pylist(), np.int64).astype(np.float64)
+    return runtime.all_numbers(cells["keys"].to_pylist(), np.uint64).astype(np.int64), runtime.all_numbers(cells["counts"].to_pylist(), np.int64).astype(np.float64)
 
 
 def tops(model: DataFrame) -> dict[str, np.ndarray]:
@@ -305,19 +305,19 @@ def answers(asked: DataFrame, model: DataFrame, top: dict[str, np.ndarray], gram
     def run(key, questions, bucket):
         if not questions.num_rows:
             return schema.empty_table()
-        keys = [np.frombuffer(k, np.uint64) for k in questions["keys"].to_pylist()]
+        keys = [runtime.numbers(k, np.uint64) for k in questions["keys"].to_pylist()]
         wanted, at = np.unique(np.concatenate(keys), return_inverse=True)
         parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
         if key[0].as_py() < gram_buckets:
-            kind, found = 0, log_probabilities(wanted, *_of_bucket(bucket), shared.value).astype("<f4")
-            told = [(k.tobytes(), found[p].tobytes()) for k, p in zip(keys, parts, strict=True)]
+            kind, found = 0, log_probabilities(wanted, *_of_bucket(bucket), shared.value).astype(np.float32)
+            told = [(runtime.planes(k), runtime.planes(found[p])) for k, p in zip(keys, parts, strict=True)]
         else:
-            words, n = runtime.joined(bucket["keys"].to_pylist(), np.uint64), runtime.joined(bucket["counts"].to_pylist(), np.int64)
+            words, n = runtime.all_numbers(bucket["keys"].to_pylist(), np.uint64), runtime.all_numbers(bucket["counts"].to_pylist(), np.int64)
             if not len(words):
                 return schema.empty_table()
             where = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
             kind, found = 1, np.where(words[where] == wanted, n[where], 0)
-            told = [(k[found[p] > 0].tobytes(), found[p][found[p] > 0].astype("<i8").tobytes()) for k, p in zip(keys, parts, strict=True)]
+            told = [(runtime.planes(k[found[p] > 0]), runtime.planes(found[p][found[p] > 0])) for k, p in zip(keys, parts, strict=True)]
         cells = questions["slice"].combine_chunks(), pa.array([kind] * len(keys), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*told, strict=True)]
         return pa.table(list(cells), schema=schema)
 
@@ -331,8 +331,8 @@ class Told:
     def __init__(self, table: pa.Table, kind: int) -> None:
         on = (table["kind"].to_numpy() == kind).tolist()
         keys, values = ([c for c, ok in zip(table[n].to_pylist(), on, strict=True) if ok] for n in ("keys", "values"))
-        keys, first = np.unique(runtime.joined(keys, np.uint64), return_index=True)
-        self.values = np.append(runtime.joined(values, "<i8" if kind else "<f4")[first].astype(np.float64), 0.0)
+        keys, first = np.unique(runtime.all_numbers(keys, np.uint64), return_index=True)
+        self.values = np.append(runtime.all_numbers(values, np.int64 if kind else np.float32)[first].astype(np.float64), 0.0)
         self.map = IntMap(max(16, 2 * len(keys)))
         self.map.add(keys + U(kind == 0), np.arange(len(keys)))  # a gram may be 0
 

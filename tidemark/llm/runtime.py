@@ -76,7 +76,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read back with its own schema."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{label}-{next(_serial)}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     for made in _open:
@@ -205,3 +205,18 @@ def dealt(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> list[tuple[int,
 def joined(cells: Iterable[bytes], kind) -> np.ndarray:
     """The numbers in binary cells, one after the other."""
     return np.frombuffer(b"".join(cells), kind)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as a cell, all first bytes, then all second bytes and so on, which the shuffle's codec makes smaller."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""
+
+
+def numbers(cell: bytes, kind) -> np.ndarray:
+    """What planes() made a cell of."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def all_numbers(cells: Iterable[bytes], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[numbers(c, kind) for c in cells]])
