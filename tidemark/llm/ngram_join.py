@@ -140,7 +140,7 @@ def _questions(slices: DataFrame, buckets: int) -> DataFrame:
                 names, n = np.unique(_names(np.concatenate(shingle_sets(whole.column(0).slice(a, b - a))), buckets), return_counts=True)
                 bucket, rest = (names >> U(32)).astype(np.int64), (names & U(0xFFFFFFFF)).astype("<u4")
                 ends = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(k, int(number[a]), rest[i:j].tobytes(), np.minimum(n[i:j], 255).astype(np.uint8).tobytes()) for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if j > i]
+                rows = [(k, int(number[a]), runtime.planes(rest[i:j]), np.minimum(n[i:j], 255).astype(np.uint8).tobytes()) for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if j > i]
                 if rows:
                     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "slice", "rests", "counts"])
@@ -153,7 +153,7 @@ def _ranks(asked: DataFrame) -> DataFrame:
 
     def run(key, table):
         schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("rests", pa.binary()), ("ranks", pa.binary())])
-        rests = [np.frombuffer(x, "<u4") for x in table["rests"].to_pylist()]
+        rests = [runtime.numbers(x, "<u4") for x in table["rests"].to_pylist()]
         own, at = np.unique(np.concatenate(rests), return_inverse=True)
         n = np.bincount(at, runtime.joined(table["counts"].to_pylist(), np.uint8))
         rank = np.where(n > 1, np.minimum(255, 8 * np.log2(np.maximum(n, 1))), 0).astype(np.uint8)[at]
@@ -163,7 +163,7 @@ def _ranks(asked: DataFrame) -> DataFrame:
             own = rank[a:b]
             on = own > 0
             if on.any():
-                for c, v in zip(out, (number, key[0].as_py(), rest[on].tobytes(), own[on].tobytes()), strict=True):
+                for c, v in zip(out, (number, key[0].as_py(), runtime.planes(rest[on]), own[on].tobytes()), strict=True):
                     out[c].append(v)
         return pa.table([pa.array(v, f.type) for v, f in zip(out.values(), schema, strict=True)], schema=schema)
 
@@ -177,7 +177,7 @@ def _prefixes(slices: DataFrame, ranks: DataFrame, buckets: int, share: int) ->
         schema = pa.schema([("gram", pa.int64()), ("set", pa.int64())])
         if not docs.num_rows or not told.num_rows:
             return schema.empty_table()
-        rests = [np.frombuffer(x, "<u4") for x in told["rests"].to_pylist()]
+        rests = [runtime.numbers(x, "<u4") for x in told["rests"].to_pylist()]
         known = np.concatenate([(U(k) << U(32)) | r for k, r in zip(told["bucket"].to_pylist(), rests, strict=True)])
         known, first = np.unique(known, return_index=True)
         rank_of = runtime.joined(told["ranks"].to_pylist(), np.uint8)[first]
@@ -431,10 +431,10 @@ def link_components(slices: DataFrame, reps: DataFrame, known: DataFrame, share:
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("parts") == 1, F.col("doc")).otherwise(F.col("part").cast("bigint")).alias("side")
     pairs = pairs.select("bag", (low * F.col("parts") + high).alias("part"), "doc", "label", side)
-    links = runtime.store(_joined(_with_text(runtime.store(pairs, "pairs"), texts), share, True).unionByName(links), "links")
     # A core's parts of their own were joined only with their leading set.
     own = left.select("bag", "part", "doc", "label", zero)
-    links = runtime.store(_joined(_with_text(runtime.store(own, "pairs"), texts), share, False).unionByName(links), "links")
+    across = _joined(_with_text(runtime.store(pairs, "pairs"), texts), share, True)
+    links = runtime.store(across.unionByName(_joined(_with_text(runtime.store(own, "pairs"), texts), share, False)).unionByName(links), "links")
     return runtime.store(components(links), "components")
 
 
