@@ -46,6 +46,72 @@ def test_t_quantile():
     assert abs(stats.t_quantile(0.95, 3) - 2.3533634348) < 1e-6
 
 
+def test_outlier_tests_find_planted(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.model import Series
+
+    v = np.random.default_rng(3).normal(size=100)
+    v[[20, 70]] = 9, -8
+    s = Series(spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)] + [("b", i, float(i % 2)) for i in range(50)], "class string, tick bigint, value double"), ("class",))
+    ticks = lambda df: {(r["class"], r["tick"]) for r in df.collect()}
+    assert ticks(stats.grubbs_test(s)) == {("a", 20)}
+    assert ticks(stats.esd_test(s, 4)) == {("a", 20), ("a", 70)}
+    wave = s.df.where("class = 'a'").withColumn("value", F.col("value") + 5 * F.sin(F.col("tick") * 2 * math.pi / 10))
+    assert {("a", 20), ("a", 70)} <= ticks(stats.stl_esd_test(Series(wave, ("class",)), 10, 4))
+    # Known limits: n = 10 at 5 per cent, two sides.
+    assert abs(stats.grubbs_limit(10) - 2.2900) < 1e-3
+
+
+def test_fill_of_two_sets(spark):
+    from tidemark.model import Series
+    from tidemark.operators import frameworks as fw
+
+    make = lambda rows: Series(spark.createDataFrame([("a", *x) for x in rows], "class string, tick bigint, value double"), ("class",))
+    a, b = make([(0, 0.0), (10, 10.0)]), make([(5, 1.0)])
+    got = lambda how, v=None: [(r["tick"], r["a"], r["b"]) for r in fw.cross_fill(a, b, ["class"], how, v).orderBy("tick").collect()]
+    assert got("previous") == [(0, 0.0, None), (5, 0.0, 1.0), (10, 10.0, 1.0)]
+    assert got("next") == [(0, 0.0, 1.0), (5, 10.0, 1.0), (10, 10.0, None)]
+    assert got("value", -1.0) == [(0, 0.0, -1.0), (5, -1.0, 1.0), (10, 10.0, -1.0)]
+    assert got("interpolate") == [(0, 0.0, None), (5, 5.0, 1.0), (10, 10.0, None)]
+    with pytest.raises(KeyError):
+        got("nearest")
+
+
+def test_numbers_in_any_session(spark):
+    from pyspark.sql import functions as F
+
+    top = 2**63 - 1
+    row = lambda *c: list(spark.range(1).select(*[x.alias(f"c{i}") for i, x in enumerate(c)]).first())
+    long = lambda x: F.lit(x).cast("bigint")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            assert row(SCALARS["/"](long(7), long(2)), SCALARS["/"](long(-7), long(2)), SCALARS["/"](F.lit(7.0), long(2)), SCALARS["/"](long(1), long(0))) == [3.0, -3.0, 3.5, None]
+            assert row(SCALARS["+"](long(top), long(1)), SCALARS["-"](long(-top), long(2)), SCALARS["*"](long(top), long(3))) == [-top - 1, top, (3 * top + 2**63) % 2**64 - 2**63]
+            for f in ("ADDEXACT", "MULTIPLYEXACT"):
+                with pytest.raises(Exception, match="overflow"):
+                    row(SCALARS[f](long(top), long(2)))
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_dates_in_any_zone(spark):
+    from pyspark.sql import functions as F
+
+    tick = F.lit(1_711_846_799_123_456).cast("bigint")  # 2024-03-31T00:59:59.123456Z, a second before clocks change in Paris
+    wanted = None
+    for zone in ("UTC", "America/Sao_Paulo", "Asia/Kolkata", "Europe/Paris"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = spark.range(1).select(*[SCALARS[n](tick).alias(n) for n in ("ISO8601", "YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "WEEKDAY", "DAYOFYEAR", "ISOWEEK", "TSELEMENTS")], SCALARS["ADDMONTHS"](tick, F.lit(11)).alias("later"), SCALARS["TSELEMENTS->"](*[F.lit(x) for x in (2024, 3, 31, 0, 59, 59)]).alias("back")).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got["ISO8601"] == "2024-03-31T00:59:59.123456Z" and got["back"] == 1_711_846_799_000_000
+        wanted = wanted or tuple(got)
+        assert tuple(got) == wanted
+
+
 def test_esd_finds_planted():
     v = np.random.default_rng(3).normal(size=200)
     v[[20, 120]] = 9, -8

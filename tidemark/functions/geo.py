@@ -95,6 +95,29 @@ def geohash(lat: Column, lon: Column, length: int = 9) -> Column:
     return F.concat(*letters)
 
 
+def from_geohash(text: Column, length: int = 9) -> Column:
+    """(lat, lon) of the corner of a geohash of so many letters."""
+    bits = 5 * length
+    x, y = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for k in range(length):
+        value = F.instr(F.lit(_BASE32), F.lower(F.substr(text, F.lit(k + 1), F.lit(1)))) - 1
+        for j in range(5):
+            bit = F.shiftright(value, 4 - j).bitwiseAND(F.lit(1))
+            if (5 * k + j) % 2 == 0:
+                x = x * 2 + bit
+            else:
+                y = y * 2 + bit
+    return F.struct((y / float(1 << bits // 2) * 180.0 - 90.0).alias("lat"), (x / float(1 << (bits + 1) // 2) * 360.0 - 180.0).alias("lon"))
+
+
+def from_hhcode(code: Column) -> Column:
+    return F.struct(hhcode_lat(code).alias("lat"), hhcode_lon(code).alias("lon"))
+
+
+def hhcode_text(lat: Column, lon: Column) -> Column:
+    return F.lower(F.lpad(F.hex(hhcode(lat, lon)), 16, "0"))
+
+
 def within_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
     return lat.between(south, north) & lon.between(west, east)
 

@@ -1,7 +1,9 @@
 """Scalar functions by name: each takes and gives Columns.
 
-Everything here is a built-in expression except what stands in functions/udfs.py. Numbers follow
-Java: LONG division truncates, overflow of the plain operators wraps, logarithms of 0 are -Infinity.
+Everything here is a built-in expression except what stands in functions/udfs.py. Numbers behave the
+same in any session: "/" of two LONGs truncates (as a double; "DIV" keeps the LONG), overflow of the
+plain operators wraps and that of the EXACT ones fails, logarithms of 0 are -Infinity. Dates and times
+come from the tick alone, not from the session's time zone.
 """
 
 from __future__ import annotations
@@ -64,11 +66,46 @@ def _bit_reverse(x: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(x), 64, "0")), 2, -10).cast("bigint")
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _div(a: Column, b: Column) -> Column:
+    whole = F.typeof(a).isin(*_WHOLE) & F.typeof(b).isin(*_WHOLE)
+    ratio = F.try_divide(a.cast("double"), b.cast("double"))
+    exact = _int_div(a.try_cast("bigint"), F.nullif(b.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return F.when(whole, exact.cast("double")).otherwise(ratio)
+
+
+def _wrapped(f, g):
+    """f, or where it gives nothing for two numbers, which it does when a LONG overflows, the low 64 bits of the result."""
+    turn, half = (F.lit(str(2**k)).cast("decimal(38,0)") for k in (64, 63))
+
+    def run(a: Column, b: Column) -> Column:
+        low = F.pmod(g(a.try_cast("decimal(20,0)"), b.try_cast("decimal(20,0)")).cast("decimal(38,0)"), turn)
+        return F.coalesce(f(a, b), F.when(low >= half, low - turn).otherwise(low).try_cast("bigint"))
+
+    return run
+
+
+def _exact(f):
+    """f, failing where it gives nothing for two numbers."""
+
+    def run(a: Column, b: Column) -> Column:
+        found = f(a, b)
+        return F.when(found.isNotNull() | a.isNull() | b.isNull(), found).otherwise(F.raise_error(F.lit("overflow")).cast("bigint"))
+
+    return run
+
+
+def _int_exact(a: Column) -> Column:
+    return F.when(a.between(-(2**31), 2**31 - 1) | a.isNull(), a.try_cast("int")).otherwise(F.raise_error(F.lit("overflow")).cast("int"))
+
+
 SCALARS |= {
-    "+": lambda a, b: a + b,
-    "-": lambda a, b: a - b,
-    "*": lambda a, b: a * b,
-    "/": lambda a, b: a / b,
+    "+": lambda a, b: _wrapped(F.try_add, lambda x, y: x + y)(a, b),
+    "-": lambda a, b: _wrapped(F.try_subtract, lambda x, y: x - y)(a, b),
+    "*": lambda a, b: _wrapped(F.try_multiply, lambda x, y: x * y)(a, b),
+    "/": _div,
     "DIV": _int_div,
     "%": lambda a, b: a % b,
     "**": lambda a, b: F.pow(a, b),
@@ -128,13 +165,13 @@ SCALARS |= {
     "GETEXPONENT": lambda x: F.floor(F.log2(F.abs(x))).cast("int"),
     "FLOORDIV": _floor_div,
     "FLOORMOD": lambda a, b: a - b * _floor_div(a, b),
-    "ADDEXACT": lambda a, b: a + b,
-    "SUBTRACTEXACT": lambda a, b: a - b,
-    "MULTIPLYEXACT": lambda a, b: a * b,
-    "INCREMENTEXACT": lambda a: a + 1,
-    "DECREMENTEXACT": lambda a: a - 1,
-    "NEGATEEXACT": lambda a: -a,
-    "TOINTEXACT": lambda a: a.cast("int"),
+    "ADDEXACT": _exact(F.try_add),
+    "SUBTRACTEXACT": _exact(F.try_subtract),
+    "MULTIPLYEXACT": _exact(F.try_multiply),
+    "INCREMENTEXACT": lambda a: _exact(F.try_add)(a, F.lit(1)),
+    "DECREMENTEXACT": lambda a: _exact(F.try_subtract)(a, F.lit(1)),
+    "NEGATEEXACT": lambda a: _exact(F.try_subtract)(F.lit(0), a),
+    "TOINTEXACT": _int_exact,
     "MAX": lambda a, b: F.greatest(a, b),
     "MIN": lambda a, b: F.least(a, b),
     "ISNaN": lambda x: F.isnan(x),
@@ -216,15 +253,39 @@ SCALARS |= {
 UNIT = {"w": 604_800_000_000, "d": 86_400_000_000, "h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1}
 
 
-def _local(tick: Column, zone="UTC") -> Column:
-    t = F.timestamp_micros(tick)
-    return F.from_utc_timestamp(t, zone)
+def _local(tick: Column, zone: str = "UTC") -> Column:
+    """The local date and time of a tick, without a zone."""
+    t = F.timestamp_add("MICROSECOND", tick.cast("bigint"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return t if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
+
+
+def _day(tick: Column) -> Column:
+    return F.date_from_unix_date(F.floor(tick / F.lit(UNIT["d"])).cast("int"))
+
+
+def _start(day: Column) -> Column:
+    return F.unix_date(day).cast("bigint") * UNIT["d"]
 
 
 def _moved(tick: Column, day: Column) -> Column:
     """The time of day of a tick on another day."""
-    rest = F.pmod(tick, F.lit(UNIT["d"]))
-    return F.unix_micros(day.cast("timestamp")) + rest
+    return _start(day) + F.pmod(tick, F.lit(UNIT["d"]))
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("bigint").cast("string"), 2, "0")
+
+
+def _iso(t: Column) -> Column:
+    rest = F.pmod(t, F.lit(UNIT["d"]))
+    parts = [_two(F.floor(rest / UNIT["h"])), F.lit(":"), _two(F.floor(rest / UNIT["m"]) % 60), F.lit(":"), _two(F.floor(rest / UNIT["s"]) % 60), F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("Z")]
+    return F.concat(_day(t).cast("string"), F.lit("T"), *parts)
+
+
+def _elements(t: Column, zone: str = "UTC") -> Column:
+    """Year, month, day, hour, minute, second, nanoseconds, day of year, day of week from Monday, ISO week."""
+    local = _local(t, zone)
+    return F.array(*[f(local).cast("bigint") for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute, F.second)], F.pmod(t, F.lit(1_000_000)) * 1000, F.dayofyear(local).cast("bigint"), (F.weekday(local) + 1).cast("bigint"), F.weekofyear(local).cast("bigint"))
 
 
 SCALARS |= {
@@ -235,7 +296,9 @@ SCALARS |= {
     "AGO": lambda n: F.unix_micros(F.current_timestamp()) - n,
     "NOTBEFORE": lambda t: F.unix_micros(F.current_timestamp()) >= t,
     "NOTAFTER": lambda t: F.unix_micros(F.current_timestamp()) <= t,
-    "ISO8601": lambda t: F.date_format(F.timestamp_micros(t), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+    "ns": lambda x: x / 1000,
+    "ps": lambda x: x / 1_000_000,
+    "ISO8601": _iso,
     "TOTIMESTAMP": lambda s: F.unix_micros(F.to_timestamp(s)),
     "YEAR": lambda t: F.year(_local(t)),
     "MONTH": lambda t: F.month(_local(t)),
@@ -246,12 +309,13 @@ SCALARS |= {
     "SECOND": lambda t: F.second(_local(t)),
     "DAYOFYEAR": lambda t: F.dayofyear(_local(t)),
     "ISOWEEK": lambda t: F.weekofyear(_local(t)),
-    "TSELEMENTS": lambda t: F.array(*[f(_local(t)).cast("bigint") for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute, F.second)], F.pmod(t, F.lit(1_000_000)) * 1000, F.dayofyear(_local(t)).cast("bigint"), (F.weekday(_local(t)) + 1).cast("bigint"), F.weekofyear(_local(t)).cast("bigint")),
-    "TSELEMENTS->": lambda y, mo, d, h, mi, s: F.unix_micros(F.make_timestamp(y, mo, d, h, mi, s)),
+    "TSELEMENTS": _elements,
+    "->TSELEMENTS": _elements,
+    "TSELEMENTS->": lambda y, mo, d, h, mi, s: _start(F.make_date(y, mo, d)) + h.cast("bigint") * UNIT["h"] + mi.cast("bigint") * UNIT["m"] + F.round(s.cast("double") * 1_000_000).cast("bigint"),
     "ADDDAYS": lambda t, n: t + n * UNIT["d"],
-    "ADDMONTHS": lambda t, n: _moved(t, F.add_months(F.timestamp_micros(t).cast("date"), n.cast("int"))),
-    "ADDYEARS": lambda t, n: _moved(t, F.add_months(F.timestamp_micros(t).cast("date"), (n * 12).cast("int"))),
-    "ADDDURATION": lambda t, months, micros: _moved(t, F.add_months(F.timestamp_micros(t).cast("date"), months.cast("int"))) + micros,
+    "ADDMONTHS": lambda t, n: _moved(t, F.add_months(_day(t), n.cast("int"))),
+    "ADDYEARS": lambda t, n: _moved(t, F.add_months(_day(t), (n * 12).cast("int"))),
+    "ADDDURATION": lambda t, months, micros: _moved(t, F.add_months(_day(t), months.cast("int"))) + micros,
     "HUMANDURATION": lambda t: F.concat_ws("", F.expr("''"), F.floor(t / UNIT["d"]).cast("string"), F.lit("d"), F.floor(F.pmod(t, F.lit(UNIT["d"])) / UNIT["h"]).cast("string"), F.lit("h"), F.floor(F.pmod(t, F.lit(UNIT["h"])) / UNIT["m"]).cast("string"), F.lit("m"), F.format_string("%.6f", F.pmod(t, F.lit(UNIT["m"])) / 1e6), F.lit("s")),
     "ISODURATION": lambda t: F.concat(F.lit("PT"), F.format_string("%.6f", t / 1e6), F.lit("S")),
     "DURATION": lambda s: sum((F.coalesce(F.nullif(F.regexp_extract(s, p, 1), F.lit("")).cast("double"), F.lit(0.0)) * u for p, u in (("([0-9.]+)D", UNIT["d"]), ("([0-9.]+)H", UNIT["h"]), ("T(?:[0-9.]+H)?([0-9.]+)M", UNIT["m"]), ("([0-9.]+)S", UNIT["s"]))), F.lit(0.0)).cast("bigint"),
@@ -303,6 +367,44 @@ SCALARS |= {
     "TRANSPOSE": lambda m: F.transform(F.sequence(F.lit(0), F.size(F.get(m, F.lit(0))) - 1), lambda j: F.transform(m, lambda r: F.get(r, j))),
     "TR": lambda m: F.aggregate(F.transform(m, lambda r, i: F.get(r, i)), F.lit(0.0), lambda s, x: s + x),
     "RESHAPE": lambda a, rows, cols: F.transform(F.sequence(F.lit(0), rows.cast("int") - 1), lambda i: F.slice(a, i * cols.cast("int") + 1, cols.cast("int"))),
+    "CLONEREVERSE": F.reverse,
+    "->LIST": lambda *c: F.array(*c),
+    "->MAP": lambda *c: F.create_map(*c),
+    "MAP->": F.map_entries,
+    "UNMAP": F.map_entries,
+    "LIST->": lambda a: F.posexplode(a),
+    "UNLIST": lambda a: F.explode(a),
+    "SET->": F.array_sort,
+    "UNSET": lambda a: F.explode(a),
+    "->V": lambda *c: F.array(*c),
+    "V->": lambda a: a,
+    "->VEC": lambda a: a.cast("array<double>"),
+    "VEC->": lambda a: a,
+    "->MAT": lambda a: a.cast("array<array<double>>"),
+    "MAT->": lambda a: a,
+    "JSON->": lambda s: F.try_parse_json(s),
+    "SET": lambda a, value, at: F.transform(a, lambda x, i: F.when(i == at, value).otherwise(x)),
+    "+!": lambda a, x: F.array_append(a, x),
+    "TYPEOF": F.typeof,
+    "LFLATMAP": lambda a, f: F.flatten(F.transform(a, f)),
+    "MMAP": lambda m, f: F.transform_values(m, f),
+    "GROUPBY": lambda a, f: F.aggregate(F.array_distinct(F.transform(a, f)), F.array().cast("array<string>"), lambda s, k: F.array_append(s, F.to_json(F.struct(k.alias("key"), F.filter(a, lambda x: f(x).eqNullSafe(k)).alias("values"))))),
+    "FILTERBY": lambda a, f, wanted: F.filter(a, lambda x: f(x).eqNullSafe(wanted)),
+    "SORTBY": lambda a, f: F.transform(F.array_sort(F.transform(a, lambda x, i: F.struct(f(x).alias("k"), i.alias("i"), x.alias("x")))), lambda r: r["x"]),
+    "SORTWITH": lambda a, f: F.array_sort(a, f),
+    "CHECKSHAPE": lambda m: F.size(F.array_distinct(F.transform(m, lambda r: F.size(r)))) <= 1,
+    "HULLSHAPE": lambda m: F.array(F.size(m), F.array_max(F.transform(m, lambda r: F.size(r)))),
+    "PERMUTE": lambda m, order: m if list(order) == [0, 1] else SCALARS["TRANSPOSE"](m),
+    "MATCHER": lambda pattern: lambda text: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+    "TEMPLATE": lambda text, m: F.aggregate(F.map_entries(m), text, lambda s, e: F.replace(s, F.concat(F.lit("{{"), e["key"], F.lit("}}")), e["value"])),
+    "IFT": lambda cond, then: F.when(cond, then),
+    "IFTE": lambda cond, then, other: F.when(cond, then).otherwise(other),
+    "SWITCH": lambda cases, other: F.coalesce(*[F.when(c, v) for c, v in cases], other),
+    "ASSERT": lambda cond: F.assert_true(cond),
+    "ASSERTMSG": lambda cond, message: F.assert_true(cond, message),
+    "FAIL": lambda: F.raise_error(F.lit("failed")),
+    "MSGFAIL": lambda message: F.raise_error(message),
+    "CALL": lambda name, *args: F.call_function(name, *args),
     "LMAP": lambda a, f: F.transform(a, f),
     "LFILTER": lambda a, f: F.filter(a, f),
     "MFILTER": lambda m, f: F.map_filter(m, f),
@@ -326,7 +428,35 @@ def _qconj(a: Column) -> Column:
     return _quaternion(a["w"], -a["x"], -a["y"], -a["z"])
 
 
+def _qdivide(q: Column, r: Column) -> Column:
+    """q times the inverse of r."""
+    n = r["w"] * r["w"] + r["x"] * r["x"] + r["y"] * r["y"] + r["z"] * r["z"]
+    p = _qmul(q, _qconj(r))
+    return _quaternion(*[p[c] / n for c in "wxyz"])
+
+
+def _rotation(q: Column) -> Column:
+    """The axis and the angle in degrees that a unit quaternion turns by."""
+    s = F.sqrt(F.greatest(F.lit(0.0), 1 - q["w"] * q["w"]))
+    part = lambda c: F.when(s > 1e-9, q[c] / s).otherwise(F.lit(1.0 if c == "x" else 0.0))
+    angle = F.degrees(2 * F.acos(F.least(F.greatest(q["w"], F.lit(-1.0)), F.lit(1.0))))
+    return F.struct(part("x").alias("x"), part("y").alias("y"), part("z").alias("z"), angle.alias("angle"))
+
+
+def _from_rotation(x: Column, y: Column, z: Column, angle: Column) -> Column:
+    n, half = F.sqrt(x * x + y * y + z * z), F.radians(angle) / 2
+    return _quaternion(F.cos(half), *[F.sin(half) * c / n for c in (x, y, z)])
+
+
 SCALARS |= {
+    "Q->": lambda q: F.array(*[q[c] for c in "wxyz"]),
+    "QDIVIDE": _qdivide,
+    "QROTATION": _rotation,
+    "ROTATIONQ": _from_rotation,
+    "pi": lambda: F.lit(math.pi),
+    "e": lambda: F.lit(math.e),
+    "RANDOM": lambda low, high: low + F.rand() * (high - low),
+    "PRNG": lambda seed=0: F.rand(seed),
     "->Q": _quaternion,
     "QCONJUGATE": _qconj,
     "QMULTIPLY": _qmul,

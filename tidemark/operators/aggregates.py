@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,11 @@ class Point:
     #: Number of series of the partition, where nulls matter (reducers).
     series: Column | None = None
     seq: Column | None = None
+    #: The window that aggregates are put over; none in groupBy().
+    window: WindowSpec | None = None
+
+    def of(self, aggregate: Column) -> Column:
+        return aggregate if self.window is None else aggregate.over(self.window)
 
     @property
     def first_key(self) -> Column:
@@ -49,49 +54,49 @@ def _v(p: Point) -> Column:
 
 @builder("count")
 def _count(p: Point) -> Column:
-    return F.count(p.value)
+    return p.of(F.count(p.value))
 
 
 @builder("count.include-nulls")
 def _count_all(p: Point) -> Column:
-    return p.series if p.series is not None else F.count(F.lit(1))
+    return p.series if p.series is not None else p.of(F.count(F.lit(1)))
 
 
 @builder("sum")
 def _sum(p: Point) -> Column:
-    return F.sum(p.value)
+    return p.of(F.sum(p.value))
 
 
 @builder("mean")
 def _mean(p: Point) -> Column:
-    return F.avg(p.value)
+    return p.of(F.avg(p.value))
 
 
 @builder("min")
 def _min(p: Point) -> Column:
-    return F.min(p.value)
+    return p.of(F.min(p.value))
 
 
 @builder("max")
 def _max(p: Point) -> Column:
-    return F.max(p.value)
+    return p.of(F.max(p.value))
 
 
 @builder("first")
 def _first(p: Point) -> Column:
-    return F.min_by(p.value, p.first_key)
+    return p.of(F.min_by(p.value, p.first_key))
 
 
 @builder("last")
 def _last(p: Point) -> Column:
     # Of equal newest ticks the one inserted first.
     key = F.struct(p.tick, -p.seq) if p.seq is not None else p.tick
-    return F.max_by(p.value, key)
+    return p.of(F.max_by(p.value, key))
 
 
 @builder("median")
 def _median(p: Point) -> Column:
-    return F.percentile(p.value, F.lit(0.5))
+    return p.of(F.percentile(p.value, F.lit(0.5)))
 
 
 @builder("percentile")
@@ -99,8 +104,8 @@ def _percentile(p: Point, q: float = 50, kind: int = 1) -> Column:
     """Type 1: the value at ceil(q * n); type 7: interpolated; 2 to 9 as Hyndman and Fan number them."""
     q = q / 100
     if kind == 7:
-        return F.percentile(p.value, F.lit(q))
-    values = F.sort_array(F.collect_list(p.value))
+        return p.of(F.percentile(p.value, F.lit(q)))
+    values = F.sort_array(p.of(F.collect_list(p.value)))
     n = F.size(values)
     at = lambda k: F.element_at(values, F.greatest(F.lit(1), F.least(n, k)).cast("int"))
     if kind in (1, 2, 3):
@@ -120,7 +125,7 @@ def _percentile(p: Point, q: float = 50, kind: int = 1) -> Column:
 
 @builder("mad")
 def _mad(p: Point) -> Column:
-    values = F.collect_list(p.value.cast("double"))
+    values = p.of(F.collect_list(p.value.cast("double")))
     return _array_median(F.transform(values, lambda x: F.abs(x - _array_median(values))))
 
 
@@ -133,53 +138,53 @@ def _array_median(a: Column) -> Column:
 
 @builder("and")
 def _and(p: Point) -> Column:
-    return F.bool_and(p.value.cast("boolean"))
+    return p.of(F.bool_and(p.value.cast("boolean")))
 
 
 @builder("or")
 def _or(p: Point) -> Column:
-    return F.bool_or(p.value.cast("boolean"))
+    return p.of(F.bool_or(p.value.cast("boolean")))
 
 
 @builder("join")
 def _join(p: Point, separator: str = ",") -> Column:
     key = p.first_key
-    rows = F.array_sort(F.collect_list(F.struct(key.alias("k"), p.value.cast("string").alias("v"))))
+    rows = F.array_sort(p.of(F.collect_list(F.struct(key.alias("k"), p.value.cast("string").alias("v")))))
     return F.array_join(F.transform(rows, lambda r: r["v"]), separator)
 
 
 @builder("mean.circular")
 def _circular(p: Point, period: float = 360.0) -> Column:
     turn = 2 * math.pi / period
-    angle = F.atan2(F.avg(F.sin(p.value * turn)), F.avg(F.cos(p.value * turn))) / turn
+    angle = F.atan2(p.of(F.avg(F.sin(p.value * turn))), p.of(F.avg(F.cos(p.value * turn)))) / turn
     return F.when(angle < 0, angle + period).otherwise(angle)
 
 
 @builder("rms")
 def _rms(p: Point) -> Column:
-    return F.sqrt(F.avg(p.value * p.value))
+    return F.sqrt(p.of(F.avg(p.value * p.value)))
 
 
 @builder("var", "var.welford")
 def _var(p: Point, bessel: bool = True) -> Column:
-    n = F.count(p.value)
-    return F.when(n == 1, F.lit(0.0)).otherwise(F.var_samp(p.value) if bessel else F.var_pop(p.value))
+    n = p.of(F.count(p.value))
+    return F.when(n == 1, F.lit(0.0)).otherwise(p.of(F.var_samp(p.value)) if bessel else p.of(F.var_pop(p.value)))
 
 
 @builder("sd", "sd.welford")
 def _sd(p: Point, bessel: bool = True) -> Column:
-    n = F.count(p.value)
-    return F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(p.value) if bessel else F.stddev_pop(p.value))
+    n = p.of(F.count(p.value))
+    return F.when(n == 1, F.lit(0.0)).otherwise(p.of(F.stddev_samp(p.value)) if bessel else p.of(F.stddev_pop(p.value)))
 
 
 @builder("highest")
 def _highest(p: Point) -> Column:
-    return F.max_by(p.value, F.struct(p.elev, p.tick))
+    return p.of(F.max_by(p.value, F.struct(p.elev, p.tick)))
 
 
 @builder("lowest")
 def _lowest(p: Point) -> Column:
-    return F.min_by(p.value, F.struct(p.elev, -p.tick))
+    return p.of(F.min_by(p.value, F.struct(p.elev, -p.tick)))
 
 
 @builder("delta")
@@ -189,20 +194,28 @@ def _delta(p: Point) -> Column:
 
 @builder("rate")
 def _rate(p: Point) -> Column:
-    span = (F.max(p.tick) - F.min(p.tick)) / F.lit(1e6)
+    span = (p.of(F.max(p.tick)) - p.of(F.min(p.tick))) / F.lit(1e6)
     return F.when(span == 0, _delta(p).cast("double")).otherwise(_delta(p) / F.when(span != 0, span))
 
 
 @builder("vspeed")
 def _vspeed(p: Point) -> Column:
-    span = (F.max(p.tick) - F.min(p.tick)) / F.lit(1e6)
-    rise = (F.max_by(p.elev, p.tick) - F.min_by(p.elev, p.tick)) / F.lit(1000.0)
+    span = (p.of(F.max(p.tick)) - p.of(F.min(p.tick))) / F.lit(1e6)
+    rise = (p.of(F.max_by(p.elev, p.tick)) - p.of(F.min_by(p.elev, p.tick))) / F.lit(1000.0)
     return F.when(span == 0, F.lit(0.0)).otherwise(rise / F.when(span != 0, span))
 
 
+@builder("vdist")
+def _vdist(p: Point) -> Column:
+    """Metres climbed and sunk; elevations are in millimetres."""
+    rows = F.array_sort(p.of(F.collect_list(F.when(p.elev.isNotNull(), F.struct(p.tick.alias("t"), p.elev.alias("e"))))))
+    steps = F.zip_with(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda a, b: F.abs(b["e"] - a["e"]))
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, x: s + x) / F.lit(1000.0)
+
+
 @builder("product")
 def _product(p: Point) -> Column:
-    return F.product(p.value)
+    return p.of(F.product(p.value))
 
 
 @builder("entropy.0", "shannonentropy.0")
@@ -217,19 +230,19 @@ def _entropy1(p: Point) -> Column:
 
 def _entropy(p: Point, alone: float) -> Column:
     """Of the values taken as counts, divided by the log of how many there are."""
-    n, total = F.count(p.value), F.sum(p.value).cast("double")
-    h = F.log(total) - F.sum(p.value * F.log(F.when(p.value > 0, p.value))) / total
+    n, total = p.of(F.count(p.value)), p.of(F.sum(p.value)).cast("double")
+    h = F.log(total) - p.of(F.sum(p.value * F.log(F.when(p.value > 0, p.value)))) / total
     return F.when(n == 1, F.lit(alone)).otherwise(h / F.log(F.when(n > 1, n.cast("double"))))
 
 
 @builder("range")
 def _range(p: Point) -> Column:
-    return F.max(p.value) - F.min(p.value)
+    return p.of(F.max(p.value)) - p.of(F.min(p.value))
 
 
 @builder("mode")
 def _mode(p: Point) -> Column:
-    return F.mode(p.value, True)
+    return p.of(F.mode(p.value, True))
 
 
 SKIP = ".exclude-nulls", ".nonnull", ".ignore-nulls"
@@ -249,9 +262,9 @@ def build(name: str, p: Point, **params) -> Column:
         if bare not in BUILDERS:
             bare = bare.removesuffix(rule)
     if bare == "join.urlencoded":
-        p = Point(p.tick, F.url_encode(p.value.cast("string")), seq=p.seq)
+        p = replace(p, value=F.url_encode(p.value.cast("string")))
         bare = "join"
     if bare not in BUILDERS:
         raise KeyError(f"no aggregator named {name!r}")
     out = BUILDERS[bare](p, **params)
-    return F.when(F.count(p.value) == p.series, out) if strict and p.series is not None else out
+    return F.when(p.of(F.count(p.value)) == p.series, out) if strict and p.series is not None else out

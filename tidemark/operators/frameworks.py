@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,49 +128,14 @@ def window_map(s: Series, name: str, pre: int = 0, post: int = 0, occurrences: i
 
 
 def windowed(name: str, p: Point, w, **params) -> Column:
-    """An aggregator as a window expression: aggregates are put over the frame one by one."""
-    bare = name.removeprefix("mapper.")
-    v, t = p.value, p.tick
-    over = lambda c: c.over(w)
-    first, last = F.min_by(v, t), F.max_by(v, t)
-    if bare == "delta":
-        return over(last) - over(first)
-    if bare == "rate":
-        span = (over(F.max(t)) - over(F.min(t))) / F.lit(1e6)
-        delta = over(last) - over(first)
-        return F.when(span == 0, delta.cast("double")).otherwise(delta / F.when(span != 0, span))
-    if bare in ("var", "var.welford", "sd", "sd.welford"):
-        bessel = params.get("bessel", True)
-        f = {("v", True): F.var_samp, ("v", False): F.var_pop, ("s", True): F.stddev_samp, ("s", False): F.stddev_pop}[bare[0], bessel]
-        return F.when(over(F.count(v)) == 1, F.lit(0.0)).otherwise(over(f(v)))
-    if bare == "rms":
-        return F.sqrt(over(F.avg(v * v)))
-    if bare == "mean.circular":
-        import math
-
-        period = params.get("period", 360.0)
-        turn = 2 * math.pi / period
-        angle = F.atan2(over(F.avg(F.sin(v * turn))), over(F.avg(F.cos(v * turn)))) / turn
-        return F.when(angle < 0, angle + period).otherwise(angle)
-    if bare == "range":
-        return over(F.max(v)) - over(F.min(v))
-    if bare == "dotproduct":
+    """An aggregator as a window expression: its aggregates are put over the frame one by one."""
+    if name.removeprefix("mapper.").startswith("dotproduct"):
         weights = params["weights"]
-        values = over(F.collect_list(v))
-        return F.when(F.size(values) == len(weights), F.aggregate(F.zip_with(values, F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-    if bare in ("percentile", "mad", "join"):
-        values = over(F.collect_list(F.struct(t.alias("k"), v.alias("v"))))
-        plain = F.transform(values, lambda r: r["v"])
-        if bare == "join":
-            return F.array_join(F.transform(values, lambda r: r["v"].cast("string")), params.get("separator", ","))
-        if bare == "mad":
-            from tidemark.operators.aggregates import _array_median
-
-            return _array_median(F.transform(plain, lambda x: F.abs(x - _array_median(plain))))
-        s = F.sort_array(plain)
-        n = F.size(s)
-        return F.when(n > 0, F.element_at(s, F.greatest(F.lit(1), F.ceil(n * F.lit(params.get("q", 50) / 100))).cast("int")))
-    return over(build(bare, p, **params))
+        values = F.collect_list(p.value).over(w)
+        dot = F.aggregate(F.zip_with(values, F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        after = {"tanh": F.tanh, "sigmoid": lambda x: 1 / (1 + F.exp(-x)), "positive": lambda x: F.greatest(x, F.lit(0.0))}.get(name.rpartition(".")[2], lambda x: x)
+        return F.when(F.size(values) == len(weights), after(dot))
+    return build(name, replace(p, window=w), **params)
 
 
 def strict(s: Series, name: str, least: int, most: int, pre: int = 0, post: int = 0, **params) -> Series:
@@ -366,7 +332,8 @@ def _before(s: Series, c: Column | str):
 
 
 def _after(s: Series, c: Column | str):
-    return F.first(c, ignorenulls=True).over(s.over(F.col(s.tick)).rowsBetween(0, Window.unboundedFollowing))
+    # In descending order the frame runs along; one to the end of the series would be evaluated anew for each row.
+    return F.last(c, ignorenulls=True).over(s.over(F.col(s.tick).desc()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def fill(s: Series, how: str, value=None, ticks: DataFrame | None = None) -> Series:
@@ -374,23 +341,26 @@ def fill(s: Series, how: str, value=None, ticks: DataFrame | None = None) -> Ser
     how = how.removeprefix("filler.")
     rows = scaffold(s) if ticks is None else s.df.join(ticks.select(*s.keys, s.tick).distinct(), [*s.keys, s.tick], "full")
     base = Series(rows, s.keys, s.tick, s.value, s.grid)
+    filled = rows.withColumn("_v", _filled(base, how, value)).withColumn(s.value, F.col("_v")).drop("_v").where(F.col(s.value).isNotNull())
+    return base.with_df(filled)
+
+
+def _filled(s: Series, how: str, value=None) -> Column:
+    """The value of each row, or what a filler puts where it is null."""
     v = F.col(s.value)
     if how == "value":
-        out = F.coalesce(v, F.lit(value))
-    elif how == "previous":
-        out = _before(base, v)
-    elif how == "next":
-        out = _after(base, v)
-    elif how in ("interpolate", "linear"):
+        return F.coalesce(v, F.lit(value))
+    if how == "previous":
+        return _before(s, v)
+    if how == "next":
+        return _after(s, v)
+    if how in ("interpolate", "linear"):
         known = F.when(v.isNotNull(), F.col(s.tick))
-        t0, t1 = _before(base, known), _after(base, known)
-        v0, v1 = _before(base, v), _after(base, v)
+        t0, t1 = _before(s, known), _after(s, known)
+        v0, v1 = _before(s, v), _after(s, v)
         share = (F.col(s.tick) - t0) / F.when(t1 != t0, t1 - t0).cast("double")
-        out = F.when(v.isNotNull(), v.cast("double")).otherwise(v0 + (v1 - v0) * share)
-    else:
-        raise KeyError(f"no filler named {how!r}")
-    filled = rows.withColumn("_v", out).withColumn(s.value, F.col("_v")).drop("_v").where(F.col(s.value).isNotNull())
-    return base.with_df(filled)
+        return F.when(v.isNotNull(), v.cast("double")).otherwise(v0 + (v1 - v0) * share)
+    raise KeyError(f"no filler named {how!r}")
 
 
 def crop(s: Series) -> Series:
@@ -398,15 +368,24 @@ def crop(s: Series) -> Series:
     return s.with_df(s.df, grid=Grid(s.grid.span) if s.grid else None)
 
 
-def cross_fill(a: Series, b: Series, by: Sequence[str], how: str = "previous") -> DataFrame:
+def cross_fill(a: Series, b: Series, by: Sequence[str], how: str = "previous", value=None) -> DataFrame:
     """Two sets of series at the union of their ticks, gaps filled from each one's own points: (by, tick, a, b)."""
     rows = aligned(a, b, by, "full").drop("_a", "_b")
     for c in ("a", "b"):
-        s = Series(rows, tuple(by), "tick", c)
-        rows = fill(s, how, ticks=rows).df if how == "value" else rows.withColumn(f"_{c}", _before(s, F.col(c)) if how == "previous" else _after(s, F.col(c)))
+        rows = rows.withColumn(f"_{c}", _filled(Series(rows, tuple(by), "tick", c), how, value))
     return rows.select(*by, "tick", F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
+def fill_ticks(s: Series, ticks: Sequence[int], value, lat: float | None = None, lon: float | None = None, elev: int | None = None) -> Series:
+    """A point with the given value and place at each given tick at which a series has none."""
+    wanted = s.df.select(*s.keys).distinct().select("*", F.explode(F.array(*[F.lit(t).cast("bigint") for t in ticks])).alias(s.tick))
+    place = {c: v for c, v in (("lat", lat), ("lon", lon), ("elev", elev)) if c in s.df.columns}
+    types = dict(s.df.dtypes)
+    fresh = wanted.join(s.df.select(*s.keys, s.tick).distinct(), [*s.keys, s.tick], "left_anti")
+    fresh = fresh.select("*", F.lit(value).cast(types[s.value]).alias(s.value), *[F.lit(v).cast(types[c]).alias(c) for c, v in place.items()])
+    return s.with_df(s.df.unionByName(fresh, allowMissingColumns=True))
+
+
 # --- pivot, partition -----------------------------------------------------------------------------
 
 
@@ -422,3 +401,9 @@ def pivot(s: Series, labelling: dict[str, Series], by: Sequence[str], all_needed
 def partition(s: Series, by: Sequence[str]) -> DataFrame:
     """How many series and points each class of labels holds."""
     return s.df.groupBy(*by).agg(F.count_distinct(F.struct(*s.keys)).alias("n_series"), F.count(F.lit(1)).alias("n_points"))
+
+
+def strict_partition(s: Series, by: Sequence[str]) -> DataFrame:
+    """The same, of series that have all the given labels only."""
+    known = fold(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], F.lit(True))
+    return partition(s.with_df(s.df.where(known)), by)

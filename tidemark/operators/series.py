@@ -81,8 +81,13 @@ def time_clip(s: Series, end: int, start: int | None = None, span: int | None =
 
 
 def clip(s: Series, limits: DataFrame) -> DataFrame:
-    """Points within each of a table of limits (start, end): one piece per limit. Limits must be few (they are broadcast by size)."""
-    return s.df.join(limits, F.col(s.tick).between(F.col("start"), F.col("end")))
+    """Points within each of a table of limits (start, end): one piece per limit. Both sides are dealt to cells as wide as
+    the widest limit, so each limit meets the points of two cells and the join is an equi-join."""
+    width = max(1, int(limits.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0) + 1)
+    cell = lambda c: F.expr(f"floor({c} / {width})")
+    cut = limits.select("*", F.explode(F.array_distinct(F.array(cell("start"), cell("end")))).alias("_cell"))
+    rows = s.df.withColumn("_cell", cell(f"`{s.tick}`")).join(cut, "_cell")
+    return rows.where(F.col(s.tick).between(F.col("start"), F.col("end"))).drop("_cell")
 
 
 def time_shift(s: Series, by: int) -> Series:
@@ -138,34 +143,50 @@ def map_value(s: Series, f) -> Series:
     return _valued(s, f(F.col(s.value)))
 
 
+def with_measures(s: Series, **measures: Column) -> DataFrame:
+    """The points with aggregates of their whole series beside them. Aggregates add up within each task, and one row a
+    series is joined back, so a long series isn't sorted into one task as by a window."""
+    found = s.df.groupBy(*s.keys).agg(*[c.alias(n) for n, c in measures.items()])
+    if not s.keys:
+        return s.df.crossJoin(F.broadcast(found))  # one row
+    renamed = found.select(*[F.col(k).alias(f"_key_{k}") for k in s.keys], *measures)
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in s.keys]
+    return s.df.join(renamed, on).drop(*[f"_key_{k}" for k in s.keys])
+
+
+def _scaled(s: Series, value: Column, **measures: Column) -> Series:
+    rows = with_measures(s, **measures).withColumn("_v", value).withColumn(s.value, F.col("_v")).drop("_v", *measures)
+    return s.with_df(rows.where(F.col(s.value).isNotNull()))
+
+
 def standardize(s: Series) -> Series:
     """(x - mean) / sd, sample sd; 0 for constant series."""
-    w = s.whole()
-    sd = F.stddev_samp(s.value).over(w)
-    return _valued(s, F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col(s.value) - F.avg(s.value).over(w)) / F.when(sd != 0, sd)))
+    v, sd = F.col(s.value), F.col("_sd")
+    return _scaled(s, F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(0.0)).otherwise((v - F.col("_mean")) / F.when(sd != 0, sd)), _mean=F.avg(v), _sd=F.stddev_samp(v))
+
+
+def _ranged(s: Series, origin: str) -> Series:
+    v, low, high = F.col(s.value), F.col("_low"), F.col("_high")
+    return _scaled(s, F.when(high == low, F.lit(1.0)).otherwise((v - F.col(origin)) / F.when(high != low, high - low)), _low=F.min(v), _high=F.max(v), _mean=F.avg(v))
 
 
 def normalize(s: Series) -> Series:
     """(x - min) / (max - min), or 1 for constant series."""
-    w = s.whole()
-    low, high = F.min(s.value).over(w), F.max(s.value).over(w)
-    return _valued(s, F.when(high == low, F.lit(1.0)).otherwise((F.col(s.value) - low) / F.when(high != low, high - low)))
+    return _ranged(s, "_low")
 
 
 def iso_normalize(s: Series) -> Series:
     """(x - mean) / (max - min), or 1 for constant series."""
-    w = s.whole()
-    low, high = F.min(s.value).over(w), F.max(s.value).over(w)
-    return _valued(s, F.when(high == low, F.lit(1.0)).otherwise((F.col(s.value) - F.avg(s.value).over(w)) / F.when(high != low, high - low)))
+    return _ranged(s, "_mean")
 
 
 def zscore(s: Series, mad: bool = False) -> Series:
     """(x - mean) / sd, or (x - median) / (mad / 0.6745)."""
-    w = s.whole()
     v = F.col(s.value)
     if not mad:
-        sd = F.stddev_samp(v).over(w)
-        return _valued(s, (v - F.avg(v).over(w)) / F.when(sd != 0, sd))
+        sd = F.col("_sd")
+        return _scaled(s, (v - F.col("_mean")) / F.when(sd != 0, sd), _mean=F.avg(v), _sd=F.stddev_samp(v))
+    w = s.whole()
     rows = s.df.withColumn("_m", F.percentile(v, F.lit(0.5)).over(w))
     rows = rows.withColumn("_d", F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).over(w))
     out = _valued(s.with_df(rows), 0.6745 * (v - F.col("_m")) / F.when(F.col("_d") != 0, F.col("_d")))
@@ -218,7 +239,13 @@ def merge(*sets: Series, keys: tuple[str, ...]) -> Series:
     return Series(rows, keys, first.tick, first.value)
 
 
-fuse = merge
+def fuse(*sets: Series) -> Series:
+    """All points of several sets as one series, named by the keys whose value is the same in all of them; the others go."""
+    shared = [k for k in sets[0].keys if all(k in s.keys for s in sets)]
+    found = merge(*sets, keys=tuple(shared))
+    one = found.df.agg(*[F.when(F.count_distinct(k) == 1, F.min(k)).alias(k) for k in shared]).first() if shared else {}
+    kept = tuple(k for k in shared if one[k] is not None)
+    return Series(found.df.drop(*[k for k in shared if k not in kept]), kept, found.tick, found.value)
 
 
 def relabel(s: Series, labels: dict[str, str | None], replace_all: bool = False) -> Series:
@@ -278,7 +305,7 @@ def lists(s: Series) -> DataFrame:
     """Ticks and values of each series in order, as arrays: for export only, one row holds a whole series."""
     rows = F.array_sort(F.collect_list(F.struct(*s.order(), s.value, *s.place)))
     out = s.df.groupBy(*s.keys).agg(rows.alias("_rows"))
-    return out.select(*s.keys, *[F.transform("_rows", lambda r, c=c: r[c]).alias(f"{c}s") for c in (s.tick, s.value, *s.place)])
+    return out.select(*s.keys, *[(lambda c: F.transform("_rows", lambda r: r[c]))(c).alias(f"{c}s") for c in (s.tick, s.value, *s.place)])
 
 
 def last_sort(s: Series) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.model import Series
-from tidemark.operators.series import _valued
+from tidemark.operators.series import _valued, with_measures
 
 # --- sums -----------------------------------------------------------------------------------------
 
@@ -26,11 +26,13 @@ def n_sum_sumsq(s: Series) -> DataFrame:
 
 
 def _moment(s: Series, k: int, bessel: bool) -> DataFrame:
-    """Mean of ((x - mean) / sd)**k; the flag only changes sd."""
-    v, w = F.col(s.value), s.whole()
-    sd = F.stddev_samp(v).over(w) if bessel else F.stddev_pop(v).over(w)
-    rows = s.df.withColumn("_z", (v - F.avg(v).over(w)) / F.when(sd != 0, sd))
-    return rows.groupBy(*s.keys).agg(F.avg(F.pow("_z", F.lit(k))).alias("moment"))
+    """Mean of ((x - mean) / sd)**k; the flag only changes sd. Spark's own central moments add up within each task before
+    the shuffle; they divide by the population's sd."""
+    v = F.col(s.value).cast("double")
+    own = F.skewness(v) if k == 3 else F.kurtosis(v) + 3
+    n = F.count(v)
+    scale = F.pow((n - 1) / n, F.lit(k / 2)) if bessel else F.lit(1.0)
+    return s.df.groupBy(*s.keys).agg(F.when(F.stddev_pop(v) != 0, own * scale).alias("moment"))
 
 
 def kurtosis(s: Series, bessel: bool = False) -> DataFrame:
@@ -112,7 +114,7 @@ def zscore_test(s: Series, mad: bool = False, threshold: float = 3.5) -> DataFra
         rows = s.df.withColumn("_m", F.percentile(v, F.lit(0.5)).over(w))
         rows = rows.withColumn("_d", F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).over(w) / 0.6745)
     else:
-        rows = s.df.withColumn("_m", F.avg(v).over(w)).withColumn("_d", F.stddev_samp(v).over(w))
+        rows = with_measures(s, _m=F.avg(v), _d=F.stddev_samp(v))
     return rows.where((F.col("_d") != 0) & (F.abs((v - F.col("_m")) / F.col("_d")) >= threshold)).select(*s.keys, s.tick)
 
 
@@ -132,7 +134,7 @@ def _betainc(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f / a
+    return front * (f - 1) / a
 
 
 def t_quantile(p: float, dof: float) -> float:

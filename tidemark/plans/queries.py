@@ -7,16 +7,17 @@ event_id) and from ``orders`` and ``lineitem``. Doubles are rounded on both side
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo
+from tidemark.functions import geo, udfs
 from tidemark.functions.scalars import SCALARS
 from tidemark.model import Series, from_table, micros
 from tidemark.operators import frameworks as fw
 from tidemark.operators import series as ops
-from tidemark.operators import patterns, stats
+from tidemark.operators import mappers, meta, patterns, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -186,18 +187,20 @@ query("map_strict", f"SELECT class, user_id, tick, round(value, 4) AS value FROM
     lambda spark, d: out(fw.strict(users(spark, d), "mean", 4, 4, 2, 1))
 )
 _SINGLE = {
-    "abs": ("abs(value - 50)", lambda v: F.abs(v - 50)),
-    "sqrt": ("sqrt(value)", F.sqrt),
-    "tanh": ("(exp(2 * value / 100) - 1) / (exp(2 * value / 100) + 1)", lambda v: F.tanh(v / 100)),
-    "sigmoid": ("1 / (1 + exp(-value / 100))", lambda v: SCALARS["SIGMOID"](v / 100)),
-    "gt": ("CASE WHEN value > 50 THEN value END", lambda v: F.when(v > 50, v)),
-    "mod": ("value % 7", lambda v: v % 7),
-    "round": ("floor(value + 0.5)", SCALARS["ROUND"]),
-    "npdf": ("exp(-(pow((value - 50) / 10, 2)) / 2) / (10 * sqrt(2 * pi()))", lambda v: SCALARS["NPDF"](v, F.lit(50.0), F.lit(10.0))),
-    "replace": ("1.0", lambda v: F.lit(1.0)),
+    "abs": ("abs(value - 50)", {}, lambda v: v - 50),
+    "sqrt": ("sqrt(value)", {}, None),
+    "tanh": ("(exp(2 * value / 100) - 1) / (exp(2 * value / 100) + 1)", {}, lambda v: v / 100),
+    "sigmoid": ("1 / (1 + exp(-value / 100))", {}, lambda v: v / 100),
+    "gt": ("CASE WHEN value > 50 THEN value END", {"threshold": 50.0}, None),
+    "mod": ("value % 7", {"modulus": 7}, None),
+    "round": ("floor(value + 0.5)", {}, None),
+    "npdf": ("exp(-(pow((value - 50) / 10, 2)) / 2) / (10 * sqrt(2 * pi()))", {"mu": 50, "sigma": 10}, None),
+    "replace": ("1.0", {"value": 1.0}, None),
 }
-for _name, (_sql, _f) in _SINGLE.items():
-    query(f"mapper_{_name}", f"SELECT * FROM (SELECT class, user_id, tick, round({_sql}, 4) AS value FROM {EV}) WHERE value IS NOT NULL")((lambda f: lambda spark, d: out(ops.map_value(events(spark, d, user=True), f)))(_f))
+for _name, (_sql, _params, _first) in _SINGLE.items():
+    query(f"mapper_{_name}", f"SELECT * FROM (SELECT class, user_id, tick, round({_sql}, 4) AS value FROM {EV}) WHERE value IS NOT NULL")(
+        (lambda n, p, f: lambda spark, d: out(mappers.map_points(ops.map_value(events(spark, d, user=True), f) if f else events(spark, d, user=True), f"mapper.{n}", **p)))(_name, _params, _first)
+    )
 
 # --- apply, filter --------------------------------------------------------------------------------
 
@@ -309,7 +312,7 @@ query("zscore_test_mad", f"WITH m AS (SELECT *, quantile_cont(value, 0.5) OVER (
     lambda spark, d: stats.zscore_test(events(spark, d), mad=True, threshold=1.5)
 )
 query("linear_regression", f"SELECT class, round(regr_intercept(value, tick / 1e12), 3) AS alpha, round(regr_slope(value, tick / 1e12), 4) AS beta FROM {EV} GROUP BY ALL")(
-    lambda spark, d: events(spark, d).df.withColumn("x", F.col("tick") / 1e12).groupBy("class").agg(r(F.regr_intercept("value", "x"), 3).alias("alpha"), r(F.regr_slope("value", "x"), 4).alias("beta"))
+    lambda spark, d: (lambda s: stats.linear_regression(s.with_df(s.df.withColumn("tick", F.col("tick") / 1e12))).select("class", r("alpha", 3).alias("alpha"), r("beta").alias("beta")))(events(spark, d))
 )
 
 # --- kernels (checked by tests, not by SQL) -------------------------------------------------------
@@ -322,8 +325,6 @@ def _daily(spark, d) -> Series:
 for _name, _f in (
     ("grubbs_test", lambda s: stats.grubbs_test(s)),
     ("esd_test", lambda s: stats.esd_test(s, 3)),
-    ("single_exponential", lambda s: stats.single_exponential(s, 0.3).df),
-    ("double_exponential", lambda s: stats.double_exponential(s, 0.3, 0.2)),
     ("lowess", lambda s: stats.lowess(s, 7).df),
     ("rlowess", lambda s: stats.lowess(s, 7, rounds=2).df),
     ("stl", lambda s: stats.stl(s, 7)),
@@ -335,11 +336,47 @@ for _name, _f in (
     ("patterns", lambda s: patterns.patterns(s, 8, 3, 6, standardise=True).df),
     ("discords", lambda s: patterns.discords(s, 4, 2).df),
     ("polyfit", lambda s: stats.polyfit(ops.tick_index(s), 2)),
-    ("kernel_gaussian", lambda s: fw.kernel(s, "gaussian", DAY, 7, 3, 3).df),
-    ("kernel_epanechnikov", lambda s: fw.kernel(s, "epanechnikov", DAY, 7, 3, 3).df),
 ):
     query(_name)((lambda f: lambda spark, d: f(_daily(spark, d)))(_f))
 
+_DAILY = f"WITH RECURSIVE b AS (SELECT class, {END} AS tick, avg(value) AS value FROM {EV} WHERE tick <= {LAST} GROUP BY ALL), g AS (SELECT class, unnest(generate_series({LAST} - (({LAST} - min(tick)) // {DAY}) * {DAY}, {LAST}, {DAY})) AS tick FROM b GROUP BY class), f AS (SELECT class, tick, last(value IGNORE NULLS) OVER (PARTITION BY class ORDER BY tick ROWS UNBOUNDED PRECEDING) AS value FROM g LEFT JOIN b USING (class, tick)), n AS (SELECT class, tick, value, row_number() OVER (PARTITION BY class ORDER BY tick) AS i FROM f WHERE value IS NOT NULL)"
+_KERNEL_SQL = {
+    "uniform": "0.5",
+    "triangular": "1 - u",
+    "epanechnikov": "0.75 * (1 - u * u)",
+    "quartic": "15.0 / 16 * pow(1 - u * u, 2)",
+    "triweight": "35.0 / 32 * pow(1 - u * u, 3)",
+    "tricube": "70.0 / 81 * pow(1 - u * u * u, 3)",
+    "cosine": "pi() / 4 * cos(pi() / 2 * u)",
+    "gaussian": "exp(-u * u / 2) / sqrt(2 * pi())",
+    "logistic": "1 / (exp(u) + 2 + exp(-u))",
+    "silverman": "exp(-u / sqrt(2)) / 2 * sin(pi() / 4 * u / sqrt(2))",
+}
+query(
+    "kernels",
+    _DAILY + ", w AS (SELECT n.class, n.tick, abs(n.i - m.i) / 3.0 AS u, m.value AS v FROM n JOIN n m ON n.class = m.class AND m.i BETWEEN n.i - 3 AND n.i + 3) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS kernel, class, tick, round(sum(({e}) * v) / sum({e}), 4) AS value FROM w GROUP BY class, tick HAVING sum({e}) <> 0" for k, e in _KERNEL_SQL.items()),
+)(
+    lambda spark, d: fold(
+        lambda x, y: x.unionByName(y),
+        [out(registry("mapper.kernel." + k)(_daily(spark, d), step=DAY, width=7, pre=3, post=3)).select(F.lit(k).alias("kernel"), "class", "tick", "value") for k in _KERNEL_SQL],
+    )
+)
+query("single_exponential", _DAILY + ", e AS (SELECT class, tick, i, value AS s FROM n WHERE i = 1 UNION ALL SELECT n.class, n.tick, n.i, 0.3 * n.value + 0.7 * e.s FROM e JOIN n ON n.class = e.class AND n.i = e.i + 1) SELECT class, tick, round(s, 4) AS value FROM e")(
+    lambda spark, d: out(stats.single_exponential(_daily(spark, d), 0.3))
+)
+query(
+    "double_exponential",
+    _DAILY + ", e AS (SELECT n.class, n.tick, n.i, n.value AS s, n.value - m.value AS t FROM n JOIN n m ON n.class = m.class AND m.i = 1 WHERE n.i = 2 UNION ALL SELECT n.class, n.tick, n.i, 0.3 * n.value + 0.7 * (e.s + e.t), 0.2 * (0.3 * n.value + 0.7 * (e.s + e.t) - e.s) + 0.8 * e.t FROM e JOIN n ON n.class = e.class AND n.i = e.i + 1) SELECT class, tick, round(s, 4) AS value, round(t, 4) AS trend FROM e",
+)(lambda spark, d: stats.double_exponential(_daily(spark, d), 0.3, 0.2).select("class", "tick", r("value").alias("value"), r("trend").alias("trend")))
+
+
+def registry(name: str):
+    from tidemark.registry import find
+
+    return find(name)
+
+
 # --- scan, metadata -------------------------------------------------------------------------------
 
 query("fetch_range", f"SELECT class, user_id, tick, round(value, 4) AS value FROM {EV} WHERE class = 'click' AND tick BETWEEN {LAST - 20 * DAY} AND {LAST - 10 * DAY}")(
@@ -348,11 +385,41 @@ query("fetch_range", f"SELECT class, user_id, tick, round(value, 4) AS value FRO
 query("fetch_count_skip_step", f"SELECT class, user_id, tick, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY class, user_id ORDER BY tick DESC, seq DESC) AS k FROM {EV}) WHERE k > 2 AND (k - 3) % 3 = 0 AND (k - 3) // 3 < 4")(
     lambda spark, d: out(fetch(events(spark, d, user=True), "~.*{}", None, None, count=4, skip=2, step=3))
 )
-query("find", f"SELECT DISTINCT class, user_id FROM {EV}")(lambda spark, d: events(spark, d, user=True).df.select("class", "user_id").distinct())
-query("find_stats", f"SELECT count(DISTINCT (class, user_id)) AS series, count(DISTINCT class) AS classes, count(DISTINCT user_id) AS users FROM {EV}")(
-    lambda spark, d: events(spark, d, user=True).df.agg(F.count_distinct(F.struct("class", "user_id")).alias("series"), F.count_distinct("class").alias("classes"), F.count_distinct("user_id").alias("users"))
+query("find", f"SELECT DISTINCT class, user_id FROM {EV} WHERE regexp_full_match(class, '[a-m].*')")(lambda spark, d: meta.find(events(spark, d, user=True), "~[a-m].*{}"))
+query("find_stats", f"SELECT count(DISTINCT (class, user_id)) AS series, count(DISTINCT class) AS classes, count(DISTINCT user_id) AS user_id FROM {EV}")(lambda spark, d: meta.find_stats(events(spark, d, user=True), "~.*{}"))
+query("find_sets", f"SELECT DISTINCT 'class' AS key, class AS value FROM {EV} UNION SELECT DISTINCT 'user_id', user_id::VARCHAR FROM {EV}")(lambda spark, d: meta.find_sets(events(spark, d, user=True), "~.*{}"))
+query("meta_set", f"SELECT class, user_id, tick, round(value, 4) AS value FROM {EV} WHERE class = 'click'")(lambda spark, d: out(meta.meta_set(events(spark, d, user=True), "click{}")))
+query("tick_list", f"SELECT class, user_id, array_to_string(list(tick ORDER BY tick), ',') AS ticks FROM {EV} GROUP BY ALL")(lambda spark, d: meta.tick_list(events(spark, d, user=True)).select("class", "user_id", F.array_join(F.col("ticks").cast("array<string>"), ",").alias("ticks")))
+query("last_bucket", f"SELECT class, max(tick) AS last_bucket FROM (SELECT class, {END} AS tick FROM {EV} WHERE tick <= {LAST}) GROUP BY ALL")(lambda spark, d: (lambda s: meta.last_bucket(Series(s.df, s.keys)))(fw.bucketize(events(spark, d), "sum", span=DAY, last=LAST)))
+query("labels", f"SELECT DISTINCT class, user_id, user_id::VARCHAR AS label FROM {EV}")(lambda spark, d: meta.labels(events(spark, d, user=True)).select("class", "user_id", F.element_at("labels", F.lit("user_id")).alias("label")))
+query("names", f"SELECT DISTINCT class FROM {EV}")(lambda spark, d: meta.name(events(spark, d, user=True)))
+query("make_series", f"SELECT class, user_id, tick, round(value, 4) AS value FROM {EV}")(
+    lambda spark, d: out(meta.make(ops.lists(events(spark, d, user=True)), ["class", "user_id"], "ticks", "values"))
 )
-
+query("set_value", f"SELECT class, user_id, tick, round(CASE WHEN tick = t THEN -1 ELSE value END, 4) AS value FROM (SELECT *, max(tick) OVER (PARTITION BY class, user_id) AS t, row_number() OVER (PARTITION BY class, user_id, tick ORDER BY seq) AS k FROM {EV}) WHERE tick <> t OR k = 1")(
+    lambda spark, d: (lambda s: out(meta.add_value(s, ops.last_tick(s).select("class", "user_id", F.col("last_tick").alias("tick"), F.lit(-1.0).alias("value")), overwrite=True)))(events(spark, d, user=True))
+)
+query("multi_split", f"SELECT class, tick, user_id AS part, round(value, 4) AS value FROM (SELECT class, {LAST} AS tick, row_number() OVER (PARTITION BY class ORDER BY tick, seq) - 1 AS user_id, value FROM {EV})")(
+    lambda spark, d: out(
+        meta.multi_split(
+            Series(events(spark, d).df.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("tick", "seq", "value"))), lambda x: F.struct(x["tick"].alias("tick"), x["value"].alias("value"))).alias("value")).withColumn("tick", F.lit(LAST).cast("bigint")), ("class",)),
+            by_index=True,
+        )
+    )
+)
+query("probability", f"WITH h AS (SELECT class, floor(value / 10) AS value, count(*) AS n FROM {EV} GROUP BY ALL), t AS (SELECT class, sum(n) AS a FROM h GROUP BY class) SELECT class, value, n / a AS p FROM h JOIN t USING (class)")(
+    lambda spark, d: (lambda s: meta.probability(s, stats.histogram(s)).select("class", "value", F.col("probability").alias("p")).distinct())(ops.map_value(events(spark, d), lambda v: F.floor(v / 10).cast("double")))
+)
+query("fill_ticks", f"WITH k AS (SELECT DISTINCT class, user_id FROM {EV}) SELECT class, user_id, tick, round(value, 4) AS value FROM {EV} UNION ALL SELECT class, user_id, {LAST + 400 * DAY} AS tick, -5.0 AS value FROM k")(
+    lambda spark, d: out(fw.fill_ticks(events(spark, d, user=True), [LAST + 400 * DAY], -5.0))
+)
+query("strict_partition", f"SELECT class, count(DISTINCT user_id) AS n_series, count(*) AS n_points FROM {EV} WHERE class <> 'click' GROUP BY ALL")(
+    lambda spark, d: fw.strict_partition((lambda s: s.with_df(s.df.withColumn("class", F.nullif("class", F.lit("click")))))(events(spark, d, user=True)), ["class"])
+)
+query("clip", f"SELECT class, l.start AS start, count(*) AS n, round(sum(value), 4) AS total FROM {EV} e JOIN (SELECT {LAST - 20 * DAY} AS start, {LAST - 15 * DAY} AS stop UNION ALL SELECT {LAST - 17 * DAY}, {LAST - 3 * DAY}) l ON e.tick BETWEEN l.start AND l.stop GROUP BY ALL")(
+    lambda spark, d: ops.clip(events(spark, d), spark.createDataFrame([(LAST - 20 * DAY, LAST - 15 * DAY), (LAST - 17 * DAY, LAST - 3 * DAY)], "start bigint, end bigint")).groupBy("class", "start").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"))
+)
+query("zscore", f"SELECT class, user_id, tick, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 4) AS value FROM {EV} WINDOW w AS (PARTITION BY class, user_id) QUALIFY value IS NOT NULL")(lambda spark, d: out(ops.zscore(events(spark, d, user=True))))
 
 def fetch(s: Series, selector: str, start, end, **options) -> Series:
     from tidemark.sources.selector import fetch as run
@@ -419,6 +486,144 @@ _TEXT = {
 query("scalar_text", "SELECT c_custkey, " + ", ".join(f"{s} AS f_{n}" for n, (s, _) in _TEXT.items()) + " FROM (SELECT c_custkey, c_name AS t FROM customer)")(
     lambda spark, d: read(spark, d, "customer").select("c_custkey", *[f(F.col("c_name")).alias(f"f_{n}") for n, (_, f) in _TEXT.items()])
 )
+_MORE = {
+    "expm1": ("exp(x) - 1", lambda c: SCALARS["EXPM1"](c.x)),
+    "log1p": ("ln(1 + x)", lambda c: SCALARS["LOG1P"](c.x)),
+    "asin": ("asin(x)", lambda c: SCALARS["ASIN"](c.x)),
+    "acos": ("acos(x)", lambda c: SCALARS["ACOS"](c.x)),
+    "sinh": ("(exp(x) - exp(-x)) / 2", lambda c: SCALARS["SINH"](c.x)),
+    "cosh": ("(exp(x) + exp(-x)) / 2", lambda c: SCALARS["COSH"](c.x)),
+    "tanh": ("(exp(2 * x) - 1) / (exp(2 * x) + 1)", lambda c: SCALARS["TANH"](c.x)),
+    "sigmoid": ("1 / (1 + exp(-x))", lambda c: SCALARS["SIGMOID"](c.x)),
+    "copysign": ("-abs(q)", lambda c: SCALARS["COPYSIGN"](c.q, F.lit(-1.0))),
+    "rint": ("round_even(q / 4, 0)", lambda c: SCALARS["RINT"](c.q / 4)),
+    "scalb": ("x * 8", lambda c: SCALARS["SCALB"](c.x, F.lit(3))),
+    "npdf": ("exp(-pow(x - 0.05, 2) / 2) / sqrt(2 * pi())", lambda c: SCALARS["NPDF"](c.x, F.lit(0.05), F.lit(1.0))),
+    "floordiv": ("floor((25 - k) / 7.0)", lambda c: SCALARS["FLOORDIV"](F.lit(25).cast("bigint") - c.k, F.lit(7))),
+    "floormod": ("(25 - k) - 7 * floor((25 - k) / 7.0)", lambda c: SCALARS["FLOORMOD"](F.lit(25).cast("bigint") - c.k, F.lit(7))),
+    "add": ("k + l", lambda c: SCALARS["+"](c.k, c.l)),
+    "sub": ("l - k", lambda c: SCALARS["-"](c.l, c.k)),
+    "mul": ("k * l", lambda c: SCALARS["*"](c.k, c.l)),
+    "div": ("trunc((25 - k) / 7.0)", lambda c: SCALARS["/"](F.lit(25).cast("bigint") - c.k, F.lit(7).cast("bigint"))),
+    "ratio": ("p / q", lambda c: SCALARS["/"](c.p, c.q)),
+    "addexact": ("k + 3", lambda c: SCALARS["ADDEXACT"](c.k, F.lit(3))),
+    "subtractexact": ("k - 3", lambda c: SCALARS["SUBTRACTEXACT"](c.k, F.lit(3))),
+    "multiplyexact": ("k * 3", lambda c: SCALARS["MULTIPLYEXACT"](c.k, F.lit(3))),
+    "incrementexact": ("k + 1", lambda c: SCALARS["INCREMENTEXACT"](c.k)),
+    "decrementexact": ("k - 1", lambda c: SCALARS["DECREMENTEXACT"](c.k)),
+    "negateexact": ("-k", lambda c: SCALARS["NEGATEEXACT"](c.k)),
+    "tointexact": ("l", lambda c: SCALARS["TOINTEXACT"](c.l)),
+    "eq": ("(l = 3)::INT", lambda c: SCALARS["=="](c.l, F.lit(3)).cast("int")),
+    "ne": ("(l <> 3)::INT", lambda c: SCALARS["!="](c.l, F.lit(3)).cast("int")),
+    "lt": ("(l < 3)::INT", lambda c: SCALARS["<"](c.l, F.lit(3)).cast("int")),
+    "gt": ("(l > 3)::INT", lambda c: SCALARS[">"](c.l, F.lit(3)).cast("int")),
+    "le": ("(l <= 3)::INT", lambda c: SCALARS["<="](c.l, F.lit(3)).cast("int")),
+    "ge": ("(l >= 3)::INT", lambda c: SCALARS[">="](c.l, F.lit(3)).cast("int")),
+    "near": ("(abs(x - 0.05) <= 0.015)::INT", lambda c: SCALARS["~="](c.x, F.lit(0.05), F.lit(0.015)).cast("int")),
+    "both": ("(l > 2 AND q > 25)::INT", lambda c: SCALARS["&&"](c.l > 2, c.q > 25).cast("int")),
+    "either": ("(l > 2 OR q > 25)::INT", lambda c: SCALARS["||"](c.l > 2, c.q > 25).cast("int")),
+    "not": ("(NOT l > 2)::INT", lambda c: SCALARS["!"](c.l > 2).cast("int")),
+    "bitnot": ("-k - 1", lambda c: SCALARS["~"](c.k)),
+    "bitget": ("(k >> 2) & 1", lambda c: SCALARS["BITGET"](c.k, F.lit(2))),
+    "shru": ("k >> 2", lambda c: SCALARS[">>>"](c.k, F.lit(2))),
+    "isnan": ("0", lambda c: SCALARS["ISNaN"](c.x).cast("int")),
+    "isnull": ("0", lambda c: SCALARS["ISNULL"](c.x).cast("int")),
+    "pi": ("pi()", lambda c: SCALARS["PI"]()),
+    "e": ("exp(1)", lambda c: SCALARS["E"]()),
+    "todouble": ("k", lambda c: SCALARS["TODOUBLE"](c.k)),
+    "tolong": ("trunc(p)", lambda c: SCALARS["TOLONG"](c.p)),
+    "toboolean": ("(l <> 0)::INT", lambda c: SCALARS["TOBOOLEAN"](c.l).cast("int")),
+    "ifte": ("CASE WHEN l > 2 THEN p ELSE q END", lambda c: SCALARS["IFTE"](c.l > 2, c.p, c.q)),
+    "ift": ("CASE WHEN l > 2 THEN p END", lambda c: SCALARS["IFT"](c.l > 2, c.p)),
+    "switch": ("CASE WHEN l = 1 THEN 10 WHEN l = 2 THEN 20 ELSE 0 END", lambda c: SCALARS["SWITCH"]([(c.l == 1, F.lit(10)), (c.l == 2, F.lit(20))], F.lit(0))),
+    "days": ("l * 86400000000", lambda c: SCALARS["d"](c.l.cast("bigint"))),
+    "weeks": ("l * 604800000000", lambda c: SCALARS["w"](c.l.cast("bigint"))),
+    "hours": ("l * 3600000000", lambda c: SCALARS["h"](c.l.cast("bigint"))),
+    "minutes": ("l * 60000000", lambda c: SCALARS["m"](c.l.cast("bigint"))),
+    "seconds": ("l * 1000000", lambda c: SCALARS["s"](c.l.cast("bigint"))),
+    "millis": ("l * 1000", lambda c: SCALARS["ms"](c.l.cast("bigint"))),
+    "micros": ("l", lambda c: SCALARS["us"](c.l.cast("bigint"))),
+    "nanos": ("l / 1000.0", lambda c: SCALARS["ns"](c.l)),
+    "qmul": ("-(x * 2 + q * 3 + l * 4)", lambda c: SCALARS["QMULTIPLY"](SCALARS["->Q"](F.lit(0.0), c.x, c.q, c.l), SCALARS["->Q"](F.lit(0.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)))["w"]),
+    "qconj": ("-q", lambda c: SCALARS["QCONJUGATE"](SCALARS["->Q"](c.x, c.p, c.q, c.x))["y"]),
+    "qdiv": ("1.0", lambda c: SCALARS["QDIVIDE"](SCALARS["->Q"](c.q, c.p, c.q, c.x), SCALARS["->Q"](c.q, c.p, c.q, c.x))["w"]),
+    "qrotate": ("q", lambda c: SCALARS["QROTATE"](SCALARS["ROTATIONQ"](F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(90.0)), c.q, F.lit(0.0), F.lit(0.0))["y"]),
+    "qrotation": ("30.0", lambda c: SCALARS["QROTATION"](SCALARS["ROTATIONQ"](F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(30.0)))["angle"]),
+}
+query("scalar_more", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({s})::DOUBLE, 6) AS f_{n}" for n, (s, _) in _MORE.items()) + f" FROM (SELECT l_orderkey, l_linenumber, {_NUM}, l_linenumber AS l FROM lineitem)")(
+    lambda spark, d: (lambda c: c.select("l_orderkey", "l_linenumber", *[r(f(c).cast("double"), 6).alias(f"f_{n}") for n, (_, f) in _MORE.items()]))(
+        read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("x"), F.col("l_extendedprice").alias("p"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"))
+    )
+)
+_STRINGS = {
+    "trim": ("trim('  ' || t || ' ')", lambda t: SCALARS["TRIM"](F.concat(F.lit("  "), t, F.lit(" ")))),
+    "concat": ("t || '!'", lambda t: SCALARS["CONCAT"](t, F.lit("!"))),
+    "contains": ("contains(t, '#0')::VARCHAR", lambda t: SCALARS["CONTAINS"](t, F.lit("#0")).cast("string")),
+    "urlencode": ("url_encode(t)", lambda t: SCALARS["URLENCODE"](t)),
+    "urldecode": ("t", lambda t: SCALARS["URLDECODE"](SCALARS["URLENCODE"](t))),
+    "unhex": ("t", lambda t: SCALARS["BYTES->"](SCALARS["HEX->"](SCALARS["->HEX"](t)))),
+    "unb64": ("t", lambda t: SCALARS["BYTES->"](SCALARS["B64->"](SCALARS["->B64"](SCALARS["->BYTES"](t))))),
+    "b64url": ("replace(replace(replace(base64(encode(t)), '=', ''), '+', '-'), '/', '_')", lambda t: SCALARS["->B64URL"](SCALARS["->BYTES"](t))),
+    "unb64url": ("t", lambda t: SCALARS["BYTES->"](SCALARS["B64URL->"](SCALARS["->B64URL"](SCALARS["->BYTES"](t))))),
+    "b64tohex": ("lower(hex(encode(t)))", lambda t: SCALARS["B64TOHEX"](SCALARS["->B64"](SCALARS["->BYTES"](t)))),
+    "hextob64": ("base64(encode(t))", lambda t: SCALARS["HEXTOB64"](SCALARS["->HEX"](t))),
+    "tohex": ("lpad(to_hex(length(t)), 16, '0')", lambda t: SCALARS["TOHEX"](F.length(t).cast("bigint"))),
+    "fromhex": ("255::VARCHAR", lambda t: SCALARS["FROMHEX"](F.lit("ff")).cast("string")),
+    "tobin": ("lpad(to_binary(length(t)), 64, '0')", lambda t: SCALARS["TOBIN"](F.length(t).cast("bigint"))),
+    "frombin": ("length(t)::VARCHAR", lambda t: SCALARS["FROMBIN"](SCALARS["TOBIN"](F.length(t).cast("bigint"))).cast("string")),
+    "hextobin": ("'10101011'", lambda t: SCALARS["HEXTOBIN"](F.lit("ab"))),
+    "bintohex": ("'ab'", lambda t: SCALARS["BINTOHEX"](F.lit("10101011"))),
+    "format": ("'<' || t || '>'", lambda t: SCALARS["STRINGFORMAT"](F.lit("<%s>"), t)),
+    "template": ("'Dear ' || t", lambda t: SCALARS["TEMPLATE"](F.lit("Dear {{name}}"), F.create_map(F.lit("name"), t))),
+    "b58": ("t", lambda t: SCALARS["BYTES->"](udfs.call("B58->", udfs.call("->B58", t)))),
+    "b58c": ("t", lambda t: SCALARS["BYTES->"](udfs.call("B58C->", udfs.call("->B58C", t)))),
+    "opb64": ("t", lambda t: SCALARS["BYTES->"](udfs.call("OPB64->", udfs.call("->OPB64", t)))),
+    "opb64tohex": ("lower(hex(encode(t)))", lambda t: udfs.call("OPB64TOHEX", udfs.call("->OPB64", t))),
+    "gzip": ("t", lambda t: SCALARS["BYTES->"](udfs.call("UNGZIP", udfs.call("GZIP", t)))),
+    "deflate": ("t", lambda t: SCALARS["BYTES->"](udfs.call("INFLATE", udfs.call("DEFLATE", t)))),
+    "tobits": ("t", lambda t: SCALARS["BYTES->"](udfs.call("BITSTOBYTES", udfs.call("BYTESTOBITS", SCALARS["->BYTES"](t))))),
+    "frombits": ("t", lambda t: SCALARS["BYTES->"](udfs.call("BIN->", udfs.call("->BIN", t)))),
+    "typeof": ("'string'", lambda t: SCALARS["TYPEOF"](t)),
+    "lists": ("t || '-' || t", lambda t: SCALARS["JOIN"](SCALARS["->LIST"](t, t), F.lit("-"))),
+    "lreverse": ("t || ',b'", lambda t: F.array_join(SCALARS["LREVERSE"](F.array(F.lit("b"), t)), ",")),
+    "sublist": ("t", lambda t: F.array_join(SCALARS["SUBLIST"](F.array(F.lit("b"), t, F.lit("c")), F.lit(1), F.lit(1)), ",")),
+    "set_at": ("'x,' || t", lambda t: F.array_join(SCALARS["SET"](F.array(F.lit("b"), t), F.lit("x"), F.lit(0)), ",")),
+    "append": ("t || ',z'", lambda t: F.array_join(SCALARS["+!"](F.array(t), F.lit("z")), ",")),
+    "difference": ("t", lambda t: F.array_join(SCALARS["DIFFERENCE"](F.array(t, F.lit("q")), F.array(F.lit("q"))), ",")),
+    "union": ("t || ',q'", lambda t: F.array_join(SCALARS["UNION"](F.array(t, F.lit("q")), F.array(F.lit("q"))), ",")),
+    "flatten": ("t || ',b'", lambda t: F.array_join(SCALARS["FLATTEN"](F.array(F.array(t), F.array(F.lit("b")))), ",")),
+    "lmap": ("lower(t)", lambda t: F.array_join(SCALARS["LMAP"](F.array(t), F.lower), ",")),
+    "lfilter": ("t", lambda t: F.array_join(SCALARS["LFILTER"](F.array(t, F.lit("q")), lambda x: F.length(x) > 1), ",")),
+    "sortby": ("'q,' || t", lambda t: F.array_join(SCALARS["SORTBY"](F.array(t, F.lit("q")), F.length), ",")),
+    "filterby": ("'q'", lambda t: F.array_join(SCALARS["FILTERBY"](F.array(t, F.lit("q")), F.length, F.lit(1)), ",")),
+    "getkey": ("t", lambda t: SCALARS["GETKEY"](SCALARS["->MAP"](F.lit("a"), t), F.lit("a"))),
+    "put": ("t", lambda t: SCALARS["GETKEY"](SCALARS["PUT"](SCALARS["->MAP"](F.lit("a"), F.lit("b")), F.lit("a"), t), F.lit("a"))),
+    "keylist": ("'a'", lambda t: F.array_join(SCALARS["KEYLIST"](SCALARS["->MAP"](F.lit("a"), t)), ",")),
+    "valuelist": ("t", lambda t: F.array_join(SCALARS["VALUELIST"](SCALARS["->MAP"](F.lit("a"), t)), ",")),
+    "mmap": ("lower(t)", lambda t: SCALARS["GETKEY"](SCALARS["MMAP"](SCALARS["->MAP"](F.lit("a"), t), lambda k, v: F.lower(v)), F.lit("a"))),
+    "bdadd": ("(length(t)::HUGEINT + 170141183460469231731687303715884105000)::VARCHAR", lambda t: udfs.call("BDADD", F.length(t).cast("string"), F.lit("170141183460469231731687303715884105000"))),
+    "bdmul": ("(length(t)::HUGEINT * 12345678901234567890)::VARCHAR", lambda t: udfs.call("BDMUL", F.length(t).cast("string"), F.lit("12345678901234567890"))),
+    "bdsub": ("(length(t) - 12345678901234567890::HUGEINT)::VARCHAR", lambda t: udfs.call("BDSUB", F.length(t).cast("string"), F.lit("12345678901234567890"))),
+    "bddivint": ("(12345678901234567890::HUGEINT // length(t))::VARCHAR", lambda t: udfs.call("BDDIVINT", F.lit("12345678901234567890"), F.length(t).cast("string"))),
+    "bdrem": ("(12345678901234567890::HUGEINT % length(t))::VARCHAR", lambda t: udfs.call("BDREM", F.lit("12345678901234567890"), F.length(t).cast("string"))),
+    "bdpow": ("(length(t)::HUGEINT * length(t) * length(t))::VARCHAR", lambda t: udfs.call("BDPOW", F.length(t).cast("string"), F.lit("3"))),
+    "bdgcd": ("gcd(length(t), 36)::VARCHAR", lambda t: udfs.call("BDGCD", F.length(t).cast("string"), F.lit("36"))),
+    "bdcomp": ("sign(length(t) - 18)::INT::VARCHAR", lambda t: udfs.call("BDCOMP", F.length(t).cast("string"), F.lit("18"))),
+    "bdmax": ("greatest(length(t), 20)::VARCHAR", lambda t: udfs.call("BDMAX", F.length(t).cast("string"), F.lit("20"))),
+    "bdmin": ("least(length(t), 20)::VARCHAR", lambda t: udfs.call("BDMIN", F.length(t).cast("string"), F.lit("20"))),
+    "bdneg": ("(-length(t))::VARCHAR", lambda t: udfs.call("BDNEG", F.length(t).cast("string"))),
+    "bdand": ("(length(t) & 12)::VARCHAR", lambda t: udfs.call("BDAND", F.length(t).cast("string"), F.lit("12"))),
+    "bdor": ("(length(t) | 12)::VARCHAR", lambda t: udfs.call("BDOR", F.length(t).cast("string"), F.lit("12"))),
+    "bdxor": ("xor(length(t), 12)::VARCHAR", lambda t: udfs.call("BDXOR", F.length(t).cast("string"), F.lit("12"))),
+    "bdshiftleft": ("(length(t) * 16)::VARCHAR", lambda t: udfs.call("BDSHIFTLEFT", F.length(t).cast("string"), F.lit("4"))),
+    "bdfloor": ("length(t)::VARCHAR", lambda t: udfs.call("BDFLOOR", F.concat(F.length(t).cast("string"), F.lit(".75")))),
+    "bdceil": ("(length(t) + 1)::VARCHAR", lambda t: udfs.call("BDCEIL", F.concat(F.length(t).cast("string"), F.lit(".75")))),
+    "bdround": ("length(t)::VARCHAR || '.8'", lambda t: udfs.call("BDROUND", F.concat(F.length(t).cast("string"), F.lit(".75")), F.lit(1))),
+    "bdmodpow": ("((length(t)::HUGEINT * length(t) * length(t)) % 1000)::VARCHAR", lambda t: udfs.call("BDMODPOW", F.length(t).cast("string"), F.lit("3"), F.lit("1000"))),
+}
+query("scalar_strings", "SELECT c_custkey, " + ", ".join(f"{s} AS f_{n}" for n, (s, _) in _STRINGS.items()) + " FROM (SELECT c_custkey, c_name AS t FROM customer)")(
+    lambda spark, d: read(spark, d, "customer").select("c_custkey", *[f(F.col("c_name")).alias(f"f_{n}") for n, (_, f) in _STRINGS.items()])
+)
 _TIME = {
     "year": ("year(ts)", "YEAR"),
     "month": ("month(ts)", "MONTH"),
@@ -467,8 +672,119 @@ query("geo_within", f"SELECT user_id, bool_and(lat BETWEEN -60 AND 60 AND lon BE
 query("hhcode_round_trip", f"SELECT event_id, round(lat, 5) AS lat, round(lon, 5) AS lon FROM {_LL}")(
     lambda spark, d: located(spark, d).select("event_id", geo.hhcode(F.col("lat"), F.col("lon")).alias("c")).select("event_id", r(geo.hhcode_lat(F.col("c")), 5).alias("lat"), r(geo.hhcode_lon(F.col("c")), 5).alias("lon"))
 )
-query("geohash")(lambda spark, d: located(spark, d).select("event_id", geo.geohash(F.col("lat"), F.col("lon")).alias("geohash")))
-query("distance_travelled")(lambda spark, d: out(geo.distance(Series(located(spark, d).withColumnRenamed("event_id", "seq"), ("user_id",)))))
+_HASH_X, _HASH_Y = "least(floor((lon + 180.0) / 360.0 * 8388608.0), 8388607)::BIGINT", "least(floor((lat + 90.0) / 180.0 * 4194304.0), 4194303)::BIGINT"
+_LETTERS = " || ".join(
+    "substr('0123456789bcdefghjkmnpqrstuvwxyz', (" + " + ".join(f"(({'x' if b % 2 == 0 else 'y'} >> {(22 if b % 2 == 0 else 21) - b // 2}) & 1) * {1 << (4 - j)}" for j, b in enumerate(range(5 * k, 5 * k + 5))) + ")::INTEGER + 1, 1)" for k in range(9)
+)
+query("geohash", f"SELECT event_id, {_LETTERS} AS geohash FROM (SELECT event_id, {_HASH_X} AS x, {_HASH_Y} AS y FROM {_LL})")(lambda spark, d: located(spark, d).select("event_id", geo.geohash(F.col("lat"), F.col("lon")).alias("geohash")))
+query("geohash_round_trip", f"SELECT event_id, round(floor((lat + 90.0) / 180.0 * 4194304.0) / 4194304.0 * 180 - 90, 6) AS lat, round(floor((lon + 180.0) / 360.0 * 8388608.0) / 8388608.0 * 360 - 180, 6) AS lon FROM {_LL}")(
+    lambda spark, d: located(spark, d).select("event_id", geo.from_geohash(geo.geohash(F.col("lat"), F.col("lon"))).alias("p")).select("event_id", r("p.lat", 6).alias("lat"), r("p.lon", 6).alias("lon"))
+)
+_RHUMB = "sqrt(pow(p2 - p1, 2) + pow(CASE WHEN abs(q) > 1e-12 THEN (p2 - p1) / q ELSE cos(p1) END * least(dl, 2 * pi() - dl), 2))"
+query(
+    "distance_travelled",
+    f"WITH l AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM {_LL} WINDOW w AS (PARTITION BY user_id ORDER BY tick, event_id)), m AS (SELECT user_id, tick, event_id, radians(lat0) AS p1, radians(lat) AS p2, radians(abs(lon - lon0)) AS dl, ln(tan(pi() / 4 + radians(lat) / 2) / tan(pi() / 4 + radians(lat0) / 2)) AS q FROM l), s AS (SELECT user_id, tick, event_id, coalesce(6371000.0 * {_RHUMB}, 0) AS step FROM m) SELECT user_id, tick, round(sum(step) OVER (PARTITION BY user_id ORDER BY tick, event_id ROWS UNBOUNDED PRECEDING) / 1000, 2) AS value FROM s",
+)(lambda spark, d: out(ops.map_value(geo.distance(Series(located(spark, d).withColumnRenamed("event_id", "seq"), ("user_id",))), lambda v: v / 1000), n=2))
+
+# --- mappers by name ------------------------------------------------------------------------------
+
+_POINT = {"": ("value", 50.0), ".tick": ("tick", LAST - 20 * DAY), ".lat": ("lat", 10.0), ".lon": ("lon", 20.0), ".elev": ("elev", 500)}
+_SIGNS = {"gt": ">", "ge": ">=", "eq": "=", "ne": "<>", "le": "<=", "lt": "<"}
+_MAPPED: dict[str, tuple[dict, str]] = {f"mapper.{o}{part}": ({"threshold": t}, f"CASE WHEN {c} {sign} {t} THEN value END") for o, sign in _SIGNS.items() for part, (c, t) in _POINT.items()}
+_MAPPED |= {
+    "mapper.add": ({"value": 2.5}, "value + 2.5"),
+    "mapper.mul": ({"value": 3.0}, "value * 3"),
+    "mapper.pow": ({"power": 2}, "value * value"),
+    "mapper.sqrt": ({}, "sqrt(value)"),
+    "mapper.exp": ({"base": 1.02}, "pow(1.02, value)"),
+    "mapper.log": ({"base": 2}, "CASE WHEN value > 0 THEN log2(value) END"),
+    "mapper.min.x": ({"value": 30.0}, "least(value, 30)"),
+    "mapper.max.x": ({"value": 30.0}, "greatest(value, 30)"),
+    "mapper.tick": ({}, "tick / 1e9"),
+    "mapper.lat": ({}, "lat"),
+    "mapper.lon": ({}, "lon"),
+    "mapper.elev": ({}, "elev"),
+    "mapper.abs": ({}, "abs(value)"),
+    "mapper.ceil": ({}, "ceil(value)"),
+    "mapper.floor": ({}, "floor(value)"),
+    "mapper.finite": ({}, "value"),
+    "mapper.tolong": ({}, "trunc(value)"),
+    "mapper.todouble": ({}, "value"),
+    "mapper.toboolean": ({}, "(value <> 0)::INTEGER"),
+    "mapper.geo.within": ({"shape": lambda la, lo: geo.within_box(la, lo, -60, -120, 60, 120)}, "CASE WHEN lat BETWEEN -60 AND 60 AND lon BETWEEN -120 AND 120 THEN value END"),
+    "mapper.geo.outside": ({"shape": lambda la, lo: geo.within_box(la, lo, -60, -120, 60, 120)}, "CASE WHEN NOT (lat BETWEEN -60 AND 60 AND lon BETWEEN -120 AND 120) THEN value END"),
+    "mapper.geo.fence": ({"shape": lambda la, lo: geo.within_box(la, lo, -60, -120, 60, 120)}, "(lat BETWEEN -60 AND 60 AND lon BETWEEN -120 AND 120)::INTEGER"),
+    **{f"mapper.{n}": ({}, f"{f}(make_timestamp(tick))") for n, f in (("year", "year"), ("month", "month"), ("day", "day"), ("weekday", "isodow"), ("hour", "hour"), ("minute", "minute"), ("second", "second"))},
+}
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    """How many points each mapper leaves in each class, and their sum."""
+    base = Series(located(spark, d).withColumn("elev", F.col("event_id") % 1000), ("class",))
+    digest = lambda n, s: s.df.select("class", F.col("value").cast("double").alias("value")).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.lit(n).alias("mapper"), "class", "n", "total")
+    made = [digest(n, registry(n)(base, **p)) for n, (p, _) in _MAPPED.items()]
+    rows = fold(lambda x, y: x.unionByName(y), made)
+    return rows.select("mapper", "class", "n", r(F.when(F.col("mapper") == "mapper.tick", F.col("total") / 1e9).otherwise(F.col("total")), 2).alias("total"))
+
+
+query(
+    "mappers",
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS mapper, class, count(v) AS n, round(sum(v), 2) AS total FROM (SELECT class, ({e})::DOUBLE AS v FROM (SELECT *, event_id % 1000 AS elev FROM {_LL})) GROUP BY class" for n, (_, e) in _MAPPED.items()) + ") WHERE n > 0",
+)(_mapped)
+
+_WORDS = {
+    "mapper.regexp.match": ({"pattern": "[a-m].*"}, "CASE WHEN regexp_full_match(v, '[a-m].*') THEN v END"),
+    "mapper.regexp.replace": ({"pattern": "[aeiou]", "by": "_"}, "regexp_replace(v, '[aeiou]', '_', 'g')"),
+    "mapper.tostring": ({}, "v"),
+    "mapper.replace": ({"value": "x"}, "'x'"),
+}
+query("mappers_text", " UNION ALL ".join(f"SELECT '{n}' AS mapper, seq, {e} AS value FROM (SELECT event_id AS seq, event_type AS v FROM events) WHERE ({e}) IS NOT NULL" for n, (_, e) in _WORDS.items()))(
+    lambda spark, d: fold(
+        lambda x, y: x.unionByName(y),
+        [registry(n)(from_table(read(spark, d, "events"), {"class": "event_type"}, micros(F.col("ts")), "event_type", "event_id"), **p).df.select(F.lit(n).alias("mapper"), "seq", "value") for n, (p, _) in _WORDS.items()],
+    )
+)
+
+# --- more filters, ops and aggregators by name ----------------------------------------------------
+
+_KEPT = {f"filter.{k}.{o}": (50.0, f"{f} {sign} 50" if k == "last" else f"{f}(value {sign} 50)") for k, f in (("last", "arg_max(value, (tick, -seq))"), ("any", "bool_or"), ("all", "bool_and")) for o, sign in _SIGNS.items()}
+query("filters", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, class, user_id, count(*) AS n FROM {EV} GROUP BY class, user_id HAVING {e}" for n, (_, e) in _KEPT.items()) + ")")(
+    lambda spark, d: fold(
+        lambda x, y: x.unionByName(y),
+        [fw.filter_series(events(spark, d, user=True), n, t).df.groupBy("class", "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("filter"), "class", "user_id", "n") for n, (t, _) in _KEPT.items()],
+    )
+)
+_WINDOWED = {
+    "mapper.median": ("quantile_cont(value, 0.5)", {}),
+    "mapper.mad": ("mad(value)", {}),
+    "mapper.percentile": ("quantile_disc(value, 0.9)", {"q": 90}),
+    "mapper.range": ("max(value) - min(value)", {}),
+    "mapper.var": ("coalesce(var_samp(value), 0.0)", {}),
+    "mapper.first": ("arg_min(value, tick)", {}),
+    "mapper.last": ("arg_max(value, tick)", {}),
+    "mapper.highest": ("arg_max(value, (elev, tick))", {}),
+    "mapper.lowest": ("arg_min(value, (elev, -tick))", {}),
+    "mapper.vspeed": ("CASE WHEN max(tick) = min(tick) THEN 0.0 ELSE (arg_max(elev, tick) - arg_min(elev, tick)) / 1000.0 / ((max(tick) - min(tick)) / 1e6) END * 1000000", {}),
+    "mapper.shannonentropy.1": ("CASE WHEN count(*) = 1 THEN 1.0 ELSE (ln(sum(value)) - sum(CASE WHEN value > 0 THEN value * ln(value) END) / sum(value)) / ln(CASE WHEN count(*) > 1 THEN count(*) END) END", {}),
+}
+
+
+def _lifted(spark: SparkSession, d: str) -> Series:
+    e = read(spark, d, "events")
+    rows = e.select("user_id", F.col("event_type").alias("class"), micros(F.col("ts")).alias("tick"), "value", ((F.col("event_id") * 7919) % 1000).alias("elev"), F.col("event_id").alias("seq"))
+    return ops.dedup(Series(rows, ("class", "user_id")))
+
+
+query(
+    "mappers_windowed",
+    f"WITH e AS (SELECT class, user_id, tick, value, (seq * 7919) % 1000 AS elev, row_number() OVER (PARTITION BY class, user_id ORDER BY tick) AS i FROM {DEV}), w AS (SELECT a.class, a.user_id, a.tick AS t, b.tick, b.value, b.elev FROM e a JOIN e b ON a.class = b.class AND a.user_id = b.user_id AND b.i BETWEEN a.i - 2 AND a.i + 1) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS mapper, class, user_id, t AS tick, round({e}, 4) AS value FROM w GROUP BY class, user_id, t" for n, (e, _) in _WINDOWED.items()),
+)(
+    lambda spark, d: fold(
+        lambda x, y: x.unionByName(y),
+        [(lambda s: s.df.select(F.lit(n).alias("mapper"), "class", "user_id", "tick", r(F.col("value") * (1000000 if n == "mapper.vspeed" else 1)).alias("value")))(registry(n)(_lifted(spark, d), pre=2, post=1, **p)) for n, (_, p) in _WINDOWED.items()],
+    )
+)
 
 # --- streams --------------------------------------------------------------------------------------
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
+
 from tidemark.functions import geo, shapes, udfs
 from tidemark.functions.scalars import SCALARS
 from tidemark.operators import frameworks as fw
-from tidemark.operators import hooks, mappers, motion, patterns, stats
+from tidemark.operators import hooks, mappers, meta, motion, patterns, stats
 from tidemark.operators import series as ops
 from tidemark.operators.aggregates import BUILDERS
 from tidemark.sources import ingest, selector
@@ -59,11 +61,11 @@ OPERATORS |= {
     "FILLPREVIOUS": partial(fw.fill, how="previous"),
     "FILLNEXT": partial(fw.fill, how="next"),
     "FILLVALUE": partial(fw.fill, how="value"),
-    "FILLTICKS": partial(fw.fill, how="value"),
+    "FILLTICKS": fw.fill_ticks,
     "INTERPOLATE": partial(fw.fill, how="interpolate"),
     "CROP": fw.crop,
     "PARTITION": fw.partition,
-    "STRICTPARTITION": fw.partition,
+    "STRICTPARTITION": fw.strict_partition,
     "PIVOT": fw.pivot,
     "PIVOTSTRICT": partial(fw.pivot, all_needed=True),
     "COMMONTICKS": fw.common_ticks,
@@ -150,8 +152,8 @@ OPERATORS |= {
     "FFT": stats.fft,
     "FFTAP": partial(stats.fft, polar=True),
     "IFFT": stats.ifft,
-    "FDWT": stats.haar,
-    "IDWT": partial(stats.haar, inverse=True),
+    "FDWT": motion.wavelet,
+    "IDWT": partial(motion.wavelet, inverse=True),
     "DTW": stats.dtw_distance,
     "ZDTW": partial(stats.dtw_distance, z=True),
     "PATTERNS": patterns.patterns,
@@ -184,13 +186,57 @@ OPERATORS |= {
     "->KML": shapes.to_kml,
     "->GEOSHAPE": shapes.cover,
     "GEO.NORMALIZE": shapes.normal,
-    "GEO.OPTIMIZE": shapes.normal,
     "GEO.UNION": shapes.union,
     "GEO.INTERSECTION": shapes.intersection,
     "GEO.DIFFERENCE": shapes.difference,
     "GEO.REGEXP": shapes.regexp,
     "HHCODE.BBOX": shapes.cell_box,
     **{f"HHCODE.{n}": partial(shapes.neighbour, north=a, east=b) for n, a, b in (("NORTH", 1, 0), ("SOUTH", -1, 0), ("EAST", 0, 1), ("WEST", 0, -1), ("NORTH.EAST", 1, 1), ("NORTH.WEST", 1, -1), ("SOUTH.EAST", -1, 1), ("SOUTH.WEST", -1, -1))},
+    "FIND": meta.find,
+    "FINDSETS": meta.find_sets,
+    "FINDSTATS": meta.find_stats,
+    "METASET": meta.meta_set,
+    "META": meta.meta,
+    "METADIFF": partial(meta.meta, diff=True),
+    **{f"FETCH{k}": partial(meta.fetch_type, kind=k) for k in ("LONG", "DOUBLE", "STRING", "BOOLEAN")},
+    "ZIP": meta.zipped,
+    "SORT": meta.sort,
+    "RSORT": partial(meta.sort, reverse=True),
+    "VALUESORT": meta.value_sort,
+    "RVALUESORT": partial(meta.value_sort, reverse=True),
+    "METASORT": meta.meta_sort,
+    "MAKEGTS": meta.make,
+    "ADDVALUE": meta.add_value,
+    "SETVALUE": partial(meta.add_value, overwrite=True),
+    "CLONEEMPTY": meta.clone_empty,
+    "SETATTRIBUTES": meta.set_attributes,
+    "BUCKETSPAN": meta.bucket_span,
+    "BUCKETCOUNT": meta.bucket_count,
+    "LASTBUCKET": meta.last_bucket,
+    "NAME": meta.name,
+    "LABELS": meta.labels,
+    "ATTRIBUTES": meta.attributes,
+    "LASTACTIVITY": meta.last_activity,
+    "LOCSTRINGS": meta.loc_strings,
+    "TICKLIST": meta.tick_list,
+    "MVVALUES": meta.multi("value"),
+    "MVTICKS": meta.multi("tick"),
+    "MVELEVATIONS": meta.multi("elev"),
+    "MVLOCATIONS": meta.multi("location"),
+    "MVHHCODES": meta.multi("hhcode"),
+    "MVTICKSPLIT": meta.multi_split,
+    "MVINDEXSPLIT": partial(meta.multi_split, by_index=True),
+    "PROBABILITY": meta.probability,
+    "mapper.dotproduct.tanh": partial(fw.window_map, name="dotproduct.tanh"),
+    "mapper.dotproduct.sigmoid": partial(fw.window_map, name="dotproduct.sigmoid"),
+    "mapper.dotproduct.positive": partial(fw.window_map, name="dotproduct.positive"),
+    "HHCODE->": geo.from_hhcode,
+    "GTSHHCODE->": geo.from_hhcode,
+    "->HHCODE": geo.hhcode_text,
+    "GEOHASH->": geo.from_geohash,
+    "INTERPOLATOR.1D.LINEAR": np.interp,
+    "INTERPOLATOR.1D.SPLINE": hooks.spline,
+    "INTERPOLATOR.1D.AKIMA": hooks.akima,
     "PARSESELECTOR": selector.parse,
     "TOSELECTOR": selector.render,
     "FETCH": selector.fetch,
