@@ -272,6 +272,39 @@ def test_toxicity(spark, docs, none):
     assert table(toxicity.score(docs, empty))[11]["score"] > table(toxicity.score(docs, empty))[9]["score"]
 
 
+def test_label_model_equals_a_plain_one():
+    """The same accuracies and posteriors as loops over rows give, without a label; doubled voters share their weight."""
+    rng = np.random.default_rng(7)
+    truth = rng.random(600) < 0.3
+    fires = np.column_stack([(rng.random(600) < np.where(truth, p, r)) for p, r in ((0.5, 0.01), (0.4, 0.02), (0.6, 0.03))])
+    fires = np.column_stack([fires, fires[:, 0]])
+    model = toxicity.fit_label_model(fires, 0.3)
+    assert model.weight[0] < 0.75 and model.weight[3] < 0.75 and model.weight[1] > 0.9 and abs(model.correlation[0, 3] - 1) < 1e-6
+    q = model.posterior(fires.astype(float))
+    base = np.log(0.3 / 0.7)
+    for i in range(600):
+        if not fires[i].any():
+            assert q[i] == model.silent
+            continue
+        odds = base + sum(model.weight[j] * (np.log(model.accuracy[j] / (1 - model.accuracy[j])) - base) for j in range(4) if fires[i, j])
+        assert abs(q[i] - 1 / (1 + np.exp(-odds))) < 1e-12
+    for j in range(4):  # a fixed point of the estimate
+        own = [q[i] for i in range(600) if fires[i, j]]
+        want = (sum(own) + toxicity.STRENGTH * toxicity.ACCURACY) / (len(own) + toxicity.STRENGTH)
+        assert abs(model.accuracy[j] - min(want, 0.995)) < 1e-4
+    assert ((q >= 0.5) == truth)[fires.any(1)].mean() > 0.8
+
+
+def test_toxicity_learns_a_bounded_number_of_rows(spark, monkeypatch):
+    """However often an id repeats."""
+    rows = [(1, LONG + f" idiot {i}") for i in range(60)] + [(i, LONG + f" {i}") for i in range(3, 60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i == 1)) for i in range(60)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_classifier", lambda votes, *a, f=toxicity.fit_classifier: (seen.append(len(votes)), f(votes, *a))[1])
+    toxicity.fit(docs, labels, max_train=50)
+    assert seen == [50]
+
+
 def test_toxicity_stage_rejects_what_the_operator_rejects(spark):
     rows = [(i, " ".join(["plain"] * i), "en", "s", 0, "", 0.0, "") for i in range(1, 40)]
     some = spark.createDataFrame(rows, SCHEMA)

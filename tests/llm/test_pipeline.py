@@ -70,3 +70,36 @@ def test_stages(spark, tmp_path):
         at[r["sequence_id"]] += r["length"]
     assert max(at.values()) <= 2048
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == stays
+
+
+def test_stages_over_awkward_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, an empty table and extra columns, in every stage."""
+    words = [f"w{k}" for k in range(3000)]
+    rng = np.random.default_rng(5)
+    clean = [" ".join(rng.choice(words, 80)) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)]
+    rows += [(0, clean[0], "en", "s", 1), (20, clean[3], None, None, None), (None, clean[4], "en", None, 3), (None, None, None, None, None), (21, None, "en", "s", 0), (22, "", "en", "s", 0)]
+    rows += [(23, " ".join(rng.choice(words, 60_000)), "en", "s", 9), (24, "\n".join([clean[5], BOILER]), "en", "s", 5)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], schema + ", score string, _row double")
+    none = docs.where("doc_id < -1")
+    spark.createDataFrame([(0, 1, 0), (1, None, 1), (None, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r["doc_id"], r["text"])
+    for name, stage in stages.items():
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        if name == "packing":
+            assert got.select("doc_id").distinct().count() == len({r[0] for r in rows})
+            continue
+        assert got.columns == docs.columns
+        kept = sorted(map(str, map(key, got.collect())))
+        if name == "toxicity":
+            assert kept == sorted(str((i, t)) for i, t, *_ in rows)
+        if name == "quality":
+            assert not any(k.endswith(", None)") or k.endswith(", '')") for k in kept) and len(kept) >= 14
+        if name == "line_dedup":
+            assert kept == sorted(str((i, t or "")) for i, t, *_ in rows)
+        if name == "near_duplicates":
+            want = [(i, t) for i, t, *_ in rows[:12]] + [(None, clean[4]), (None, None), (21, None), (22, ""), (23, rows[-2][1])]
+            assert kept == sorted(map(str, want))

@@ -2,21 +2,27 @@
 
 Method. Many voters look at a text: one for each insult of a lexicon (whole words, A-Z lower-cased),
 the same lexicon after undoing digit-for-letter spelling, patterns (masked words, shouting,
-exclamations, direct address), and word stems in any language, mined from training rows: prefixes
-that take up a share of a text's words mostly where the label is 1, chosen greedily by what they
-add. On training rows the given label is one more voter, as fallible as the rest. A generative
-label model (two classes; each voter has an accuracy and otherwise abstains) is fitted by
-expectation-maximisation; voters whose votes stay correlated within the classes share weight,
-estimated again as the classes move. Its posterior labels train a linear classifier (logistic, L2)
-on the counts of the voters and on hashed words, so words that keep company with insults add to
-the score. Scores use the text alone.
+exclamations, direct address), and word stems in any language: prefixes that take up a share of a
+text's words. The labels of the training rows choose the voters (stems greedily by what they add,
+and of all voters those that vote on CHOSEN rows of label 1 at least, and on thrice as many as of
+label 0) and give the share of class 1; they take no part in the label model itself.
+
+The label model is generative: a text has a hidden class; a voter that fires has an accuracy, the
+share of class 1 where it does, and otherwise abstains, which says nothing; texts without any vote
+have a share of class 1 of their own. Votes are correlated within a class: the model estimates the
+matrix of correlations R of what the classes leave unexplained, and weighs the voters' evidence by
+R^-1 1, as for correlated measurements. All this is fitted by expectation-maximisation from the
+votes, beginning with "any vote" as class. Its posterior labels train a linear classifier
+(logistic, L2) on the counts of the voters and on hashed words, so words that keep company with
+insults add to the score. Scores use the text alone.
 
 The model is fitted on at most MAX_TRAIN labelled rows of the training folds, the smallest by a
 hash of their id; everything is scored.
 
 Defined results: a null or empty text scores what no words and no votes give; rows that repeat a
-doc_id are scored each (and learned from once for each label); without usable labels the voters
-alone fit the model; an empty table gives an empty table; other input columns are left out.
+doc_id are scored each and learned from each (MAX_TRAIN rows in all, however often an id repeats);
+without usable labels the lexicon alone scores; an empty table gives an empty table; other input
+columns are left out.
 """
 
 from __future__ import annotations
@@ -40,6 +46,10 @@ STEMS = (4, 5, 6, 7, 8)
 DENSITY = 0.006
 GAIN = 8
 MAX_STEMS = 200
+#: Rows of label 1 that a voter of the label model must vote on.
+CHOSEN = 8
+#: Accuracy that voters are taken to have before anything is known, and the votes that this counts for.
+ACCURACY, STRENGTH = 0.85, 4.0
 FOLDS, FOLD = 4, 2
 
 #: Common English insults.
@@ -197,33 +207,32 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """For each voter, the share of class 1 where it fires (its accuracy) and its weight; the share of class 1.
+    """Each voter's accuracy, the voters' correlations within the classes and the weights that follow, the share of class 1 and that among texts without votes."""
 
-    A voter that doesn't fire abstains and says nothing: whether a text holds one insult tells
-    nothing about it from not holding another. That no voter fires is a voter of its own.
-    """
-
-    def __init__(self, accuracy: np.ndarray, prior: float, weight: np.ndarray) -> None:
-        self.accuracy, self.prior, self.weight = accuracy, prior, weight
+    def __init__(self, accuracy: np.ndarray, correlation: np.ndarray, weight: np.ndarray, prior: float, silent: float) -> None:
+        self.accuracy, self.correlation, self.weight, self.prior, self.silent = accuracy, correlation, weight, prior, silent
 
     def posterior(self, fires: np.ndarray) -> np.ndarray:
         base = _logit(np.array(self.prior))
         odds = base + fires @ (self.weight * (_logit(self.accuracy) - base))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return np.where(fires.any(1), 1 / (1 + np.exp(-np.clip(odds, -30, 30))), self.silent)
 
 
-def fit_label_model(fires: np.ndarray, start: np.ndarray, prior: float, fixed: int = 3, rounds: int = 20) -> LabelModel:
-    """EM from the starting labels with a given share of class 1; correlations are estimated from what the classes
-    leave unexplained. The last ``fixed`` voters (silence and the given labels) keep their full weight."""
+def fit_label_model(fires: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
+    """Expectation-maximisation from the votes alone, for a given share of class 1. Correlations are estimated again as the classes move."""
     fires = fires.astype(np.float64)
-    q = start.astype(np.float64)
-    weight = np.ones(fires.shape[1])
-    model = None
+    voted = fires.any(1)
+    rare = prior / 10
+    q = np.where(voted, ACCURACY, rare)
+    k = fires.shape[1]
+    correlation, weight, model = np.eye(k), np.ones(k), None
     for step in range(rounds):
-        accuracy = np.clip((fires.T @ q + 2 * prior) / (fires.sum(0) + 2), 5e-3, 1 - 5e-3)
+        accuracy = np.clip((fires.T @ q + STRENGTH * ACCURACY) / (fires.sum(0) + STRENGTH), 5e-3, 1 - 5e-3)
+        silent = float((q[~voted].sum() + STRENGTH * rare) / ((~voted).sum() + STRENGTH))
         if step % 10 == 1:
-            weight[:-fixed] = shared_weights(fires[:, :-fixed], q)
-        model = LabelModel(accuracy, prior, weight)
+            correlation = correlations(fires, q)
+            weight = evidence_weights(correlation)
+        model = LabelModel(accuracy, correlation, weight, prior, silent)
         after = model.posterior(fires)
         if np.abs(after - q).max() < 1e-6 and step > 1:
             break
@@ -231,25 +240,35 @@ def fit_label_model(fires: np.ndarray, start: np.ndarray, prior: float, fixed: i
     return model
 
 
-def shared_weights(fires: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """1 over one plus a voter's positive correlations with the others, within the classes."""
+def correlations(fires: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of the voters, in what the classes leave unexplained."""
     rate = [(fires.T @ w + 0.1) / (w.sum() + 1) for w in (1 - q, q)]
     rest = fires - (q[:, None] * rate[1] + (1 - q[:, None]) * rate[0])
     scale = np.sqrt((rest**2).mean(0)) + 1e-9
-    corr = (rest.T @ rest) / len(q) / np.outer(scale, scale)
-    np.fill_diagonal(corr, 0)
-    return 1 / (1 + np.maximum(corr, 0).sum(0))
+    out = (rest.T @ rest) / max(1, len(q)) / np.outer(scale, scale)
+    np.fill_diagonal(out, 1)
+    return out
+
+
+def evidence_weights(correlation: np.ndarray) -> np.ndarray:
+    """R^-1 1, with R drawn a tenth towards independence, and no weight below a fifth or above one."""
+    k = len(correlation)
+    return np.clip(np.linalg.solve(0.9 * correlation + 0.1 * np.eye(k), np.ones(k)), 0.2, 1) if k else np.zeros(0)
+
+
+def chosen_voters(fires: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the voters that the label model hears."""
+    bad, good = fires.T.astype(np.float64) @ (label == 1), fires.T.astype(np.float64) @ (label == 0)
+    return np.flatnonzero((bad >= CHOSEN) & (bad >= 3 * good))
 
 
 # --- the classifier -----------------------------------------------------------------------------
 
 
-def fit_classifier(votes: np.ndarray, doc: np.ndarray, bins: np.ndarray, words: np.ndarray, q: np.ndarray, steps: int = 150) -> dict[str, np.ndarray]:
-    """Weights of the dense inputs ``votes`` and of the share of words in each bin, and a constant."""
+def fit_classifier(votes: np.ndarray, d: np.ndarray, b: np.ndarray, n: np.ndarray, words: np.ndarray, q: np.ndarray, steps: int = 150) -> dict[str, np.ndarray]:
+    """Weights of the dense inputs ``votes`` and of the share of words in each bin (n words of document d in bin b), and a constant."""
     x = votes
     rows = len(q)
-    key, n = np.unique(doc * BINS + bins, return_counts=True)
-    d, b = key // BINS, key % BINS
     value = n / np.maximum(words[d], 1) * 10
     often = np.bincount(b, minlength=BINS) >= 20
     on = often[b]
@@ -280,6 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     given = given.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_train)
     train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(given), "_id").select("_label", "text")
     train = runtime.store(train, "labelled")
+    if train.count() > max_train:  # ids repeat
+        wide, train = train, runtime.store(train.orderBy(F.xxhash64("text"), "_label").limit(max_train), "labelled")
+        runtime.discard(wide)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runtime.slices(batches, "text"):
@@ -322,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             size = np.bincount(key // BINS, minlength=b.num_rows)
             off = np.concatenate([[0], np.cumsum(size)])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(words.astype(np.int32)), pa.array([v.astype(np.int32).tobytes() for v in votes]), pa.array([v.astype(np.int32).tobytes() for v in own]), pa.array([(key[i:j] % BINS).astype(np.int32).tobytes() for i, j in zip(off[:-1], off[1:], strict=True)]), pa.array([n[i:j].astype(np.int32).tobytes() for i, j in zip(off[:-1], off[1:], strict=True)])],
+                [b.column(0), pa.array(words.astype(np.int32)), pa.array([v.astype(np.int32).tobytes() for v in votes]), pa.array([v.astype(np.int32).tobytes() for v in own]), pa.array([(key[i:j] % BINS).astype(np.uint16).tobytes() for i, j in zip(off[:-1], off[1:], strict=True)]), pa.array([np.minimum(n[i:j], 65535).astype(np.uint16).tobytes() for i, j in zip(off[:-1], off[1:], strict=True)])],
                 ["label", "words", "votes", "stems", "bins", "counts"],
             )
 
@@ -330,15 +352,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     runtime.discard(train)
     label, words = got["label"].to_numpy(), got["words"].to_numpy().astype(np.int64)
     counts, own = (np.stack([np.frombuffer(v, np.int32) for v in got[c].to_pylist()]).astype(np.float64) for c in ("votes", "stems"))
-    bins = [np.frombuffer(v, np.int32) for v in got["bins"].to_pylist()]
-    doc = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-    often = np.concatenate([np.frombuffer(v, np.int32) for v in got["counts"].to_pylist()])
-    dense = own >= np.maximum(1, DENSITY * words[:, None])
-    any_vote = counts[:, : len(LEXICON) + 1].any(1) | dense.any(1)
-    fires = np.column_stack([counts > 0, dense, ~any_vote, label == 1, label == 0])
+    bins = [np.frombuffer(v, np.uint16) for v in got["bins"].to_pylist()]
+    doc = np.repeat(np.arange(len(bins), dtype=np.int32), [len(b) for b in bins])
+    bins, often = np.concatenate(bins).astype(np.int32), np.concatenate([np.frombuffer(v, np.uint16) for v in got["counts"].to_pylist()])
+    fires = np.column_stack([counts > 0, own >= np.maximum(1, DENSITY * words[:, None])])
     prior = float(np.clip(label.mean(), 1e-3, 0.5))
-    q = fit_label_model(fires, 0.02 + 0.08 * any_vote + 0.85 * label, prior).posterior(fires.astype(np.float64))
-    fitted = fit_classifier(measures(counts, own, words), np.repeat(doc, often), np.repeat(np.concatenate(bins), often).astype(np.int64), words, q)
+    fires = fires[:, chosen_voters(fires, label)]
+    q = fit_label_model(fires, prior).posterior(fires.astype(np.float64))
+    fitted = fit_classifier(measures(counts, own, words), doc, bins, often, words, q)
     return fitted | {"stems": stems}
 
 
