@@ -1,14 +1,19 @@
 """Every query with SQL gives what DuckDB gives; the kernels agree with plain versions."""
 
+import hashlib
 import math
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import shapes, udfs
 from tidemark.functions.scalars import SCALARS
-from tidemark.operators import stats
+from tidemark.model import Grid, Series
+from tidemark.operators import hooks, stats
 from tidemark.plans import queries as plans
+from tidemark.registry import find
 from tidemark.sources import selector
 
 DATA = "/root/testdata/sf0.001"
@@ -134,6 +139,71 @@ def test_dtw():
     assert stats.dtw_distance([0, 0], [1, 1]) == 2
 
 
+def test_dtw_scales():
+    assert stats.dtw_distance([0, 1, 2], [10, 30, 50], "range") == 0
+    with pytest.raises(ValueError):
+        find("DTW")([1, 1], [1, 2])
+    a, b = np.array([0.0, 2.0, 4.0]), np.array([1.0, 3.0])
+    # z-scores: (a - 2) / 2 and (b - 2) / 1, both then -1 and 1 at the ends; the 0 between costs 1.
+    assert find("ZDTW")(a, b) == 1
+    assert find("RAWDTW")([0, 0], [1, 1]) == 2
+
+
+def test_tlttb():
+    t = np.array([0, 1, 2, 3, 50, 51, 98, 100])
+    at = stats.tlttb_indices(t, np.array([0, 1, 9, 1, 5, 0, 3, 0.0]), 5)
+    # Three buckets of 33 ticks: 1 to 33, 34 to 66 and 67 to 99.
+    assert at.tolist()[0] == 0 and at.tolist()[-1] == 7 and len(at) == 5
+    assert at[1] in (1, 2, 3) and at[2] in (4, 5) and at[3] == 6 and t[at[1]] == 2
+    assert stats.tlttb_indices(t[:3], np.zeros(3), 5).tolist() == [0, 1, 2]
+
+
+def test_polynomial_of_ticks_and_buckets(spark):
+    rows = spark.createDataFrame([("a", 10, 1.0), ("a", 30, 2.0)], "k string, t bigint, v double")
+    s = Series(rows, ("k",), "t", "v")
+    assert sorted((r.t, r.v) for r in stats.polynomial(s, [1, 0, 2]).df.collect()) == [(10, 201.0), (30, 1801.0)]
+    on = s.with_df(rows, grid=Grid(10))
+    assert sorted((r.t, r.v) for r in stats.polynomial(on, [1, 2]).df.collect()) == [(10, 21.0), (20, 41.0), (30, 61.0)]
+    assert sorted((r.t, r.v) for r in stats.polynomial(on, [1, 2], by_bucket=True).df.collect()) == [(0, 1.0), (1, 3.0), (2, 5.0)]
+
+
+def test_lowess_filler(spark):
+    rows = spark.createDataFrame([("a", t, 3.0 * t + 1) for t in range(0, 100, 10)] + [("b", 5, 1.0)], "k string, t bigint, v double")
+    ticks = spark.createDataFrame([("a", 15), ("a", 42), ("a", 200), ("b", 7)], "k string, t bigint")
+    for name in ("filler.lowess", "filler.rlowess"):
+        got = {(r.k, r.t): r.v for r in find(name)(Series(rows, ("k",), "t", "v"), ticks, 4).df.collect()}
+        assert abs(got["a", 15] - 46) < 1e-6 and abs(got["a", 42] - 127) < 1e-6 and len(got) == 13
+    got = {(r.k, r.t): r.v for r in find("filler.lowess")(Series(rows, ("k",), "t", "v"), ticks, 4, invalid=-1.0).df.collect()}
+    assert got["a", 200] == -1 and got["b", 7] == -1
+    t = np.array([0.0, 1, 3, 4, 7])
+    v = np.array([0.0, 2, 1, 5, 3])
+    m = hooks._second_derivatives(t, v)
+    for x in (0.5, 2.0, 3.5, 6.0):
+        i = int(np.searchsorted(t, x)) - 1
+        h, l, r = t[i + 1] - t[i], x - t[i], t[i + 1] - x
+        own = (m[i] * r**3 + m[i + 1] * l**3) / (6 * h) + (v[i] / h - m[i] * h / 6) * r + (v[i + 1] / h - m[i + 1] * h / 6) * l
+        assert abs(own - hooks.spline(x, t, v)) < 1e-9
+
+
+def test_cells_as_longs():
+    for cell in ("1", "f", "7a", "0123456789abcde"):
+        assert shapes.from_geocell(shapes.to_geocell(cell)) == cell
+    assert shapes.to_geocell("1") == 0x1100000000000000
+    assert shapes.to_geocell("89abcdef") == -(1 << 63) + 0x089ABCDEF0000000
+    assert shapes.cell_center("c") == (22.5, 45.0)
+    with pytest.raises(ValueError):
+        shapes.from_geocell(5)
+
+
+def test_keccak(spark):
+    for text in (b"", b"a" * 135, b"a" * 136, bytes(range(256)) * 3):
+        assert udfs.keccak(text, 256, 6) == hashlib.sha3_256(text).digest()
+        assert udfs.keccak(text, 512, 6) == hashlib.sha3_512(text).digest()
+    assert udfs.keccak(b"", 256).hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+    got = spark.createDataFrame([("x",), (None,)], "s string").select(*[find(f"KECCAK.{n}")(F.col("s")).alias(str(n)) for n in (128, 224, 256, 288, 384, 512)]).collect()
+    assert [len(c) * 8 for c in got[0]] == [128, 224, 256, 288, 384, 512] and not any(got[1])
+
+
 def test_fft_round_trip():
     v = np.random.default_rng(0).normal(size=64)
     z = np.fft.fft(v)

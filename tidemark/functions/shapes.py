@@ -221,6 +221,28 @@ def cell_box(cell: str) -> tuple[float, float, float, float]:
     return y / n * 180 - 90, x / n * 360 - 180, (y + 1) / n * 180 - 90, (x + 1) / n * 360 - 180
 
 
+def cell_center(cell: str) -> tuple[float, float]:
+    """(latitude, longitude) of a cell's middle."""
+    south, west, north, east = cell_box(cell)
+    return (south + north) / 2, (west + east) / 2
+
+
+def to_geocell(cell: str) -> int:
+    """A cell of 1 to 15 digits as a signed long: four bits of its length, then its digits."""
+    if not 1 <= len(cell) <= 15:
+        raise ValueError("a cell has 1 to 15 digits")
+    n = len(cell) << 60 | int(cell, 16) << 60 - 4 * len(cell)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def from_geocell(number: int) -> str:
+    """What to_geocell made a long of."""
+    digits = f"{number & (1 << 64) - 1:016x}"
+    if digits[0] == "0":
+        raise ValueError("no cell has this number")
+    return digits[1 : int(digits[0], 16) + 1]
+
+
 def _touches(shape: Shape, box) -> str:
     """in, out or edge: how a box lies to the polygons."""
     s, w, n, e = box

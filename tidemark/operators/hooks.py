@@ -126,6 +126,51 @@ def spline(x: float, t: np.ndarray, v: np.ndarray) -> float | None:
     return float((m[i] * r**3 + m[i + 1] * l**3) / (6 * h[i]) + (v[i] / h[i] - m[i] * h[i] / 6) * r + (v[i + 1] / h[i] - m[i + 1] * h[i] / 6) * l)
 
 
+def _second_derivatives(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of the natural cubic spline at its knots, by elimination along the three diagonals."""
+    h, m = np.diff(t), np.zeros(len(t))
+    rise = 6 * np.diff(np.diff(v) / h)
+    upper, right = np.zeros(len(t)), np.zeros(len(t))
+    for i in range(1, len(t) - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
+        upper[i], right[i] = h[i] / pivot, (rise[i - 1] - h[i - 1] * right[i - 1]) / pivot
+    for i in range(len(t) - 2, 0, -1):
+        m[i] = right[i] - upper[i] * m[i + 1]
+    return m
+
+
+def lowess_filler(s: Series, ticks: DataFrame, q: int, rounds: int = 0, invalid: float | None = None) -> Series:
+    """At each given tick (by key) without a value, the natural spline through the series smoothed over its q nearest points.
+
+    Two points are joined by a line. Beyond the series' ends, and where it has fewer points, ``invalid`` or nothing.
+    A series must fit a task.
+    """
+    from tidemark.operators.stats import lowess_values
+
+    if q < 2:
+        raise ValueError("the bandwidth must be over 1")
+    keys, tick, value = s.keys, s.tick, s.value
+    rows = s.df.select(*keys, tick, F.col(value).cast("double").alias(value)).join(ticks.select(*keys, tick).distinct(), [*keys, tick], "full")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(tick).reset_index(drop=True)
+        known = pdf[value].notna().to_numpy()
+        t, v = pdf[tick].to_numpy(np.int64)[known].astype(float), pdf[value].to_numpy(dtype=float)[known]
+        x = pdf[tick].to_numpy(np.int64)[~known].astype(float)
+        made = np.full(len(x), np.nan if invalid is None else invalid)
+        inside = (x >= t[0]) & (x <= t[-1]) if len(t) > 1 else np.zeros(len(x), bool)
+        if inside.any():
+            y = lowess_values(t, v, q, rounds) if len(t) > 2 else v
+            m = _second_derivatives(t, y)
+            i = np.searchsorted(t, x[inside]) - 1
+            h, left, right = t[i + 1] - t[i], x[inside] - t[i], t[i + 1] - x[inside]
+            made[inside] = (m[i] * right**3 + m[i + 1] * left**3) / (6 * h) + (y[i] / h - m[i] * h / 6) * right + (y[i + 1] / h - m[i + 1] * h / 6) * left
+        pdf.loc[~known, value] = made
+        return pdf.dropna(subset=[value])[[*keys, tick, value]]
+
+    return s.with_df(rows.groupBy(*keys).applyInPandas(run, f"{_types(s)}`{tick}` bigint, `{value}` double"))
+
+
 def akima(x: float, t: np.ndarray, v: np.ndarray) -> float | None:
     """Akima's piecewise cubic through at least five points, at x."""
     n = len(t)

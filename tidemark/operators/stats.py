@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.model import Series
+from tidemark.operators.frameworks import scaffold
 from tidemark.operators.series import _valued, with_measures
 
 # --- sums -----------------------------------------------------------------------------------------
@@ -335,9 +336,32 @@ def lttb_indices(t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return np.array([*out, size - 1])
 
 
-def lttb(s: Series, n: int) -> Series:
+def tlttb_indices(t: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """As lttb_indices, with n - 2 buckets of equal time between the ends; buckets without points choose nothing."""
+    size = len(t)
+    if size <= n - 2 or size < 3:
+        return np.arange(size)
+    if n < 3:
+        raise ValueError("at least three points must be asked for")
+    span = max(1, math.ceil((int(t[-1]) - int(t[0]) - 2) / (n - 2)))
+    inner = (t[1:-1] - t[0] - 1) // span
+    start = np.concatenate([[0], 1 + np.flatnonzero(np.diff(inner, prepend=inner[0] - 1)), [size - 1]])
+    end = np.append(start[1:], size)
+    tick, value = t.astype(float), v.astype(float)
+    out = [0]
+    for i in range(1, len(start) - 1):
+        after = slice(start[i + 1], end[i + 1])
+        n_after = end[i + 1] - start[i + 1] + 1
+        t_mean, v_mean = tick[after].sum() / n_after, value[after].sum() / n_after
+        own = slice(start[i], end[i])
+        area = np.abs((tick[0] - t_mean) * (value[own] - value[0]) - (tick[0] - tick[own]) * (v_mean - value[0]))
+        out.append(int(start[i] + area.argmax()))
+    return np.array([*out, size - 1])
+
+
+def lttb(s: Series, n: int, by_time: bool = False) -> Series:
     def f(t, v):
-        at = lttb_indices(t.astype(float), v.astype(float), n)
+        at = tlttb_indices(t, v, n) if by_time else lttb_indices(t.astype(float), v.astype(float), n)
         return {"tick": t[at], "value": v[at].astype(float)}
 
     return s.with_df(_kernel(s, f))
@@ -399,11 +423,21 @@ def haar(s: Series, inverse: bool = False) -> Series:
     return s.with_df(_kernel(s, f))
 
 
-def dtw_distance(a: np.ndarray, b: np.ndarray, z: bool = False) -> float:
-    """Dynamic time warping with absolute differences, after z-normalisation if asked."""
+def dtw_distance(a: np.ndarray, b: np.ndarray, scale: str | None = None) -> float:
+    """Dynamic time warping with absolute differences, of the values as they are, over their range, or as z-scores.
+
+    The z-scores of b are divided by its variance instead of its deviation: results must equal those of the
+    convention that these names come from. Constant values have no range, which is an error.
+    """
     a, b = np.asarray(a, float), np.asarray(b, float)
-    if z:
-        a, b = ((x - x.mean()) / (x.std() or 1.0) for x in (a, b))
+    if scale == "range":
+        if not np.ptp(a) or not np.ptp(b):
+            raise ValueError("constant values can't be scaled to their range")
+        a, b = ((x - x.min()) / np.ptp(x) for x in (a, b))
+    elif scale == "z":
+        a, b = (a - a.mean()) / a.std(ddof=int(len(a) > 1)), (b - b.mean()) / b.var()
+    elif scale is not None:
+        raise KeyError(f"no scale named {scale!r}")
     row = np.full(len(b) + 1, np.inf)
     row[0] = 0
     for x in a:
@@ -420,8 +454,24 @@ def polyfit(s: Series, degree: int) -> DataFrame:
     return _kernel(s, lambda t, v: {"tick": np.arange(degree + 1), "value": np.polyfit(t.astype(float), v.astype(float), degree)[::-1]})
 
 
-def random_from(histogram_: Column) -> Column:
+def polynomial(s: Series, coefficients: list[float], by_bucket: bool = False) -> Series:
+    """The polynomial (coefficients from the constant up) of each tick as its value; on a grid, of every bucket, or of
+    its number from the oldest on, which then replaces the tick."""
+    if by_bucket and s.grid is None:
+        raise ValueError("the series has no grid")
+    rows = scaffold(s) if s.grid else s.df
+    if by_bucket:
+        first = F.min(s.tick).over(Window.partitionBy(*s.keys))
+        rows = rows.withColumn("_first", first).withColumn(s.tick, ((F.col(s.tick) - F.col("_first")) / s.grid.span).cast("bigint")).drop("_first")
+    x, out = F.col(s.tick).cast("double"), F.lit(0.0)
+    for c in reversed(coefficients):
+        out = out * x + F.lit(float(c))
+    made = rows.withColumn("_v", out).withColumn(s.value, F.col("_v")).drop("_v")
+    return s.with_df(made, grid=None) if by_bucket else s.with_df(made)
+
+
+def random_from(histogram_: Column, seed: int | None = None) -> Column:
     """A value drawn by the weights of an array<struct<value, n>>."""
     total = F.aggregate(histogram_, F.lit(0.0), lambda a, x: a + x["n"])
-    u = F.rand() * total
+    u = F.rand(seed) * total
     return F.aggregate(histogram_, F.struct(F.lit(0.0).alias("sum"), F.get(histogram_, F.lit(0))["value"].alias("v"), F.lit(False).alias("done")), lambda a, x: F.when(a["done"], a).otherwise(F.struct((a["sum"] + x["n"]).alias("sum"), x["value"].alias("v"), (a["sum"] + x["n"] >= u).alias("done"))), lambda a: a["v"])

@@ -41,6 +41,8 @@ for _name in ("value", "next", "previous", "interpolate", "linear"):
     OPERATORS[f"filler.{_name}"] = partial(fw.fill, how=_name)
 for _name, _f in (("spline", hooks.spline), ("akima", hooks.akima), ("newton", hooks.newton)):
     OPERATORS[f"filler.{_name}"] = partial(hooks.filler, f=hooks.by_curve(_f))
+OPERATORS["filler.lowess"] = hooks.lowess_filler
+OPERATORS["filler.rlowess"] = partial(hooks.lowess_filler, rounds=2)
 OPERATORS["filler.trend"] = partial(hooks.filler, f=hooks.trend, pre=2, post=2)
 
 OPERATORS |= SCALARS
@@ -147,6 +149,7 @@ OPERATORS |= {
     "RLOWESS": partial(stats.lowess, rounds=2),
     "STL": stats.stl,
     "LTTB": stats.lttb,
+    "TLTTB": partial(stats.lttb, by_time=True),
     "LOWERHULL": stats.hull,
     "UPPERHULL": partial(stats.hull, upper=True),
     "FFT": stats.fft,
@@ -154,8 +157,9 @@ OPERATORS |= {
     "IFFT": stats.ifft,
     "FDWT": motion.wavelet,
     "IDWT": partial(motion.wavelet, inverse=True),
-    "DTW": stats.dtw_distance,
-    "ZDTW": partial(stats.dtw_distance, z=True),
+    "DTW": partial(stats.dtw_distance, scale="range"),
+    "ZDTW": partial(stats.dtw_distance, scale="z"),
+    "RAWDTW": stats.dtw_distance,
     "PATTERNS": patterns.patterns,
     "ZPATTERNS": partial(patterns.patterns, standardise=True),
     "PATTERNDETECTION": patterns.detect,
@@ -167,7 +171,9 @@ OPERATORS |= {
     "LOCATIONOFFSET": motion.location_offset,
     "MOTIONSPLIT": motion.motion_split,
     "POLYFIT": stats.polyfit,
+    "POLYFUNC": stats.polynomial,
     "RANDPDF": stats.random_from,
+    "SRANDPDF": lambda histogram, seed: stats.random_from(histogram, seed),
     "HAVERSINE": geo.haversine,
     "->HHCODELONG": geo.hhcode,
     "->GEOHASH": geo.geohash,
@@ -191,6 +197,9 @@ OPERATORS |= {
     "GEO.DIFFERENCE": shapes.difference,
     "GEO.REGEXP": shapes.regexp,
     "HHCODE.BBOX": shapes.cell_box,
+    "HHCODE.CENTER": shapes.cell_center,
+    "->GEOCELL": shapes.to_geocell,
+    "GEOCELL->": shapes.from_geocell,
     **{f"HHCODE.{n}": partial(shapes.neighbour, north=a, east=b) for n, a, b in (("NORTH", 1, 0), ("SOUTH", -1, 0), ("EAST", 0, 1), ("WEST", 0, -1), ("NORTH.EAST", 1, 1), ("NORTH.WEST", 1, -1), ("SOUTH.EAST", -1, 1), ("SOUTH.WEST", -1, -1))},
     "FIND": meta.find,
     "FINDSETS": meta.find_sets,
