@@ -166,7 +166,7 @@ def test_coder_uses_each_order():
 
 def test_coder_takes_over_few_counts(monkeypatch):
     """The counts that all take-overs of a block work on are fewer than half of its ids; a take-over at every doubling makes that all of them."""
-    ids, worked, plain = np.random.default_rng(3).zipf(1.5, 1 << 18) % 500, [], token_store.Model.take_over
+    ids, worked, plain = np.random.default_rng(3).zipf(1.5, 1 << 19) % 500, [], token_store.Model.take_over
     monkeypatch.setattr(token_store.Model, "take_over", lambda self: (worked.append(self.total), plain(self)))
     data = token_store.compress(ids)
     assert 0 < sum(worked) < len(ids) // 2

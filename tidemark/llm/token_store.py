@@ -50,8 +50,8 @@ LEAST = 256
 #: Ids of a segment: it ends with the slice of texts that reaches them, so most segments are one block.
 SEGMENT = BLOCK - (1 << 19)
 #: Ids up to which counts are taken over whenever they have doubled, and the growth from take-over to take-over beyond.
-EARLY = 1 << 16
-GROWTH = 4
+EARLY = 1 << 17
+GROWTH = 6
 #: Steps that the encoder works out at a time.
 STEPS = 64
 #: Ids that the encoder looks up at a time, and of a stretch from which on every fourth tells the weights.
