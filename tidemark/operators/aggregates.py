@@ -125,12 +125,14 @@ def _percentile(p: Point, q: float = 50, kind: int = 1) -> Column:
 
 @builder("mad")
 def _mad(p: Point) -> Column:
-    values = p.of(F.collect_list(p.value.cast("double")))
-    return _array_median(F.transform(values, lambda x: F.abs(x - _array_median(values))))
+    # Each array is sorted once, by way of an array of one: an expression named again within a lambda is evaluated at each element.
+    values = F.array(F.sort_array(p.of(F.collect_list(p.value.cast("double")))))
+    off = lambda s: F.transform(F.array(_middle(s)), lambda m: F.sort_array(F.transform(s, lambda x: F.abs(x - m))))[0]
+    return F.transform(F.transform(values, off), _middle)[0]
 
 
-def _array_median(a: Column) -> Column:
-    s = F.sort_array(a)
+def _middle(s: Column) -> Column:
+    """The median of a sorted array, null if it is empty."""
     n = F.size(s)
     low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
     return F.when(n > 0, (F.element_at(s, F.greatest(low, F.lit(1))) + F.element_at(s, F.greatest(F.least(high, n), F.lit(1)))) / 2)
