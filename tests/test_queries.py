@@ -404,3 +404,18 @@ def test_mad_of_a_large_bucket(spark):
     got = find("BUCKETIZE")(s, "mad", span=20_000, last=20_000).df.collect()
     assert len(got) == 1 and abs(got[0].value - np.median(np.abs(values - np.median(values)))) < 1e-12
     assert time.monotonic() - began < 60
+
+
+def test_zscore_of_equal_values(spark, tmp_path):
+    """Series of equal values in many parts, and of one point, as the SQL has them: without a value."""
+    rows_ = [(i, f"2024-01-02 00:{i // 60 % 60:02}:{i % 60:02}", i % 150, "click", i % 150 * 37 / 100) for i in range(3000)] + [(3000, "2024-01-02 00:00:00", 900, "view", 1.5)]
+    rows_ += [(4000 + i, f"2024-01-02 02:00:{i:02}", 901, "view", float(i)) for i in range(9)]
+    made = spark.createDataFrame(rows_, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    made.repartition(16).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("zscore", "standardize"):
+        got = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert rows(got) == rows(con.execute(plans.ORACLE[name]).df())
+    assert len(got) == 3010

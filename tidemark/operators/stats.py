@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import Series
 from tidemark.operators.frameworks import scaffold
-from tidemark.operators.series import _valued, with_measures
+from tidemark.operators.series import _valued, spread, with_measures
 
 # --- sums -----------------------------------------------------------------------------------------
 
@@ -115,7 +115,7 @@ def zscore_test(s: Series, mad: bool = False, threshold: float = 3.5) -> DataFra
         rows = s.df.withColumn("_m", F.percentile(v, F.lit(0.5)).over(w))
         rows = rows.withColumn("_d", F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).over(w) / 0.6745)
     else:
-        rows = with_measures(s, _m=F.avg(v), _d=F.stddev_samp(v))
+        rows = with_measures(s, _m=F.avg(v), _d=spread(v))
     return rows.where((F.col("_d") != 0) & (F.abs((v - F.col("_m")) / F.col("_d")) >= threshold)).select(*s.keys, s.tick)
 
 

@@ -419,7 +419,7 @@ query("strict_partition", f"SELECT class, count(DISTINCT user_id) AS n_series, c
 query("clip", f"SELECT class, l.start AS start, count(*) AS n, round(sum(value), 4) AS total FROM {EV} e JOIN (SELECT {LAST - 20 * DAY} AS start, {LAST - 15 * DAY} AS stop UNION ALL SELECT {LAST - 17 * DAY}, {LAST - 3 * DAY}) l ON e.tick BETWEEN l.start AND l.stop GROUP BY ALL")(
     lambda spark, d: ops.clip(events(spark, d), spark.createDataFrame([(LAST - 20 * DAY, LAST - 15 * DAY), (LAST - 17 * DAY, LAST - 3 * DAY)], "start bigint, end bigint")).groupBy("class", "start").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"))
 )
-query("zscore", f"SELECT class, user_id, tick, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 4) AS value FROM {EV} WINDOW w AS (PARTITION BY class, user_id) QUALIFY value IS NOT NULL")(lambda spark, d: out(ops.zscore(events(spark, d, user=True))))
+query("zscore", f"SELECT class, user_id, tick, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 4) AS value FROM {EV} WINDOW w AS (PARTITION BY class, user_id) QUALIFY value IS NOT NULL")(lambda spark, d: out(ops.zscore(events(spark, d, user=True), keep=True)))
 
 def fetch(s: Series, selector: str, start, end, **options) -> Series:
     from tidemark.sources.selector import fetch as run
