@@ -419,3 +419,8 @@ def test_zscore_of_equal_values(spark, tmp_path):
         got = plans.QUERIES[name](spark, str(tmp_path)).toPandas()
         assert rows(got) == rows(con.execute(plans.ORACLE[name]).df())
     assert len(got) == 3010
+
+
+def test_window_mappers_share_one_pass(spark):
+    plan = plans.QUERIES["mappers_windowed"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1

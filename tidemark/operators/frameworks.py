@@ -127,6 +127,19 @@ def window_map(s: Series, name: str, pre: int = 0, post: int = 0, occurrences: i
     return s.with_df(out)
 
 
+def window_maps(s: Series, maps: dict[str, dict], pre: int = 0, post: int = 0, label: str = "mapper") -> Series:
+    """Several aggregators {name: parameters} over the same windows, as window_map gives them one by one: a row for each of
+    a point's results, named by the key ``label``. The points are read and sorted once for all of them."""
+    base = Series(scaffold(s), s.keys, s.tick, s.value) if s.grid is not None else s
+    w, p = frame(base, pre, post), point_of(base)
+    names = {f"_r{k}": n for k, n in enumerate(maps)}
+    rows = base.df.withColumns({c: windowed(n, p, w, **maps[n]) for c, n in names.items()})
+    results = F.array(*[F.struct(F.lit(n).alias(label), F.col(c).alias(s.value)) for c, n in names.items()])
+    others = [c for c in base.df.columns if c != s.value]
+    out = rows.select(*others, F.explode(results).alias("_r")).select(*others, f"_r.{label}", f"_r.{s.value}")
+    return Series(out.where(F.col(s.value).isNotNull()), (*s.keys, label), s.tick, s.value, s.grid)
+
+
 def windowed(name: str, p: Point, w, **params) -> Column:
     """An aggregator as a window expression: its aggregates are put over the frame one by one."""
     if name.removeprefix("mapper.").startswith("dotproduct"):

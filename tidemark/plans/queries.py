@@ -780,9 +780,8 @@ query(
     f"WITH e AS (SELECT class, user_id, tick, value, (seq * 7919) % 1000 AS elev, row_number() OVER (PARTITION BY class, user_id ORDER BY tick) AS i FROM {DEV}), w AS (SELECT a.class, a.user_id, a.tick AS t, b.tick, b.value, b.elev FROM e a JOIN e b ON a.class = b.class AND a.user_id = b.user_id AND b.i BETWEEN a.i - 2 AND a.i + 1) "
     + " UNION ALL ".join(f"SELECT '{n}' AS mapper, class, user_id, t AS tick, round({e}, 4) AS value FROM w GROUP BY class, user_id, t" for n, (e, _) in _WINDOWED.items()),
 )(
-    lambda spark, d: fold(
-        lambda x, y: x.unionByName(y),
-        [(lambda s: s.df.select(F.lit(n).alias("mapper"), "class", "user_id", "tick", r(F.col("value") * (1000000 if n == "mapper.vspeed" else 1)).alias("value")))(registry(n)(_lifted(spark, d), pre=2, post=1, **p)) for n, (_, p) in _WINDOWED.items()],
+    lambda spark, d: fw.window_maps(_lifted(spark, d), {n: p for n, (_, p) in _WINDOWED.items()}, pre=2, post=1).df.select(
+        "mapper", "class", "user_id", "tick", r(F.col("value") * F.when(F.col("mapper") == "mapper.vspeed", 1000000).otherwise(1)).alias("value")
     )
 )
 
