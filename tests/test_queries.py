@@ -424,3 +424,10 @@ def test_zscore_of_equal_values(spark, tmp_path):
 def test_window_mappers_share_one_pass(spark):
     plan = plans.QUERIES["mappers_windowed"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_scalars_run_compiled(spark):
+    """Whole-stage code of so many expressions is one method of more than 8000 bytes, which the JVM interprets."""
+    for name in ("scalar_more", "scalar_math"):
+        plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Project [" in plan and ") Project [" not in plan

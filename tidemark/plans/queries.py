@@ -461,8 +461,21 @@ _MATH = {
     "SHR": ("k >> 3", lambda c: SCALARS[">>"](c.k, F.lit(3)).cast("double")),
     "BITCOUNT": ("bit_count(k)", lambda c: SCALARS["BITCOUNT"](c.k).cast("double")),
 }
+
+
+def scalars(rows: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
+    """The keys and many numbers, as doubles to 6 places. Whole numbers are so already.
+
+    Whole-stage code puts all expressions into one method, and beyond 8000 bytes the JVM only interprets it. With a
+    higher-order function among them Spark makes a projection of small methods instead.
+    """
+    whole = {f.name for f in rows.select(*[c.alias(n) for n, c in columns.items()]).schema if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    first = F.transform(F.array(keys[0]), lambda x: x)[0].alias(keys[0])
+    return rows.select(first, *keys[1:], *[(c.cast("double") if n in whole else r(c.cast("double"), 6)).alias(n) for n, c in columns.items()])
+
+
 query("scalar_math", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({s})::DOUBLE, 6) AS f_{n.lower()}" for n, (s, _) in _MATH.items()) + f" FROM (SELECT l_orderkey, l_linenumber, {_NUM} FROM lineitem)")(
-    lambda spark, d: (lambda c: c.select("l_orderkey", "l_linenumber", *[r(f(c).cast("double"), 6).alias(f"f_{n.lower()}") for n, (_, f) in _MATH.items()]))(
+    lambda spark, d: (lambda c: scalars(c, ["l_orderkey", "l_linenumber"], {f"f_{n.lower()}": f(c) for n, (_, f) in _MATH.items()}))(
         read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("x"), F.col("l_extendedprice").alias("p"), F.col("l_orderkey").alias("k"))
     )
 )
@@ -551,7 +564,7 @@ _MORE = {
     "qrotation": ("30.0", lambda c: SCALARS["QROTATION"](SCALARS["ROTATIONQ"](F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(30.0)))["angle"]),
 }
 query("scalar_more", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({s})::DOUBLE, 6) AS f_{n}" for n, (s, _) in _MORE.items()) + f" FROM (SELECT l_orderkey, l_linenumber, {_NUM}, l_linenumber AS l FROM lineitem)")(
-    lambda spark, d: (lambda c: c.select("l_orderkey", "l_linenumber", *[r(f(c).cast("double"), 6).alias(f"f_{n}") for n, (_, f) in _MORE.items()]))(
+    lambda spark, d: (lambda c: scalars(c, ["l_orderkey", "l_linenumber"], {f"f_{n}": f(c) for n, (_, f) in _MORE.items()}))(
         read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("x"), F.col("l_extendedprice").alias("p"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("l"))
     )
 )
