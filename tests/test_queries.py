@@ -431,3 +431,14 @@ def test_scalars_run_compiled(spark):
     for name in ("scalar_more", "scalar_math"):
         plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Project [" in plan and ") Project [" not in plan
+
+
+def test_strings_are_dealt_to_all_cores(spark):
+    """customer.parquet has one row group, which one task read and worked on alone."""
+    assert plans.QUERIES["scalar_strings"](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_equal_rows_are_worked_on_once():
+    calls = []
+    once = udfs._once(lambda *a: calls.append(a) or sum(a))
+    assert [once(1, 2), once(1, 2), once(2, 1), once(3)] == [3, 3, 3, 3] and calls == [(1, 2), (2, 1), (3,)]
