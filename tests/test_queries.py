@@ -442,3 +442,9 @@ def test_equal_rows_are_worked_on_once():
     calls = []
     once = udfs._once(lambda *a: calls.append(a) or sum(a))
     assert [once(1, 2), once(1, 2), once(2, 1), once(3)] == [3, 3, 3, 3] and calls == [(1, 2), (2, 1), (3,)]
+
+
+def test_subscribed_points_stay_with_the_executors(spark):
+    """The in-memory sink kept them in the driver, as a local relation."""
+    plan = plans.QUERIES["stream_subscribe"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LocalRelation" not in plan and "MemoryPlan" not in plan

@@ -806,14 +806,18 @@ query(
 # --- streams --------------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, d: str, make, mode: str = "append") -> DataFrame:
-    """What a stream over a copy of events gives once all of it has been read, from an in-memory sink."""
+def _source(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over a copy of events."""
+    schema = read(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
+
+
+def _streamed(spark: SparkSession, d: str, make) -> DataFrame:
+    """What a stream of aggregates gives once all of it has been read, from an in-memory sink: a row a group."""
     import uuid
 
     name = f"stream_{uuid.uuid4().hex}"
-    schema = read(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
-    running = make(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    running = make(_source(spark, d)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name)
 
@@ -822,7 +826,7 @@ def _stream_bucketize(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.streaming import bucketize as streaming
 
     make = lambda s: streaming.bucketize(s, ["event_type"], DAY, {"n": F.count(F.lit(1)), "value": F.sum("value")}, "0 seconds")
-    found = _streamed(spark, d, make, "complete")
+    found = _streamed(spark, d, make)
     return found.select("event_type", "tick", "n", r("value").alias("value"))
 
 
@@ -832,8 +836,8 @@ query("stream_bucketize", f"SELECT event_type, tick + (({LAST} - tick) % {DAY} +
 def _stream_subscribe(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.streaming import bucketize as streaming
 
-    found = _streamed(spark, d, lambda s: streaming.subscribe(s.withColumnRenamed("event_type", "class"), ["click{user_id~1.*}", "=view{}"], ("class", "user_id")))
-    return found.select("event_id", "class", "user_id")
+    found = streaming.subscribe(_source(spark, d).withColumnRenamed("event_type", "class"), ["click{user_id~1.*}", "=view{}"], ("class", "user_id"))
+    return streaming.stored(spark, found.select("event_id", "class", "user_id"))
 
 
 query("stream_subscribe", "SELECT event_id, event_type AS class, user_id FROM events WHERE (event_type = 'click' AND regexp_full_match(user_id::VARCHAR, '1.*')) OR event_type = 'view'")(_stream_subscribe)

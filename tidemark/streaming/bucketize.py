@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import contextlib
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.selector import predicate
@@ -46,3 +52,24 @@ def in_bounds(points: DataFrame, tick: str, max_past: int, max_future: int) -> D
 def dedup(points: DataFrame, keys: list[str], lateness: str, time: str = "ts") -> DataFrame:
     """One point per series and time, the first to come, forgotten after the watermark."""
     return points.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", lateness).dropDuplicatesWithinWatermark([*keys, time]).drop("_time")
+
+
+def stored(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All that an appending stream gives for what its source has now, as Parquet files that the executors write; no rows
+    pass through the driver. The files lie below spark.checkpoint.dir or else the warehouse, and go when the driver ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        top = f"file://{os.path.join(tempfile.gettempdir(), 'tidemark-shared')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex[:12]}"
+    atexit.register(_removed, spark, path)
+    running = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """At the end of the driver; a session that has been stopped can't remove anything."""
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
